@@ -231,14 +231,6 @@ def leaks(
         rows = texts.filter(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).collect()
         shared = spark.sparkContext.broadcast(ItemIndex([(k, t) for k, t in rows], least_words, edits))
 
-        @F.pandas_udf("array<struct<item:int,run:int,aligned:int,first:int,last:int>>")
-        def find(s: pd.Series, shared=shared) -> pd.Series:
-            index = shared.value
-            texts, out = [normal_bytes(t) for t in s], []
-            for part in chunks(texts):
-                out += [[dict(zip(("item", "run", "aligned", "first", "last"), x)) for x in found] for found in index.verified(part)]
-            return pd.Series(out)
-
         names = spark.createDataFrame([(i, k) for i, k in enumerate(_ids(rows, least_words))], f"_i int, _item {dict(items.dtypes)[item_key]}")
         found = docs.select("_k", F.explode(_finder(shared)("_t")).alias("_f")).join(F.broadcast(names), F.col("_f.item") == F.col("_i"))
         found = found.select(F.col("_k").alias(doc_key), F.col("_item").alias(item_key), F.col("_f.run").cast("long").alias("run_words"), F.col("_f.aligned").cast("long").alias("aligned_words"), F.col("_f.first").cast("long").alias("first_word"), F.col("_f.last").cast("long").alias("last_word"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import docpairs, hidden_text, invalid, langid, leaks, reading, truncation
+from . import docpairs, hidden_text, invalid, langid, leaks, packing, reading, truncation
 
 SOURCE = ["version", "bench"]
 PREDICTION = ["prediction_id", "cand_rank"]
@@ -56,6 +56,14 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.documented_functions(_table(spark, d, "parse_source_code")).filter("parses").drop("parses")
 
 
+def p6_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(packing.token_counts(_table(spark, d, "documents")), _table(spark, d, "pack_targets"))
+
+
+def p6_fill_rates(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_rates(p6_assignment(spark, d), _table(spark, d, "pack_targets"))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
 
@@ -81,6 +89,6 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     return reading.level_profile(_levels(spark, d), _table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_language_share, p2_found, p2_rates, p4_found, p4_rates, p5_found, p5_pairs, p7_found, p7_leaked_items, p8_found, p8_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_language_share, p2_found, p2_rates, p4_found, p4_rates, p5_found, p5_pairs, p6_assignment, p6_fill_rates, p7_found, p7_leaked_items, p8_found, p8_profile)}
 #: These problems have no form in SQL; tests/llm holds them against brute force, round trips and held-out labels.
 ORACLES: dict[str, str] = {}
