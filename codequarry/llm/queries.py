@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import docpairs, hidden_text, invalid, langid, leaks, packing, reading, truncation
+from . import docpairs, hidden_text, invalid, langid, leaks, neighbours, packing, reading, truncation
 
 SOURCE = ["version", "bench"]
 PREDICTION = ["prediction_id", "cand_rank"]
@@ -40,6 +40,20 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_rates(_answers(spark, d), PREDICTION, SOURCE, "answer")
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    corpus, asked = _table(spark, d, "corpus"), _table(spark, d, "annotation")
+    return neighbours.usable(corpus, "vec_id", "function_vec").unionByName(neighbours.usable(asked, "vec_id", "query_vec"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbour_pairs(neighbours.neighbour_graph(_vectors(spark, d)))
+
+
+def p3_search(spark: SparkSession, d: str) -> DataFrame:
+    vectors = _vectors(spark, d)
+    return neighbours.search(neighbours.build(vectors), vectors, vectors.filter("id % 100 = 0"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return invalid.parse_findings(_table(spark, d, "parse_source_code"), ["file_id"]).filter("NOT valid").select("file_id")
 
@@ -89,6 +103,6 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     return reading.level_profile(_levels(spark, d), _table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_language_share, p2_found, p2_rates, p4_found, p4_rates, p5_found, p5_pairs, p6_assignment, p6_fill_rates, p7_found, p7_leaked_items, p8_found, p8_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_language_share, p2_found, p2_rates, p3_found, p3_search, p4_found, p4_rates, p5_found, p5_pairs, p6_assignment, p6_fill_rates, p7_found, p7_leaked_items, p8_found, p8_profile)}
 #: These problems have no form in SQL; tests/llm holds them against brute force, round trips and held-out labels.
 ORACLES: dict[str, str] = {}
