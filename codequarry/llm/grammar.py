@@ -26,7 +26,7 @@ from .lexers import LANGUAGES, Lexed, lex
 
 
 def _list(x: str) -> str:
-    return rf"(?:{x})(?:,(?:{x}))*"
+    return rf"(?:{x})(?:,(?:{x}))*+"
 
 
 def _full(x: str) -> Callable[[str], re.Match | None]:
@@ -53,8 +53,8 @@ def _brackets(classes: str, paren: Callable, square: Callable, brace: Callable)
 
 def _c() -> Callable[[str], bool]:
     prim = r"(?:z4|i|n|s+|[15]|[45][89])"
-    unary = rf"(?:[um&!Uz]|[45])*{prim}(?:[15]|6|di|U)*"
-    expr = rf"{unary}(?:[omu&=Q:]{unary})*"
+    unary = rf"(?:[um&!Uz]|[45])*{prim}(?:[15]|6|di|U)*+"
+    expr, label = rf"{unary}(?:[omu&=Q:]{unary})*+", rf"{unary}(?:[omu&]{unary})*+"
     exprs = _list(expr)
     ini = rf"(?:(?:(?:di|6)+=)?(?:{expr}|[89]))"
     kind = r"(?:q*(?:t[tq]*|T i?|i)q*)".replace(" ", "")
@@ -64,11 +64,11 @@ def _c() -> Callable[[str], bool]:
     spec = r"(?:[qt]|Ti?[7-9]?|i|y[15])"
     decl = rf"{spec}+?(?:{dcl}(?:,{dcl})*)?"
     func = rf"{spec}+[mq]*i[1245][79]"
-    pre = rf"(?:I[15]|E|W[15]|F3|D|S[15]|K{expr}:|L:|i:)"
+    pre = rf"(?:I[15]|E|W[15]|F3|D|S[15]|K{label}:|L:|i:)"
     stmt = rf"{pre}*(?:(?:{exprs}|R(?:{expr})?|J|Gi|{decl})?;|[79]|{func})"
     names, is_exprs, types, params = _full(r"(?:i(?:,i)*)?"), _full(exprs), _full(typename), _full(_list(param))
     header, mixed = _full(rf"(?:{decl}|{exprs})?;(?:{exprs})?;(?:{exprs})?"), _full(_list(f"{expr}|{typename}"))
-    index, block, init = _full(rf"q*(?:{expr})?"), _full(rf"(?:{stmt})*"), _full(_list(ini) + ",?")
+    index, block, init = _full(rf"q*(?:{expr})?"), _full(rf"(?:{stmt})*+"), _full(_list(ini) + ",?")
     whole = _full(rf"(?:(?!{expr};){decl};|{func}|;|qs[79]|i[15];?|{spec}+[mq]*i[1245];)*")
 
     @lru_cache(200_000)
@@ -89,8 +89,9 @@ def _java() -> Callable[[str], bool]:
     kind = r"(?:[it](?:di)*6*)"
     new = rf"N[it](?:di)*(?:[15](?:[79k])?|6+[89]?)"
     prim = rf"(?:i|n|s|[15]|{new}|[it]6*d[CN]|(?:i|[125])l[7-9k]|S[15][7-9k])"
-    unary = rf"(?:[u!U]|[45]|(?:i|[125])l)*{prim}(?:[15]|6|di|dN(?:i[15])?|dC|U)*"
-    expr = rf"{unary}(?:(?:[ou=Q:&<]|>{{1,3}}){unary}|V(?:q*{kind}i?))*"
+    unary = rf"(?:[u!U]|[45]|(?:i|[125])l)*{prim}(?:[15]|6|di|dN(?:i[15])?|dC|U)*+"
+    expr = rf"{unary}(?:(?:[ou=Q:&<]|>{{1,3}}){unary}|V(?:q*{kind}i?))*+"
+    label = _list(rf"{unary}(?:(?:[ou&<]|>{{1,3}}){unary})*+")
     exprs, value = _list(expr), rf"(?:{expr}|[89])"
     dcl = rf"i6*(?:={value})?"
     decl = rf"q*{kind}{dcl}(?:,{dcl})*"
@@ -98,7 +99,7 @@ def _java() -> Callable[[str], bool]:
     throws = rf"(?:x{_list(kind)})*"
     method = rf"[qL]*(?:{kind})?i[125]6*{throws}(?:[789k]|(?:L{value})?;)"
     clazz = rf"q*Ci[125]?{throws}[789k]"
-    pre = rf"(?:I[15]|E|W[15]|F3|D|S[15]|K(?:{exprs}|{param})[:l]|L[:l]|i:|Y[1-35]?|X2|Z|q[15])"
+    pre = rf"(?:I[15]|E|W[15]|F3|D|S[15]|K(?:{label}|{param})[:l]|L[:l]|i:|Y[1-35]?|X2|Z|q[15])"
     stmt = rf"{pre}*(?:(?:{exprs}|R(?:{expr})?|Ji?|H{expr}|A{expr}|{decl})?;|[79])|{clazz}"
     member = rf"q*{kind}{dcl}(?:,{dcl})*;|{method}|{clazz}|q?[79]|;"
     entries = rf"i[15]?[79k]?(?:,i[15]?[79k]?)*,?"
@@ -106,8 +107,8 @@ def _java() -> Callable[[str], bool]:
     note = re.compile(r"@i(?:di)*[158]?")
     names, is_exprs, types, params = _full(r"(?:i(?:,i)*)?"), _full(_list(value)), _full(f"{kind}(?:&{kind})*"), _full(_list(param))
     header = _full(rf"(?:{decl}|{exprs})?;(?:{expr})?;(?:{exprs})?|q*{kind}i:{expr}|(?:{decl}|{expr})(?:;(?:{decl}|{expr}))*;?")
-    index, block, init = _full(rf"(?:{expr})?"), _full(rf"(?:{stmt})*"), _full(_list(rf"(?:{value})") + ",?")
-    body = _full(rf"(?:{entries}(?:;(?:{member})*)?|(?:{member})*)")
+    index, block, init = _full(rf"(?:{expr})?"), _full(rf"(?:{stmt})*+"), _full(_list(rf"(?:{value})") + ",?")
+    body = _full(rf"(?:{entries}(?:;(?:{member})*+)?|(?:{member})*+)")
     whole = _full(rf"(?:Pq?i(?:di|do)*;|{clazz}|;)*")
 
     @lru_cache(100_000)
@@ -140,12 +141,12 @@ def _javascript() -> Callable[[str], bool]:
     block = "[789k]"
     func, clazz = rf"a?Fm?i?1{block}", rf"Ci?(?:x(?:i|1)(?:di|1)*)?{block}"
     prim = rf"(?:i|n|s|[1689]|{func}|{clazz}|a?(?:i|1)l[789k]|M1|Md?i)"
-    unary = rf"(?:[ut!Ue]|a(?=[itNF1])|N|a?(?:i|1)l)*{prim}(?:1|6|di|U|s|Q?d[16])*"
-    expr = rf"{unary}(?:[oum=Q:]{unary})*"
+    unary = rf"(?:[ut!Ue]|a(?=[itNF1])|N|a?(?:i|1)l)*{prim}(?:1|6|di|U|s|Q?d[16])*+"
+    expr, label = rf"{unary}(?:[oum=Q:]{unary})*+", rf"{unary}(?:[oum]{unary})*+"
     exprs = _list(expr)
     dcl = rf"(?:i|[68])(?:={expr})?"
     decl = rf"V{_list(dcl)}"
-    pre = rf"(?:I1|E|W1|f(?:a|t)?3|D|S1|K{expr}:|L:|i:|Y|X1?|Z)"
+    pre = rf"(?:I1|E|W1|f(?:a|t)?3|D|S1|K{label}:|L:|i:|Y|X1?|Z)"
     simple = rf"{exprs}|{decl}|R(?:{exprs})?|Ji?|H{expr}|M(?:i,)?(?:[89]|i|mii)is|Ms|B(?:[89](?:is)?|m(?:ii)?is)"
     stmt = rf"(?:BL?)?(?:{pre}*(?:(?:{simple})?;|[789])|(?:{func}|{clazz});?)"
     name = r"(?:[isn6]|[A-Zaftx])"
@@ -153,7 +154,7 @@ def _javascript() -> Callable[[str], bool]:
     is_exprs = _full(rf"(?:(?:{expr})?,)*(?:{expr})?")
     header = _full(rf"(?:{decl}|{exprs})?;(?:{exprs})?;(?:{exprs})?|V?(?:i|[68])(?:di|6)*[io]{expr}")
     obj = _full(rf"(?:(?:{name}:{expr}|{method}|e{expr}|{name}(?:={expr})?)(?:,|$))*")
-    is_block = _full(rf"(?:{stmt})*")
+    is_block = _full(rf"(?:{stmt})*+")
     body = _full(rf"(?:(?:{method}|i*?{name}(?:={expr})?;|i[789])|;)*")
     breaks = re.compile(r"~(?=[.,?:=om&dlQ);>])|(?<=[oum=Q:,;{l!etVNfIW])~|^~|(?<=1)~(?=[789k])|(?<=[7-9k])~(?=[EXZW])")
     notes = re.compile(r"@i(?:di)*1?")
@@ -192,15 +193,19 @@ def _go() -> Callable[[str], bool]:
     kind = rf"(?:m|6|c|y|M6)*(?:i(?:di)?6?|C[789k]|F[125](?:[125]|{inner})?|[15](?!{inner}))"
     result = rf"(?:[125]|{kind})?"
     prim = rf"(?:i|n|s|[15]|F[125]{result}[789]|(?:{kind})[89]|(?:{kind})[15]|[89])"
-    unary = rf"(?:[mu&!y])*{prim}(?:[15]|6|di|d[15]|[89])*"
-    expr = rf"{unary}(?:[omu&]{unary})*"
+    unary = rf"(?:[mu&!y])*{prim}(?:[15]|6|di|d[15]|[89])*+"
+    expr = rf"{unary}(?:[omu&]{unary})*+"
+    bare = rf"(?:[mu&!y])*(?:i|n|s|[15]|F[125]{result}[789]|(?:{kind})[15])(?:[15]|6|di|d[15]|8(?=[d156])|9(?=[d156]))*+"  # in a header, no literal ends before the block
+    head = rf"{bare}(?:[omu&]{bare})*+"
+    heads = _list(rf"(?:{head}|(?:{kind})[89](?=;))")
+    clause = rf"(?:{heads}(?:={heads})?|{head}U|{head}y{head})"
     arg = rf"(?:{expr}|{kind})e?"
     exprs = _list(expr)
     simple = rf"(?:{exprs}(?:={exprs})?|{expr}U|{expr}y{expr})"
     block = "[789]"
-    iff = rf"I(?:{simple}?;)?{expr}{block}"
-    loop = rf"f(?:(?:{simple})?;(?:{expr})?;(?:{simple})?|{expr}|(?:{exprs}=)?r{expr})?{block};"
-    switch = rf"W(?:{simple}?;)?(?:{simple})?[789k];"
+    iff = rf"I(?:(?:{simple})?;)?{head}{block}"
+    loop = rf"f(?:(?:{simple})?;(?:{head})?;(?:{clause})?|{head}|(?:{heads}=)?r(?:{expr}(?=[789];)|{head}))?{block};"
+    switch = rf"W(?:(?:{simple})?;)?(?:{clause})?[789k];"
     value = rf"i(?:,i)*(?:{kind})?(?:={exprs})?"
     typed = rf"i=?{kind}|i6{kind}"
     decl = rf"V(?:{value}|[135])|T(?:{typed}|3)"
@@ -208,8 +213,8 @@ def _go() -> Callable[[str], bool]:
     names, is_args = _full(r"(?:i(?:,i)*)?|T|V"), _full(rf"(?:{_list(arg)},?)?")
     params = _full(rf"{_list(rf'i?e?{kind}')},?")
     group = _full(rf"(?:(?:[io]?s|{value}|{typed});)*(?:[io]?s|{value}|{typed})?")
-    index = _full(rf"(?:{expr}|{kind}|:|,|e|it?{kind})*")
-    is_block = _full(rf"(?:{stmt})*")
+    index = _full(rf"(?:{expr}|{kind}|:|,|e|it?{kind})*+")
+    is_block = _full(rf"(?:{stmt})*+")
     init = _full(rf"{_list(rf'(?:{expr}:)?{expr}')},?")
     fields = _full(rf"(?:(?:i(?:,i)*{kind}|m?i(?:di)?|i[125]{result}|(?:t?{kind})(?:o{kind})*)s?;)*")
     whole = _full(rf";*Pi;(?:p(?:[id]?s|[35]|1);)*(?:F[125]?i6?[125]{result}{block}?;|(?:{decl});|;)*")
@@ -240,20 +245,20 @@ def _php() -> Callable[[str], bool]:
     kind = r"(?:Q?i(?:[o&]i)*)"
     closure = rf"q?F&?[125](?:P5)?(?::{kind})?(?:{block}|l)"
     prim = rf"(?:[iv]|n|s|[1568]|q?F&?[125](?:P[15])?(?::{kind})?{block}|N(?:[iv]|[15])(?:di)*[15]?|NC[15]?(?:x{_list('i')})*[79k]|S[15][789])"
-    unary = rf"(?:[u!U&Nt]|[5](?=[ivnsN15(u])|q?F&?[125](?::{kind})?l)*{prim}(?:[15]|6|[89](?=d)|d(?:[iv]|[789]|C|6)|U)*"
-    expr = rf"{unary}(?:(?:[ou=:&]|Q){unary}|Q:{unary}|V[iv])*"
+    unary = rf"(?:[u!U&Nt]|[5](?=[ivnsN15(u])|q?F&?[125](?::{kind})?l)*{prim}(?:[15]|6|[89](?=d)|d(?:[iv]|[789]|C|6)|U)*+"
+    expr, label = rf"{unary}(?:(?:[ou=:&]|Q){unary}|Q:{unary}|V[iv])*+", rf"{unary}(?:[ou&]{unary})*+"
     exprs = _list(expr)
     param = rf"q*(?:{kind})?&?e?v(?:={expr})?"
     func = rf"F&?i[125](?::{kind})?{block}"
     clazz = rf"q*C i(?::{kind})?(?:x{_list('i')})*[79k8]".replace(" ", "")
-    pre = rf"(?:I[15]:?|E:?|W[15]:?|f3:?|O3:?|D|S[15]:?|K{expr}[:;]|L[:;]|i:|Y|X[1235]|Z|j[15])"
+    pre = rf"(?:I[15]:?|E:?|W[15]:?|f3:?|O3:?|D|S[15]:?|K{label}[:;]|L[:;]|i:|Y|X[1235]|Z|j[15])"
     stmt = rf"{pre}*(?:(?:{exprs}|h{exprs}|R(?:{expr})?|Jn?|H{expr}|q{_list(rf'[iv](?:={expr})?')}|P(?:F|q)?i(?:ai)?(?:[78])?(?:,i(?:ai)?)*|Gi|k)?;|{block}|{func}|{clazz}|P(?:i)?[79])"
     names, is_exprs, params = _full(r"(?:i|v(?:,v)*)?"), _full(rf"(?:{_list(rf'(?:i:)?e?{expr}')},?)?|e"), _full(rf"{_list(param)},?")
     header = _full(rf"(?:{exprs})?;(?:{exprs})?;(?:{exprs})?|{expr}a(?:{expr}l)?&?{expr}|{kind}v?")
     array = _full(rf"(?:(?:(?:{expr}l)?(?:{expr})|e{expr})?,)*(?:(?:{expr}l)?{expr}|e{expr})?")
     body = _full(rf"(?:q+(?:{kind})?{_list(rf'[iv](?:={expr})?')}(?:;|[78])|q*F&?i[125](?::{kind})?(?:{block}|;)|P{_list('i')}(?:;|[789])|Ki(?:={expr})?;|;)*")
     arms = _full(rf"(?:(?:{exprs}|L)l(?:{expr}|H{expr})(?:,|$))*")
-    is_block = _full(rf"(?:{stmt})*")
+    is_block = _full(rf"(?:{stmt})*+")
 
     @lru_cache(200_000)
     def paren(x: str) -> str:
@@ -270,14 +275,14 @@ def _php() -> Callable[[str], bool]:
 
 
 def _lua() -> Callable[[str], bool]:
-    prim = rf"(?:n|e|b|(?:i|[158]|s)(?:(?:d|:)i|6|[158]|s)*)"
-    unary = rf"[u!]*{prim}"
-    expr = rf"{unary}(?:[ou~]{unary})*"
+    prim = rf"(?:n|e|b|(?:i|[158]|s)(?:(?:d|:)i|6|[158]|s)*+)"
+    unary = rf"[u!~]*+{prim}"
+    expr = rf"{unary}(?:[ou~]{unary})*+"
     exprs = _list(expr)
-    target = r"[i15](?:(?:(?:d|:)i|6|[158]|s)*(?:di|6))?"
-    call = r"[i15](?:(?:d|:)i|6|[158]|s)*[158s]"
-    stat = rf"(?:Vi(?:oio)?(?:,i(?:oio)?)*(?:={exprs})?|VB|{target}(?:,{target})*={exprs}|{call}|B|Ji?|D2iD2|;)"
-    body = rf"(?:{stat})*(?:R(?:{exprs})?;?)?"
+    target = r"[i15](?:(?:(?:d|:)i|6|[158]|s)*+(?<=[i6]))?"
+    call = r"[i15](?:(?:d|:)i|6|[158]|s)++(?<=[158s])"
+    stat = rf"(?:Vi(?:oio)?(?:,i(?:oio)?)*+(?:={exprs})?|VB|{target}(?:,{target})*+={exprs}|{call}|B|Ji?|D2iD2|;)"
+    body = rf"(?:{stat})*+(?:R(?:{exprs})?;?)?"
     blocks = re.compile(
         rf"(?P<f>Fi(?:di)*(?::i)?[15]{body}e)|(?P<x>F[15]{body}e)|(?P<b>I{expr}T{body}(?:L{expr}T{body})*(?:E{body})?e|W{expr}D{body}e|O(?:i=(?:{expr})(?:,(?:{expr})){{1,2}}|i(?:,i)*N{exprs})D{body}e|(?<![A-Za-z0-9])D{body}e|P{body}u{expr})"
     )
@@ -315,13 +320,13 @@ def _ruby() -> Callable[[str], bool]:
     items = rf"{item}(?:,{item})*+"
     call = rf"(?:{items}(?:(?<=i){items})?)"
     stm = rf"(?:R?{call}|R)(?:[vr](?:R?{call}|R))*+"
-    params = rf"(?:5|[me&]*+(?:i|k)(?:=?{expr})?(?:,[me&]*+(?:i|k)(?:=?{expr})?)*+)?"
+    params = rf"(?:5|[mh&]*+(?:i(?:={expr})?|k(?:{expr})?)(?:,[mh&]*+(?:i(?:={expr})?|k(?:{expr})?))*+)?"
     name = r"(?:[ibA-Z]d)?(?:[ioum&!]|[a-zA-Z]|6)=?"
     is_stm, header = _full(stm), {
         "f": _full(rf"f{name}{params}"), "c": _full(rf"c(?:i(?:di)*+(?:o{expr})?|oi)"), "I": _full(rf"I{call}"), "W": _full(rf"W{call}"),
         "O": _full(rf"Oi(?:,i)*w{expr}"), "K": _full(rf"K(?:{call})?"), "B": _full("B"), "D": _full("D"),
     }
-    is_params = _full(r"(?:(?:[mh&]*+(?:i|k)(?:=?(?:" + expr + r"))?|[mh&])(?:,|$))*")
+    is_params = _full(rf"(?:(?:[mh&]*+(?:i(?:={expr})?|k(?:{expr})?)|[mh&])(?:,|$))*")
     endless = _full(rf"f{name}{params}={stm}")
     inner = {"I": _full(rf"L{call}|E"), "K": _full(rf"w{items}|E")} | dict.fromkeys("fBDc", _full(rf"r(?:l?{items})?|E|g"))
     is_args = _full(rf"(?:{call},?|(?:[me&]*+(?:i|k)(?:=?{expr})?,?)*)?")
@@ -420,8 +425,13 @@ def diagnose(text: str, declared: str, lexed: Lexed | None = None, margin: float
     grammar takes it, unless one whose marks are more than twice as many and ``margin`` takes it too (some grammars read foreign code);
     ``wrong_extension`` if only a foreign grammar takes it, ``merge_conflict`` if conflict markers stand in it, otherwise ``corrupt``.
     """
-    lexed = lexed or lex(text, declared)
-    own = parses(text, declared, lexed)
+    if declared == "Python":  # its parser takes no foreign code
+        if parses(text, declared):
+            return True, "valid", declared
+        own = False
+    else:
+        lexed = lexed or lex(text, declared)
+        own = parses(text, declared, lexed)
     bare = text
     if own and lexed.comments:
         edges = [0, *(x for span in lexed.comments for x in span), len(text)]

@@ -85,7 +85,7 @@ _PARTS = {
     "PHP": (rf"\#(?!\[)(?:[^\n\r?]|\?(?!>))*|//(?:[^\n\r?]|\?(?!>))*|{_BLOCK}", rf"{_DQM}|{_SQM}|<<<[ \t]*(['\"]?)(?P<h>\w+)\1\r?\n(?:[\s\S]*?\n)??[ \t]*(?P=h)\b", r"\$*\\?[^\W\d]\w*(?:\\[^\W\d]\w*)*", r"(?P<O>\?>[\s\S]*?(?:<\?(?:php\b|=)|\Z))|(?P<A>\#\[[^\n\]]*\])"),
     "Ruby": (r"\#[^\n\r]*|(?m:^=begin\b)[\s\S]*?(?m:^=end\b)[^\n\r]*|(?m:^__END__[ \t]*$)[\s\S]*", rf"{_DQM}|{_SQM}|`[^`]*`|%[wWiIqQ]?(?:\[[^\]]*\]|\([^)]*\)|\{{[^}}]*\}}|<[^>]*>|![^!]*!|\|[^|]*\|)", r"@{0,2}[^\W\d]\w*[?!]?(?!=(?!=|~|>))|@{0,2}[^\W\d]\w*|\$(?:\w+|[!@~&`'+=/\\,;.<>_*$?:\"])", rf"(?P<Q>(?:[(,=:\[!&|?{{;~]|\b(?:if|unless|when|and|or|return|while)\b)[ \t]*{_REGEX})|(?P<h0><<[~-]?(['\"`]?)(?P<h>[A-Z_a-z]\w*)\6(?P<rest>[^\n]*)\n(?P<body>(?:[\s\S]*?\n)??)[ \t]*(?P=h)(?=[ \t\r]*(?:\n|\Z)))|(?P<Y>:(?:[^\W\d]\w*[?!=]?(?![=\w])|[^\W\d]\w*|\"(?:[^\"\\]|\\.)*\"|[+\-*/<=>!\[\]]+)(?<!::))|(?P<K>[^\W\d]\w*[?!]?:(?!:))|(?P<B>(?:\bdo\b|\{{)[ \t]*\|[^|\n]*\|)"),
     "Lua": (r"--\[(?P<c>=*)\[[\s\S]*?\](?P=c)\]|--(?!\[=*\[)[^\n\r]*", rf"{_DQ}|{_SQ}|\[(?P<b>=*)\[[\s\S]*?\](?P=b)\]", _NAME, r"(?P<Z>\A\#![^\n]*)"),
-    "Python": (r"\#[^\n\r]*", r"(?:\b[rRbBuUfF]{1,2})?(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*')", _NAME, None),
+    "Python": (r"\#[^\n\r]*", r"\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'", _NAME, None),
 }
 
 
@@ -130,7 +130,13 @@ def lex(text: str, language: str) -> Lexed:
     last = ""
     if language == "Python":
         for m in pattern.finditer(text, begin):
-            (comments if m.lastgroup == "C" else strings if m.lastgroup == "S" else []).append(m.span())
+            a, b = m.span()
+            if m.lastgroup == "C":
+                comments.append((a, b))
+            elif m.lastgroup == "S":
+                while a > max(begin, m.start() - 2) and text[a - 1] in "rRbBuUfF":
+                    a -= 1
+                strings.append((m.start() if a > begin and (text[a - 1].isalnum() or text[a - 1] == "_") else a, b))
         return out
     for m in pattern.finditer(text, begin):
         k = m.lastgroup
