@@ -242,14 +242,15 @@ def documented_functions(files: DataFrame, key: str = "file_id", content: str =
     give rows with ``parses`` false. Repeated rows count each. Other columns, whatever their names, are not looked at.
     """
 
-    @F.pandas_udf(T.StructType([T.StructField("parses", T.BooleanType()), T.StructField("pairs", T.ArrayType(_PAIR))]))
-    def read(contents: pd.Series, langs: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("parses", T.BooleanType()), *_PAIR.fields])))
+    def read(contents: pd.Series, langs: pd.Series) -> pd.Series:
         out = []
         for text, lang in zip(contents, langs):
             lexed = lex(text, lang)
             pairs = pairs_of(text, lang, lexed)
-            out.append((bool(pairs) and diagnose(text, lang, lexed)[0], pairs))
-        return pd.DataFrame(out, columns=["parses", "pairs"])
+            ok = bool(pairs) and diagnose(text, lang, lexed)[0]
+            out.append([{"parses": ok} | p for p in pairs])
+        return pd.Series(out)
 
     judged = files.select(F.col(key).alias("_k"), F.col(content).alias("_c"), F.col(language).alias("_l")).filter(F.col("_c").isNotNull() & F.col("_l").isin(*LANGUAGES))
-    return judged.select("_k", read("_c", "_l").alias("_r")).select(F.col("_k").alias(key), "_r.parses", F.explode("_r.pairs").alias("_p")).select(key, "parses", "_p.*")
+    return judged.select(F.col("_k").alias(key), F.explode(read("_c", "_l")).alias("_p")).select(key, "_p.*")

@@ -60,12 +60,12 @@ def languages_of(lines: list[str], model: LanguageModel) -> Iterator[tuple[str,
                 i = j
 
 
-_FOUND = T.StructType([T.StructField("nl_lang", T.StringType()), T.StructField("nl_bytes", T.LongType()), T.StructField("n_texts", T.LongType()), T.StructField("n_sentences", T.LongType())])
+_FOUND = T.StructType([T.StructField("parses", T.BooleanType()), T.StructField("nl_lang", T.StringType()), T.StructField("nl_bytes", T.LongType()), T.StructField("n_texts", T.LongType()), T.StructField("n_sentences", T.LongType())])
 
 
-def analyse(text: str, language: str, model: LanguageModel) -> list[dict]:
+def analyse(text: str, language: str, model: LanguageModel, lexed: Lexed | None = None) -> list[dict]:
     size, texts, found = Counter(), Counter(), Counter()
-    for _, _, _, lines in texts_of(text, language):
+    for _, _, _, lines in texts_of(text, language, lexed):
         here = set()
         for lang, piece, whole in languages_of(lines, model):
             size[lang] += len(piece.encode("utf-8", "replace"))
@@ -83,22 +83,20 @@ def nl_spans(files: DataFrame, model: LanguageModel, key: str = "file_id", conte
     Null content, and languages other than the eight, give no rows; neither do files without text. Repeated rows count each. Other columns, whatever their names, are not looked at.
     """
     shared = files.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([T.StructField("parses", T.BooleanType()), T.StructField("found", T.ArrayType(_FOUND))])
 
-    @F.pandas_udf(schema)
-    def read(contents: pd.Series, langs: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(T.ArrayType(_FOUND))
+    def read(contents: pd.Series, langs: pd.Series) -> pd.Series:
         m, out = shared.value, []
         for text, lang in zip(contents, langs):
             lexed = lex(text, lang)
             ok = diagnose(text, lang, lexed)[0]
-            out.append((ok, analyse(text, lang, m)))
-        return pd.DataFrame(out, columns=["parses", "found"])
+            out.append([{"parses": ok} | x for x in analyse(text, lang, m, lexed)])
+        return pd.Series(out)
 
     judged = files.select(F.col(key).alias("_k"), F.col(content).alias("_c"), F.col(language).alias("_l")).filter(F.col("_c").isNotNull() & F.col("_l").isin(*LANGUAGES))
     return (
-        judged.select("_k", F.octet_length("_c").alias("_b"), read("_c", "_l").alias("_r"))
-        .select("_k", "_b", "_r.parses", F.explode("_r.found").alias("_f"))
-        .select(F.col("_k").alias(key), "_f.nl_lang", "_f.nl_bytes", (F.col("_f.nl_bytes") / F.greatest("_b", F.lit(1))).alias("share"), "_f.n_texts", "_f.n_sentences", "parses")
+        judged.select("_k", F.octet_length("_c").alias("_b"), F.explode(read("_c", "_l")).alias("_f"))
+        .select(F.col("_k").alias(key), "_f.nl_lang", "_f.nl_bytes", (F.col("_f.nl_bytes") / F.greatest("_b", F.lit(1))).alias("share"), "_f.n_texts", "_f.n_sentences", "_f.parses")
     )
 
 
