@@ -147,12 +147,13 @@ def split_camel(c: Column) -> Column:
 
 
 def grams(words: Column, most: int = 3) -> Column:
-    """All runs of one to ``most`` words, joined by a blank."""
-    out = words
-    for n in range(2, most + 1):
+    """All runs of one to ``most`` words, joined by a blank. words: better a column than an expression, as it is read for each run."""
+
+    def runs(n: int) -> Column:
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        out = F.concat(out, F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-    return out
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    return F.concat(words, *(runs(n) for n in range(2, most + 1)))
 
 
 def words_v1(c: Column) -> Column:
@@ -163,7 +164,8 @@ def words_v2(c: Column) -> Column:
     return F.transform(F.flatten(F.transform(F.regexp_extract_all(c, F.lit(WORD), F.lit(0)), split_camel)), F.lower)
 
 
-ANALYZERS = {"v1": lambda c: grams(words_v1(c)), "v2": lambda c: grams(words_v2(c))}
+#: The words of an analyzer; its terms are their grams.
+ANALYZERS = {"v1": words_v1, "v2": words_v2}
 
 
 def answer_to_label(c: Column, thinks: bool = True) -> Column:

@@ -44,7 +44,7 @@ def sample_without_replacement(queries: DataFrame, docs: DataFrame, query: str,
 
 def sample_with_replacement(queries: DataFrame, n_docs: int, query: str, m: int, seed: int = 228) -> DataFrame:
     """(query, draw, place): m draws a query of a document's place, 0 to n_docs - 1."""
-    draws = queries.select(F.col(query).alias("query"), F.explode(F.sequence(F.lit(1), F.lit(m))).cast("long").alias("draw"))
+    draws = queries.select(F.col(query).alias("query"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(m).cast("long"))).alias("draw"))
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("query").cast("string"), F.col("draw").cast("string")))
     return draws.withColumn("place", F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % n_docs)
 

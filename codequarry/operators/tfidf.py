@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.text import ANALYZERS
+from ..functions.text import ANALYZERS, grams
 
 
 def term_counts(docs: DataFrame, key: str, text: str, analyzer: str = "v1", scope: list[str] | None = None) -> DataFrame:
     """(scope, doc, term, tf); a document without terms has no rows. Counted inside the row: no shuffle, and a document's terms come out once."""
     scope = scope or []
-    terms = ANALYZERS[analyzer](F.col(text))
-    flat = docs.select(*scope, F.col(key).alias("doc"), F.explode(terms).alias("term"))
+    words = docs.select(*scope, F.col(key).alias("doc"), ANALYZERS[analyzer](F.col(text)).alias("_w"))
+    flat = words.select(*scope, "doc", F.explode(grams(F.col("_w"))).alias("term"))
     return flat.groupBy(*scope, "doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -66,6 +66,6 @@ def retrieve(queries: DataFrame, docs: DataFrame, k: int, analyzer: str = "v1",
 
 def padded(top: DataFrame, queries: DataFrame, k: int, last_doc: DataFrame, query_key: str = "query_id") -> DataFrame:
     """Exactly k rows a query: missing ranks get the last document (the one row of last_doc, column doc) at score -100."""
-    every = queries.select(F.col(query_key).alias("query")).distinct().withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(k))).cast("long"))
+    every = queries.select(F.col(query_key).alias("query")).distinct().withColumn("rank", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long"))))
     filled = every.join(top, ["query", "rank"], "left").crossJoin(F.broadcast(last_doc.select(F.col("doc").alias("_last"))))
     return filled.select("query", "rank", F.coalesce("doc", "_last").alias("doc"), F.coalesce("score", F.lit(-100.0)).alias("score"))

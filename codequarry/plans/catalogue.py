@@ -1,7 +1,10 @@
-"""The queries over the test tables, each with its SQL."""
+"""The queries over the test tables, each with its SQL where SQL can state it."""
 
 from __future__ import annotations
 
+from . import retrieval_queries, text_queries, training_queries
+
+_MODULES = (text_queries, retrieval_queries, training_queries)
 FLAGSHIP = "tfidf_topk_v1"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
