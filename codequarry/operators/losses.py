@@ -39,12 +39,13 @@ def _mean(ce: DataFrame, name: str) -> DataFrame:
     return ce.groupBy("batch").agg(F.avg("ce").alias(name))
 
 
-_OWN = F.col("i") == F.col("j")
+def _own() -> Column:
+    return F.col("i") == F.col("j")
 
 
 def infonce(pairs: DataFrame, temperature: float = 0.05) -> DataFrame:
     """(batch, loss): mean cross-entropy of the queries' rows."""
-    qp = _with_target(score_matrix(pairs, "q", pairs, "p"), _OWN)
+    qp = _with_target(score_matrix(pairs, "q", pairs, "p"), _own())
     return _mean(cross_entropy(qp, "i", temperature), "loss")
 
 
@@ -55,14 +56,14 @@ def _two_ways(rows: DataFrame, columns: DataFrame, how: str) -> DataFrame:
 
 def clip(pairs: DataFrame, negatives: DataFrame | None = None, temperature: float = 0.05, reduce_dirs: str = "mean") -> DataFrame:
     """Both directions; hard negatives widen the rows of the queries only. reduce_dirs: mean or sum of the directions."""
-    qp = _with_target(score_matrix(pairs, "q", pairs, "p"), _OWN)
+    qp = _with_target(score_matrix(pairs, "q", pairs, "p"), _own())
     rows = qp if negatives is None else qp.unionByName(_with_target(score_matrix(pairs, "q", negatives, "n"), False))
     return _two_ways(cross_entropy(rows, "i", temperature), cross_entropy(qp, "j", temperature), reduce_dirs)
 
 
 def gte(pairs: DataFrame, negatives: DataFrame | None = None, temperature: float = 0.05, reduce_dirs: str = "mean") -> DataFrame:
     """As clip, with the queries' own scores beside the rows and the positives' beside the columns, self-pairs masked."""
-    qp = _with_target(score_matrix(pairs, "q", pairs, "p"), _OWN)
+    qp = _with_target(score_matrix(pairs, "q", pairs, "p"), _own())
     rows = qp.unionByName(_with_target(score_matrix(pairs, "q", pairs, "q", True), False))
     if negatives is not None:
         rows = rows.unionByName(_with_target(score_matrix(pairs, "q", negatives, "n"), False))
@@ -73,12 +74,12 @@ def gte(pairs: DataFrame, negatives: DataFrame | None = None, temperature: float
 
 def false_negative_masked(pairs: DataFrame, temperature: float = 0.05, margin: float = 0.1) -> DataFrame:
     """(batch, loss, n_masked): rows [qp, qq, pp], where scores above the row's own plus ``margin`` are masked as false negatives, as self-pairs are."""
-    own = score_matrix(pairs, "q", pairs, "p").filter(_OWN).select("batch", "i", F.col("s").alias("own"))
+    own = score_matrix(pairs, "q", pairs, "p").filter(_own()).select("batch", "i", F.col("s").alias("own"))
 
     def masked(scores: DataFrame, self_pairs: bool) -> DataFrame:
         s = scores.join(own, ["batch", "i"])
-        false = (F.col("s") > F.col("own") + margin) & ~_OWN
-        return s.select("batch", "i", "j", F.when(false, -MASKED).otherwise(F.col("s")).alias("s"), (~F.lit(self_pairs) & _OWN).alias("target"), false.alias("false"))
+        false = (F.col("s") > F.col("own") + margin) & ~_own()
+        return s.select("batch", "i", "j", F.when(false, -MASKED).otherwise(F.col("s")).alias("s"), (~F.lit(self_pairs) & _own()).alias("target"), false.alias("false"))
 
     every = masked(score_matrix(pairs, "q", pairs, "p"), False).unionByName(masked(score_matrix(pairs, "q", pairs, "q", True), True)).unionByName(masked(score_matrix(pairs, "p", pairs, "p", True), True))
     loss = _mean(cross_entropy(every, "i", temperature), "loss")
