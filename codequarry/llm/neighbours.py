@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .lineage import materialised
 
@@ -21,8 +21,8 @@ from .lineage import materialised
 SAMPLE, CENTROIDS, CELL, PROBES = 20_000, 2048, 400, 3
 #: Neighbours kept in the graph; sizes of one comparison; share of vectors whose neighbours still change at which the descent ends; rounds at most.
 KEPT, MEMBERS, VISITORS, CHANGES, ROUNDS = 8, 4000, 5000, 0.01, 4
-#: Members of a cell at which searches may begin, and planes that split a large cell.
-ENTRIES, _PLANES = 32, 12
+#: Planes that split a large cell.
+_PLANES = 12
 
 
 def usable(vectors: DataFrame, key: str, vector: str, dimensions: int = 64) -> DataFrame:
@@ -87,12 +87,12 @@ class Cells:
 def _compare(k: int):
     def run(key: tuple, members: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
         if not len(members) or not len(visitors):
-            return pd.DataFrame({"id": [], "nbrs": []})
+            return pd.DataFrame({"id": [], "cell": [], "far": [], "ids": []})
         mine, ids = _matrix(members["vec"]), members["id"].to_numpy()
         order = np.argsort(ids)
         mine, ids = mine[order], ids[order]
         small = mine.astype(np.float32)
-        out_ids, out = [], []
+        out: dict[str, list] = {"id": [], "cell": [], "far": [], "ids": []}
         cell = int(members["home"].iloc[0])
         for a in range(0, len(visitors), 1000):
             part = visitors.iloc[a : a + 1000]
@@ -105,34 +105,44 @@ def _compare(k: int):
             rank = np.lexsort((ids[top], -exact), axis=1)[:, :k]
             exact, near = np.take_along_axis(exact, rank, 1), ids[np.take_along_axis(top, rank, 1)]
             for i in range(len(who)):
-                out_ids.append(who[i])
-                out.append([{"far": -s, "id": n, "cell": cell} for s, n in zip(exact[i].tolist(), near[i].tolist()) if s > -8])
-        return pd.DataFrame({"id": out_ids, "nbrs": out})
+                good = exact[i] > -8
+                for name, x in (("id", who[i]), ("cell", cell), ("far", -exact[i][good]), ("ids", near[i][good])):
+                    out[name].append(x)
+        return pd.DataFrame(out)
 
     return run
 
 
-_NBRS = "array<struct<far:double,id:bigint,cell:bigint>>"
-
 
 def _visited(places: DataFrame, visits: DataFrame, k: int, sizes: DataFrame) -> DataFrame:
-    """(id, nbrs) of each visit (id, cell): the k best members of the cell. Large cells are compared in parts, many visitors in shares, so that no task gets more than MEMBERS x VISITORS."""
+    """(id, cell, far, ids) of each visit (id, vec, cell): the k best members of the cell. Large cells are compared in parts, many visitors in shares, so that no task gets more than MEMBERS x VISITORS."""
     load = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("v")).join(sizes, "cell")
     load = load.select("cell", F.ceil(F.col("v") / VISITORS).cast("int").alias("shares"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("parts"))
     members = places.select("id", "vec", "home").join(load.withColumnRenamed("cell", "home"), "home")
     members = members.select("id", "vec", "home", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    guests = visits.join(load, "cell").join(places.select("id", "vec"), "id")
+    guests = visits.join(load, "cell")
     guests = guests.select(F.col("id").alias("guest"), F.col("vec").alias("guest_vec"), F.col("cell").alias("c"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("s"))
-    return members.groupBy("home", "part", "share").cogroup(guests.groupBy("c", "p", "s")).applyInPandas(_compare(k), f"id bigint, nbrs {_NBRS}")
+    return members.groupBy("home", "part", "share").cogroup(guests.groupBy("c", "p", "s")).applyInPandas(_compare(k), "id bigint, cell bigint, far array<double>, ids array<bigint>")
+
+
+def _as_lists(far: Column, ids: Column, cell: Column) -> Column:
+    return F.zip_with(far, ids, lambda f, i: F.struct(f.alias("far"), i.alias("id"), cell.alias("cell")))
+
+
+def _kept(lists: Column, k: int) -> Column:
+    """The k nearest of several lists, each vector once."""
+    return F.slice(F.array_distinct(F.sort_array(F.flatten(lists))), 1, k)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    return found.groupBy("id").agg(F.slice(F.array_distinct(F.sort_array(F.flatten(F.collect_list("nbrs")))), 1, k).alias("nbrs"))
+    """(id, nbrs, seen): what the visits of a vector have found, and the cells visited."""
+    lists = F.transform(F.collect_list(F.struct("far", "ids", "cell")), lambda x: _as_lists(x["far"], x["ids"], x["cell"]))
+    return found.groupBy("id").agg(_kept(lists, k).alias("nbrs"), F.collect_set("cell").alias("seen"))
 
 
 @dataclass
 class Index:
-    """graph: (id, nbrs); cells: where vectors belong; entries: (cell, n, nv), some members of each cell, at which searches begin."""
+    """graph: (id, nbrs); cells: where vectors belong; entries: (cell, n, nv), members at which searches begin: one of each connected part at least."""
 
     graph: DataFrame
     cells: Cells | None = None
@@ -192,19 +202,18 @@ def build(vectors: DataFrame, k: int = 5, kept: int = KEPT, rounds: int = ROUNDS
         first = materialised(place(first.select("id", "vec"), PROBES, ["cells"]))
     sizes = materialised(first.groupBy(F.col("home").alias("cell")).agg(F.count(F.lit(1)).alias("n")))
     places = first
-    visits = first.select("id", F.explode("cells").alias("cell"))
-    graph = _best(_visited(places, visits, kept, sizes), kept).join(first.select("id", F.col("cells").alias("seen")), "id")
-    graph = materialised(graph)
+    visits = first.select("id", "vec", F.explode("cells").alias("cell"))
+    graph = materialised(_best(_visited(places, visits, kept, sizes), kept))
     total = max(1, sum(counts.values()))
     for _ in range(rounds):
         edges = graph.select("id", "seen", F.explode(F.slice("nbrs", 1, k)).alias("_e")).select("id", "seen", F.col("_e.id").alias("via"))
         onward = graph.select(F.col("id").alias("via"), F.transform(F.slice("nbrs", 1, k), lambda x: x["cell"]).alias("_cells"))
         fresh = edges.join(onward, "via").select("id", F.explode(F.array_distinct(F.array_except("_cells", "seen"))).alias("cell")).distinct()
-        found = _visited(places, fresh, kept, sizes).select("id", "nbrs", F.array().cast("array<bigint>").alias("more"))
-        more = fresh.groupBy("id").agg(F.collect_list("cell").alias("more")).select("id", F.array().cast(_NBRS).alias("nbrs"), "more")
-        old = graph.select("id", "nbrs", F.col("seen").alias("more"), F.transform(F.slice("nbrs", 1, k), lambda x: x["id"]).alias("_before"))
-        both = old.unionByName(found.unionByName(more), allowMissingColumns=True)
-        merged = both.groupBy("id").agg(F.slice(F.array_distinct(F.sort_array(F.flatten(F.collect_list("nbrs")))), 1, kept).alias("nbrs"), F.array_distinct(F.flatten(F.collect_list("more"))).alias("seen"), F.first("_before", ignorenulls=True).alias("_before"))
+        found = _visited(places, fresh.join(places.select("id", "vec"), "id"), kept, sizes)
+        found = found.select("id", _as_lists(F.col("far"), F.col("ids"), F.col("cell")).alias("nbrs"), F.array("cell").alias("seen"))
+        old = graph.select("id", "nbrs", "seen", F.transform(F.slice("nbrs", 1, k), lambda x: x["id"]).alias("_before"))
+        both = old.unionByName(found, allowMissingColumns=True)
+        merged = both.groupBy("id").agg(_kept(F.collect_list("nbrs"), kept).alias("nbrs"), F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"), F.first("_before", ignorenulls=True).alias("_before"))
         after = F.transform(F.slice("nbrs", 1, k), lambda x: x["id"])
         graph = materialised(merged.select("id", "nbrs", "seen", (after != F.col("_before")).alias("changed")))
         if graph.filter("changed").count() < CHANGES * total:
@@ -213,8 +222,10 @@ def build(vectors: DataFrame, k: int = 5, kept: int = KEPT, rounds: int = ROUNDS
     if many:
         own = others.join(copies.select("_h", "_ids"), "_h").select("id", F.transform(F.slice("_ids", 1, kept), lambda x: F.struct(F.lit(-1.0).alias("far"), x.alias("id"))).alias("nbrs"))
         lists = lists.unionByName(own)
-    some = F.row_number().over(W.partitionBy("home").orderBy(F.xxhash64("id"), "id"))
-    entries = places.withColumn("_r", some).filter(F.col("_r") <= ENTRIES).select(F.col("home").alias("cell"), F.col("id").alias("n"), F.col("vec").alias("nv"))
+    # those whose hash is less than all their neighbours': each part of the graph that hangs together has one at least
+    least = F.array_min(F.transform("nbrs", lambda x: F.xxhash64(x["id"])))
+    chosen = graph.filter(F.coalesce(F.xxhash64("id") < least, F.lit(True))).select("id")
+    entries = places.join(chosen, "id").select(F.col("home").alias("cell"), F.col("id").alias("n"), F.col("vec").alias("nv"))
     return Index(lists, cells, entries)
 
 
