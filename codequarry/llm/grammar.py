@@ -33,6 +33,11 @@ def _full(x: str) -> Callable[[str], re.Match | None]:
     return re.compile(x).fullmatch
 
 
+def _ternary(x: str) -> str:
+    """Expressions of operands and binary operators, and conditions over them."""
+    return rf"{x}(?:Q{x}(?:Q{x}:{x})?:{x})*+"
+
+
 _BRACKETS = re.compile(r"\(([^()\[\]{}]*)\)|\[([^()\[\]{}]*)\]|\{([^()\[\]{}]*)\}")
 
 
@@ -52,9 +57,9 @@ def _brackets(classes: str, paren: Callable, square: Callable, brace: Callable)
 
 
 def _c() -> Callable[[str], bool]:
-    prim = r"(?:z4|i|n|s+|[15]|[45][89])"
+    prim = r"(?:z4|s(?:i?s)*+|i(?:s(?:i?s)*+)?|n|[15]|[45][89])"
     unary = rf"(?:[um&!Uz]|[45])*{prim}(?:[15]|6|di|U)*+"
-    expr, label = rf"{unary}(?:[omu&=Q:]{unary})*+", rf"{unary}(?:[omu&]{unary})*+"
+    expr, label = _ternary(rf"{unary}(?:[omu&=]{unary})*+"), rf"{unary}(?:[omu&]{unary})*+"
     exprs = _list(expr)
     ini = rf"(?:(?:(?:di|6)+=)?(?:{expr}|[89]))"
     kind = r"(?:q*(?:t[tq]*|T i?|i)q*)".replace(" ", "")
@@ -88,19 +93,20 @@ def _c() -> Callable[[str], bool]:
 def _java() -> Callable[[str], bool]:
     kind = r"(?:[it](?:di)*6*)"
     new = rf"N[it](?:di)*(?:[15](?:[79k])?|6+[89]?)"
-    prim = rf"(?:i|n|s|[15]|{new}|[it]6*d[CN]|(?:i|[125])l[7-9k]|S[15][7-9k])"
+    prim = rf"(?:i|n|s|[15]|{new}|(?:[it]6*d[CN]|t6*di|i6+di)|(?:i|[125])l[7-9k]|S[15][7-9k])"
     unary = rf"(?:[u!U]|[45]|(?:i|[125])l)*{prim}(?:[15]|6|di|dN(?:i[15])?|dC|U)*+"
-    expr = rf"{unary}(?:(?:[ou=Q:&<]|>{{1,3}}){unary}|V(?:q*{kind}i?))*+"
+    expr = _ternary(rf"{unary}(?:(?:[ou=&<]|>{{1,3}}){unary}|V(?:q*{kind}i?))*+")
     label = _list(rf"{unary}(?:(?:[ou&<]|>{{1,3}}){unary})*+")
-    exprs, value = _list(expr), rf"(?:{expr}|[89])"
+    exprs, value = _list(expr), rf"(?:(?:i=)?[89]|{expr})"
     dcl = rf"i6*(?:={value})?"
     decl = rf"q*{kind}{dcl}(?:,{dcl})*"
     param = rf"q*{kind}e?(?:o{kind})*i?6*"
     throws = rf"(?:x{_list(kind)})*"
     method = rf"[qL]*(?:{kind})?i[125]6*{throws}(?:[789k]|(?:L{value})?;)"
     clazz = rf"q*Ci[125]?{throws}[789k]"
-    pre = rf"(?:I[15]|E|W[15]|F3|D|S[15]|K(?:{label}|{param})[:l]|L[:l]|i:|Y[1-35]?|X2|Z|q[15])"
-    stmt = rf"{pre}*(?:(?:{exprs}|R(?:{expr})?|Ji?|H{expr}|A{expr}|{decl})?;|[79])|{clazz}"
+    names_ = _list(r"u?[ins](?:di)*+")
+    pre = rf"(?:I[15]|E|W[15]|F3|D|S[15]|(?:K(?:{label}|{param}):|K{names_}l|K{param}l)|L[:l]|i:|Y[1-35]?|X2|Z|q[15])"
+    stmt = rf"{pre}*(?:(?:{exprs}|R(?:{expr})?|Ji?|H{expr}|A{expr}(?::{expr})?|{decl})?;|[79])|{clazz}"
     member = rf"q*{kind}{dcl}(?:,{dcl})*;|{method}|{clazz}|q?[79]|;"
     entries = rf"i[15]?[79k]?(?:,i[15]?[79k]?)*,?"
     generic = re.compile(r"(?<=[id])<(?:[it,dQ&x6@q]*)>|(?<![isn156>])<[i,x&d6]+>(?=[it])")
@@ -138,25 +144,25 @@ def _java() -> Callable[[str], bool]:
 
 
 def _javascript() -> Callable[[str], bool]:
-    block = "[789k]"
-    func, clazz = rf"a?Fm?i?1{block}", rf"Ci?(?:x(?:i|1)(?:di|1)*)?{block}"
-    prim = rf"(?:i|n|s|[1689]|{func}|{clazz}|a?(?:i|1)l[789k]|M1|Md?i)"
+    block = "[79kw]"
+    func, clazz = rf"a?Fm?i?1{block}", rf"Ci?(?:x(?:i|1)(?:di|1)*)?[789kw]"
+    prim = rf"(?:i|n|s|[1689w]|{func}|{clazz}|a?(?:i|1)l[79kw]|M1|Md?i)"
     unary = rf"(?:[ut!Ue]|a(?=[itNF1])|N|a?(?:i|1)l)*{prim}(?:1|6|di|U|s|Q?d[16])*+"
-    expr, label = rf"{unary}(?:[oum=Q:]{unary})*+", rf"{unary}(?:[oum]{unary})*+"
+    expr, label = _ternary(rf"{unary}(?:[oum=]{unary})*+"), rf"{unary}(?:[oum]{unary})*+"
     exprs = _list(expr)
-    dcl = rf"(?:i|[68])(?:={expr})?"
+    dcl = rf"(?:i|[68w])(?:={expr})?"
     decl = rf"V{_list(dcl)}"
     pre = rf"(?:I1|E|W1|f(?:a|t)?3|D|S1|K{label}:|L:|i:|Y|X1?|Z)"
-    simple = rf"{exprs}|{decl}|R(?:{exprs})?|Ji?|H{expr}|M(?:i,)?(?:[89]|i|mii)is|Ms|B(?:[89](?:is)?|m(?:ii)?is)"
-    stmt = rf"(?:BL?)?(?:{pre}*(?:(?:{simple})?;|[789])|(?:{func}|{clazz});?)"
+    simple = rf"{exprs}|{decl}|R(?:{exprs})?|Ji?|H{expr}|M(?:i,)?(?:[89wk]|i|mii)is|Ms|B(?:[89wk](?:is)?|m(?:ii)?is)"
+    stmt = rf"(?:BL?)?(?:{pre}*(?:[79w]|(?!8)(?:{simple})?;)|(?:{func}|{clazz});?)"
     name = r"(?:[isn6]|[A-Zaftx])"
     method = rf"(?:[iaoN]*?m?{name}1{block})"
     is_exprs = _full(rf"(?:(?:{expr})?,)*(?:{expr})?")
-    header = _full(rf"(?:{decl}|{exprs})?;(?:{exprs})?;(?:{exprs})?|V?(?:i|[68])(?:di|6)*[io]{expr}")
+    header = _full(rf"(?:{decl}|{exprs})?;(?:{exprs})?;(?:{exprs})?|V?(?:i|[68w])(?:di|6)*[io]{expr}")
     obj = _full(rf"(?:(?:{name}:{expr}|{method}|e{expr}|{name}(?:={expr})?)(?:,|$))*")
     is_block = _full(rf"(?:{stmt})*+")
-    body = _full(rf"(?:(?:{method}|i*?{name}(?:={expr})?;|i[789])|;)*")
-    breaks = re.compile(r"~(?=[.,?:=om&dlQ);>])|(?<=[oum=Q:,;{l!etVNfIW])~|^~|(?<=1)~(?=[789k])|(?<=[7-9k])~(?=[EXZW])")
+    body = _full(rf"(?:(?:{method}|i*?{name}(?:={expr})?;|i[79w])|;)*")
+    breaks = re.compile(r"~(?=[.,?:=om&dlQ);>])|(?<=[oum=Q:,;{l!etVNfIW])~|^~|(?<=1)~(?=[79kw])|(?<=[7-9kw])~(?=[EXZW])")
     notes = re.compile(r"@i(?:di)*1?")
 
     @lru_cache(100_000)
@@ -175,10 +181,10 @@ def _javascript() -> Callable[[str], bool]:
         y = x.replace("~", "")
         if not y:
             return "9"
-        if obj(y):
-            return "8"
         x = flat(x)
         x += ";" * (x[-1:] != ";")
+        if obj(y):
+            return "w" if is_block(x) else "8"
         return "7" if is_block(x) else "k" if body(x) else ""
 
     def ok(classes: str) -> bool:
@@ -189,23 +195,23 @@ def _javascript() -> Callable[[str], bool]:
 
 
 def _go() -> Callable[[str], bool]:
-    inner = r"(?:m|6|c|y|M6)*(?:i(?:di)?6?|C[789k])"
-    kind = rf"(?:m|6|c|y|M6)*(?:i(?:di)?6?|C[789k]|F[125](?:[125]|{inner})?|[15](?!{inner}))"
+    inner = r"(?:m|6|c|y|M6)*(?:i(?:di)?6?|C[789kw])"
+    kind = rf"(?:m|6|c|y|M6)*(?:i(?:di)?6?|C[789kw]|F[125](?:[125]|{inner})?|[15](?!{inner}))"
     result = rf"(?:[125]|{kind})?"
-    prim = rf"(?:i|n|s|[15]|F[125]{result}[789]|(?:{kind})[89]|(?:{kind})[15]|[89])"
-    unary = rf"(?:[mu&!y])*{prim}(?:[15]|6|di|d[15]|[89])*+"
+    prim = rf"(?:i|n|s|[15]|F[125]{result}[79w]|(?:{kind})[89w]|(?:{kind})[15]|[89w])"
+    unary = rf"(?:[mu&!y])*{prim}(?:[15]|6|di|d[15]|[89w])*+"
     expr = rf"{unary}(?:[omu&]{unary})*+"
-    bare = rf"(?:[mu&!y])*(?:i|n|s|[15]|F[125]{result}[789]|(?:{kind})[15])(?:[15]|6|di|d[15]|8(?=[d156])|9(?=[d156]))*+"  # in a header, no literal ends before the block
+    bare = rf"(?:[mu&!y])*(?:i|n|s|[15]|F[125]{result}[79w]|(?:{kind})[15])(?:[15]|6|di|d[15]|[89w](?=[d156]))*+"  # in a header, no literal ends before the block
     head = rf"{bare}(?:[omu&]{bare})*+"
-    heads = _list(rf"(?:{head}|(?:{kind})[89](?=;))")
+    heads = _list(rf"(?:{head}|(?:{kind})[89w](?=;))")
     clause = rf"(?:{heads}(?:={heads})?|{head}U|{head}y{head})"
     arg = rf"(?:{expr}|{kind})e?"
     exprs = _list(expr)
-    simple = rf"(?:{exprs}(?:={exprs})?|{expr}U|{expr}y{expr})"
-    block = "[789]"
+    simple = rf"(?:{exprs}={exprs}|{expr}U|{expr}y{expr}|{expr}(?<=[15])|y{expr})"
+    block = "[79w]"
     iff = rf"I(?:(?:{simple})?;)?{head}{block}"
-    loop = rf"f(?:(?:{simple})?;(?:{head})?;(?:{clause})?|{head}|(?:{heads}=)?r(?:{expr}(?=[789];)|{head}))?{block};"
-    switch = rf"W(?:(?:{simple})?;)?(?:{clause})?[789k];"
+    loop = rf"f(?:(?:{simple})?;(?:{head})?;(?:{clause})?|{head}|(?:{heads}=)?r(?:{expr}(?=[79w];)|{head}))?{block};"
+    switch = rf"W(?:(?:{simple})?;)?(?:{clause})?[789kw];"
     value = rf"i(?:,i)*(?:{kind})?(?:={exprs})?"
     typed = rf"i=?{kind}|i6{kind}"
     decl = rf"V(?:{value}|[135])|T(?:{typed}|3)"
@@ -231,7 +237,9 @@ def _go() -> Callable[[str], bool]:
         if not x:
             return "9"
         y = x + ";" * (x[-1] != ";")
-        return "7" if is_block(y) else "8" if init(x) else "k" if fields(y) else ""
+        if is_block(y):
+            return "w" if init(x) else "7"
+        return "8" if init(x) else "k" if fields(y) else ""
 
     def ok(classes: str) -> bool:
         rest = _brackets(classes, paren, square, brace)
@@ -244,15 +252,16 @@ def _php() -> Callable[[str], bool]:
     block = "[789]"
     kind = r"(?:Q?i(?:[o&]i)*)"
     closure = rf"q?F&?[125](?:P5)?(?::{kind})?(?:{block}|l)"
-    prim = rf"(?:[iv]|n|s|[1568]|q?F&?[125](?:P[15])?(?::{kind})?{block}|N(?:[iv]|[15])(?:di)*[15]?|NC[15]?(?:x{_list('i')})*[79k]|S[15][789])"
+    prim = rf"(?:[iv]|n|s|q(?=d)|[1568]|q?F&?[125](?:P[15])?(?::{kind})?{block}|N(?:[iv]|[15])(?:di)*[15]?|NC[15]?(?:x{_list('i')})*[79k]|S[15][789])"
     unary = rf"(?:[u!U&Nt]|[5](?=[ivnsN15(u])|q?F&?[125](?::{kind})?l)*{prim}(?:[15]|6|[89](?=d)|d(?:[iv]|[789]|C|6)|U)*+"
-    expr, label = rf"{unary}(?:(?:[ou=:&]|Q){unary}|Q:{unary}|V[iv])*+", rf"{unary}(?:[ou&]{unary})*+"
+    plain = rf"{unary}(?:[ou=&]{unary}|V[iv])*+"
+    expr, label = rf"{plain}(?:Q(?:{plain}(?:Q{plain}:{plain})?)?:{plain})*+", rf"{unary}(?:[ou&]{unary})*+"
     exprs = _list(expr)
     param = rf"q*(?:{kind})?&?e?v(?:={expr})?"
     func = rf"F&?i[125](?::{kind})?{block}"
     clazz = rf"q*C i(?::{kind})?(?:x{_list('i')})*[79k8]".replace(" ", "")
     pre = rf"(?:I[15]:?|E:?|W[15]:?|f3:?|O3:?|D|S[15]:?|K{label}[:;]|L[:;]|i:|Y|X[1235]|Z|j[15])"
-    stmt = rf"{pre}*(?:(?:{exprs}|h{exprs}|R(?:{expr})?|Jn?|H{expr}|q{_list(rf'[iv](?:={expr})?')}|P(?:F|q)?i(?:ai)?(?:[78])?(?:,i(?:ai)?)*|Gi|k)?;|{block}|{func}|{clazz}|P(?:i)?[79])"
+    stmt = rf"{pre}*(?:(?:{exprs}|h{exprs}|R(?:{expr})?|Jn?|H{expr}|q{_list(rf'[iv](?:={expr})?')}|P(?:F|q)?i(?:ai)?(?:b?[78])?(?:,i(?:ai)?)*|Gi|k)?;|{block}|{func}|{clazz}|P(?:i)?[79])"
     names, is_exprs, params = _full(r"(?:i|v(?:,v)*)?"), _full(rf"(?:{_list(rf'(?:i:)?e?{expr}')},?)?|e"), _full(rf"{_list(param)},?")
     header = _full(rf"(?:{exprs})?;(?:{exprs})?;(?:{exprs})?|{expr}a(?:{expr}l)?&?{expr}|{kind}v?")
     array = _full(rf"(?:(?:(?:{expr}l)?(?:{expr})|e{expr})?,)*(?:(?:{expr}l)?{expr}|e{expr})?")
@@ -281,10 +290,10 @@ def _lua() -> Callable[[str], bool]:
     exprs = _list(expr)
     target = r"[i15](?:(?:(?:d|:)i|6|[158]|s)*+(?<=[i6]))?"
     call = r"[i15](?:(?:d|:)i|6|[158]|s)++(?<=[158s])"
-    stat = rf"(?:Vi(?:oio)?(?:,i(?:oio)?)*+(?:={exprs})?|VB|{target}(?:,{target})*+={exprs}|{call}|B|Ji?|D2iD2|;)"
+    stat = rf"(?:Vi(?:oio)?(?:,i(?:oio)?)*+(?:={exprs})?|VB|{target}(?:,{target})*+={exprs}|{call}|B|Ji?|gig|;)"
     body = rf"(?:{stat})*+(?:R(?:{exprs})?;?)?"
     blocks = re.compile(
-        rf"(?P<f>Fi(?:di)*(?::i)?[15]{body}e)|(?P<x>F[15]{body}e)|(?P<b>I{expr}T{body}(?:L{expr}T{body})*(?:E{body})?e|W{expr}D{body}e|O(?:i=(?:{expr})(?:,(?:{expr})){{1,2}}|i(?:,i)*N{exprs})D{body}e|(?<![A-Za-z0-9])D{body}e|P{body}u{expr})"
+        rf"(?P<f>Fi(?:di)*(?::i)?[15]{body}e)|(?P<x>F[15]{body}e)|(?P<b>I{expr}T{body}(?:L{expr}T{body})*(?:E{body})?e|W{expr}D{body}e|O(?:i=(?:{expr})(?:,(?:{expr})){{1,2}}|i(?:,i)*N{exprs})D{body}e|(?<![A-Za-z0-9])D{body}e|P{body}y{expr})"
     )
     alone = re.compile(rf"D{body}e")
     names, table, index = _full(r"(?:[ie](?:,[ie])*)?"), _full(rf"(?:(?:(?:6|i)=)?{expr}(?:[,;]|$))*"), _full(expr)
@@ -319,7 +328,7 @@ def _ruby() -> Callable[[str], bool]:
     item = rf"(?:k(?:{expr})?|{expr}(?:[l:]{expr})?|[me&])"
     items = rf"{item}(?:,{item})*+"
     call = rf"(?:{items}(?:(?<=i){items})?)"
-    stm = rf"(?:R?{call}|R)(?:[vr](?:R?{call}|R))*+"
+    stm = rf"(?!k)(?:R?{call}|R)(?:[vr](?:R?{call}|R))*+"
     params = rf"(?:5|[mh&]*+(?:i(?:={expr})?|k(?:{expr})?)(?:,[mh&]*+(?:i(?:={expr})?|k(?:{expr})?))*+)?"
     name = r"(?:[ibA-Z]d)?(?:[ioum&!]|[a-zA-Z]|6)=?"
     is_stm, header = _full(stm), {
@@ -360,13 +369,12 @@ def _ruby() -> Callable[[str], bool]:
         x = re.sub(r"(?<!d)[Eg]", "~\\g<0>~", x)
         x = re.sub(r"(?<!d)[BD]", "\\g<0>~", x)
         x = re.sub(r"d[fcIWOKBDe]", "di", x)
+        x = re.sub(r"(?:^|(?<=[~;]))f[^~;]*", lambda m: "b" if "=" in m[0] and endless(m[0]) and not re.fullmatch("f.+=[15]", m[0]) else m[0], x)
         while "\0" not in x:
             x, n = flat.subn(lambda m: (paren, square, brace)[m.lastindex - 1](m[m.lastindex]), x)
             x, k = innermost.subn(lambda m: block(m[0]), x)
             if not n + k:
                 break
-        if "f" in x:
-            x = "~".join("b" if endless(y) else y for y in x.split("~"))
         return lines(x)
 
     return ok

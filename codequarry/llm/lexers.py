@@ -43,12 +43,12 @@ def _words(**kinds: str) -> dict[str, str]:
 # The keywords of each language and their token classes.
 KEYWORDS = {
     "C": _words(t="int char void float double short long signed unsigned _Bool bool", q="static const inline extern volatile register restrict typedef auto __inline __extension__ _Noreturn", T="struct union enum", z="sizeof _Alignof", I="if", E="else", W="while", F="for", D="do", S="switch", K="case", L="default", R="return", J="break continue", G="goto", y="__attribute__ __declspec _Alignas"),
-    "Java": _words(t="int char void float double short long boolean byte", q="public private protected static final abstract synchronized native transient volatile strictfp", C="class interface enum", x="extends implements throws permits", N="new", H="throw", Y="try", X="catch", Z="finally", P="package import", A="assert", V="instanceof", I="if", E="else", W="while", F="for", D="do", S="switch", K="case", L="default", R="return", J="break continue"),
+    "Java": _words(t="int char void float double short long boolean byte", q="public private protected static final abstract synchronized native transient volatile strictfp", C="class interface enum", x="extends implements throws permits", N="new", H="throw", Y="try", X="catch", Z="finally", P="package import", A="assert", V="instanceof", I="if", E="else", W="while", F="for", D="do", S="switch", K="case", L="default", R="return yield", J="break continue"),
     "JavaScript": _words(V="var let const", F="function", a="async", C="class", x="extends", N="new", t="typeof void delete await yield", o="in instanceof", H="throw", Y="try", X="catch", Z="finally", I="if", E="else", W="while", f="for", D="do", S="switch", K="case", L="default", R="return", J="break continue", M="import", B="export"),
     "Go": _words(F="func", V="var const", T="type", R="return", J="break continue fallthrough", G="goto", g="go defer", I="if", E="else", f="for", W="switch select", K="case", L="default", r="range", M="map", c="chan", C="struct interface", P="package", p="import"),
     "PHP": _words(F="function fn", C="class interface trait enum", x="extends implements", q="public private protected static final abstract readonly var const global", N="new clone", t="print include include_once require require_once yield", h="echo", H="throw", Y="try", X="catch", Z="finally", P="use namespace", V="instanceof insteadof", o="and or xor", a="as", I="if elseif", E="else", W="while", f="for", O="foreach", D="do", S="switch match", K="case", L="default", R="return", J="break continue", G="goto", k="endif endwhile endfor endforeach endswitch", j="declare"),
     "Ruby": _words(f="def", c="class module", I="if unless", W="while until", O="for", K="case", w="when in", B="begin", r="rescue", g="ensure", E="else", L="elsif", D="do", e="end", T="then", R="return break next redo retry", o="and or", a="alias undef"),
-    "Lua": _words(F="function", I="if", T="then", L="elseif", E="else", e="end", D="do", W="while", O="for", P="repeat", u="until", N="in", V="local", R="return", J="break goto", o="and or"),
+    "Lua": _words(F="function", I="if", T="then", L="elseif", E="else", e="end", D="do", W="while", O="for", P="repeat", y="until", N="in", V="local", R="return", J="break goto", o="and or"),
     "Python": {},
 }
 KEYWORDS["Ruby"]["not"] = KEYWORDS["Lua"]["not"] = "!"
@@ -59,11 +59,11 @@ _OPS = {
     "Java": _C_OPS | {"=": _C_OPS["="] + " >>>=", "o": "== != <= >= && || << / % | ^ *", "m": "", "d": ". ::", "l": "->", "<": "<", ">": ">"},
     "JavaScript": _C_OPS | {"=": _C_OPS["="] + " **= >>>= &&= ||= ??=", "o": _C_OPS["o"] + " === !== ** >>> ??  &", "&": "", "d": ". ?.", "l": "=>"},
     "Go": _C_OPS | {"=": _C_OPS["="] + " := &^=", "o": _C_OPS["o"] + " &^", "d": ".", "y": "<-", "!": "!", "u": "+ - ^", "Q": "", "t": "~"},
-    "PHP": _C_OPS | {"=": _C_OPS["="] + " .= **= ??=", "o": _C_OPS["o"] + " * === !== <> ** ?? . <=> |>", "m": "", "d": "-> :: ?->", "l": "=>", "!": "! ~ @"},
+    "PHP": _C_OPS | {"=": _C_OPS["="] + " .= **= ??=", "o": _C_OPS["o"] + " * === !== <> ** ?? . <=> |>", "m": "", "d": "-> :: ?->", "l": "=>", "!": "! ~ @", "b": "\\"},
     "Ruby": _C_OPS | {"=": _C_OPS["="] + " **= ||= &&=", "o": _C_OPS["o"] + " === =~ !~ <=> ..", "U": "", "d": ". :: &.", "l": "=>", "x": "->", "e": "", "h": "**"},
     "Lua": {"=": "=", "o": "== ~= <= >= < > / // % ^ .. | & << >> +  *", "u": "-", "!": "#", "d": ".", "e": "...", "~": "~"},
 }
-_OPS["Lua"]["D2"] = "::"
+_OPS["Lua"]["g"] = "::"
 _PLAIN = {c: c for c in "()[]{},;:"}
 _OPS["Java"]["@"] = _OPS["JavaScript"]["@"] = "@"
 
@@ -78,12 +78,12 @@ _JSNAME = r"[$#]?(?:[^\W\d]|\$)[\w$]*|\$"
 
 # comment, string and name patterns by language; a group Q is an operator followed by a regular-expression literal
 _PARTS = {
-    "C": (rf"//(?:[^\n\r\\]|\\(?:\r\n|[\s\S]))*|{_BLOCK}", rf"(?:u8|[uUL])?{_DQ}", _NAME, rf"(?P<P>^[ \t]*\#[ \t]*(?:include|define|undef|if|ifdef|ifndef|elif|else|endif|error|warning|pragma|line)\b(?:[^\n\r\\/]|\\(?:\r\n|[\s\S])|/(?![*/]))*)|(?P<H>[uUL]?'(?:[^'\\\n\r]|\\.[0-7a-fA-F]*){1,4}')"),
+    "C": (rf"//(?:[^\n\r\\]|\\(?:\r\n|[\s\S]))*|{_BLOCK}", rf"(?:u8|[uUL])?{_DQ}", _NAME, rf"(?P<P>^[ \t]*\#[ \t]*(?:include|define|undef|if|ifdef|ifndef|elif|else|endif|error|warning|pragma|line)\b(?:[^\n\r\\/]|\\(?:\r\n|[\s\S])|/(?![*/]))*)|(?P<H>[uUL]?'(?:[^'\\\n\r]|\\.[0-7a-fA-F]*){{1,4}}')"),
     "Java": (rf"//[^\n\r]*|{_BLOCK}", rf'"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|{_DQ}', r"@interface\b|[^\W\d][\w$]*", r"(?P<H>'(?:[^'\\\n\r]|\\u+[\da-fA-F]{4}|\\[0-7]{1,3}|\\.)')"),
     "JavaScript": (rf"//[^\n\r]*|{_BLOCK}|\A\#![^\n\r]*", rf"{_DQ}|{_SQ}|{_TEMPLATE}", _JSNAME, rf"(?P<Q>(?:[(,=:\[!&|?{{}};~+]|\breturn\b)[ \t]*{_REGEX})"),
     "Go": (rf"//[^\n\r]*|{_BLOCK}", rf"`[^`]*`|{_DQ}", _NAME, r"(?P<H>'(?:[^'\\\n\r]|\\(?:[xuU][\da-fA-F]+|[0-7]{3}|.))')"),
     "PHP": (rf"\#(?!\[)(?:[^\n\r?]|\?(?!>))*|//(?:[^\n\r?]|\?(?!>))*|{_BLOCK}", rf"{_DQM}|{_SQM}|<<<[ \t]*(['\"]?)(?P<h>\w+)\1\r?\n(?:[\s\S]*?\n)??[ \t]*(?P=h)\b", r"\$*\\?[^\W\d]\w*(?:\\[^\W\d]\w*)*", r"(?P<O>\?>[\s\S]*?(?:<\?(?:php\b|=)|\Z))|(?P<A>\#\[[^\n\]]*\])"),
-    "Ruby": (r"\#[^\n\r]*|(?m:^=begin\b)[\s\S]*?(?m:^=end\b)[^\n\r]*|(?m:^__END__[ \t]*$)[\s\S]*", rf"{_DQM}|{_SQM}|`[^`]*`|%[wWiIqQ]?(?:\[[^\]]*\]|\([^)]*\)|\{{[^}}]*\}}|<[^>]*>|![^!]*!|\|[^|]*\|)", r"@{0,2}[^\W\d]\w*[?!]?(?!=(?!=|~|>))|@{0,2}[^\W\d]\w*|\$(?:\w+|[!@~&`'+=/\\,;.<>_*$?:\"])", rf"(?P<Q>(?:[(,=:\[!&|?{{;~]|\b(?:if|unless|when|and|or|return|while)\b)[ \t]*{_REGEX})|(?P<h0><<[~-]?(['\"`]?)(?P<h>[A-Z_a-z]\w*)\6(?P<rest>[^\n]*)\n(?P<body>(?:[\s\S]*?\n)??)[ \t]*(?P=h)(?=[ \t\r]*(?:\n|\Z)))|(?P<Y>:(?:[^\W\d]\w*[?!=]?(?![=\w])|[^\W\d]\w*|\"(?:[^\"\\]|\\.)*\"|[+\-*/<=>!\[\]]+)(?<!::))|(?P<K>[^\W\d]\w*[?!]?:(?!:))|(?P<B>(?:\bdo\b|\{{)[ \t]*\|[^|\n]*\|)"),
+    "Ruby": (r"\#[^\n\r]*|(?m:^=begin\b)[\s\S]*?(?m:^=end\b)[^\n\r]*|(?m:^__END__[ \t]*$)[\s\S]*", rf"{_DQM}|{_SQM}|`[^`]*`|%[wWiIqQ]?(?:\[[^\]]*\]|\([^)]*\)|\{{[^}}]*\}}|<[^>]*>|![^!]*!|\|[^|]*\|)", r"@{0,2}[^\W\d]\w*[?!]?(?!=(?!=|~|>))|@{0,2}[^\W\d]\w*|\$(?:\w+|[!@~&`'+=/\\,;.<>_*$?:\"])", rf"(?P<Q>(?:[=!]~|[(,=:\[!&|?{{;~]|\b(?:if|unless|when|and|or|return|while)\b)[ \t]*{_REGEX})|(?P<h0><<[~-]?(['\"`]?)(?P<h>[A-Z_a-z]\w*)\6(?P<rest>[^\n]*)\n(?P<body>(?:[\s\S]*?\n)??)[ \t]*(?P=h)(?=[ \t\r]*(?:\n|\Z)))|(?P<Y>:(?:[^\W\d]\w*[?!=]?(?![=\w])|[^\W\d]\w*|\"(?:[^\"\\]|\\.)*\"|[+\-*/<=>!\[\]]+)(?<!::))|(?P<K>[^\W\d]\w*[?!]?:(?!:))|(?P<B>(?:\bdo\b|\{{)[ \t]*\|[^|\n]*\|)"),
     "Lua": (r"--\[(?P<c>=*)\[[\s\S]*?\](?P=c)\]|--(?!\[=*\[)[^\n\r]*", rf"{_DQ}|{_SQ}|\[(?P<b>=*)\[[\s\S]*?\](?P=b)\]", _NAME, r"(?P<Z>\A\#![^\n]*)"),
     "Python": (r"\#[^\n\r]*", r"\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'", _NAME, None),
 }
@@ -109,6 +109,7 @@ def _compile(language: str) -> tuple[re.Pattern, dict[str, str]]:
 
 
 _COMPILED = {x: _compile(x) for x in LANGUAGES}
+_RECORD = re.compile(r"\s+[^\W\d]\w*\s*[(<]")
 # Token classes after which a line break ends the statement in Go.
 _GO_ENDS = frozenset("insRJU)]}")
 _OPERAND_ENDS = frozenset("ins)]}eUbR")
@@ -155,7 +156,7 @@ def lex(text: str, language: str) -> Lexed:
             last = "i" if last == "d" else words.get(w, "i")
             if language == "Ruby" and last in "IW" and classes and classes[-1] in _OPERAND_ENDS:
                 last = "v"  # a modifier
-            elif w == "@interface":
+            elif w == "@interface" or w == "record" and language == "Java" and _RECORD.match(text, m.end()):
                 last = "C"
             elif language == "PHP" and last == "i" and w[0] == "$":
                 last = "v"
@@ -186,7 +187,7 @@ def lex(text: str, language: str) -> Lexed:
         elif k == "B":
             last = "D" if m["B"].startswith("do") else "{"
         elif k == "Q":
-            w = re.match(r"\w+|.", m["Q"])[0]
+            w = re.match(r"\w+|[=!]~|.", m["Q"])[0]
             add(words.get(w, "i") if w[0].isalpha() else ops[w])
             at(m.start("Q"))
             last = "n"
