@@ -121,7 +121,9 @@ def lex(text: str, language: str) -> Lexed:
     words, out = KEYWORDS[language], Lexed()
     classes, starts, comments, strings = [], out.starts, out.comments, out.strings
     add, at = classes.append, starts.append
-    begin = 1 if text.startswith("﻿") else 0
+    begin = 1 if text.startswith("\ufeff") else 0
+    if begin:
+        text = "\n" + text[1:]  # the first line begins behind the mark
     if language == "PHP":
         if (i := text.find("<?php")) < 0 and (i := text.find("<?=")) < 0:
             out.error = "no code"
