@@ -235,7 +235,7 @@ def neighbour_pairs(graph: DataFrame, k: int = 5) -> DataFrame:
     return e.select(F.least("id", "other").alias("vec_a"), F.greatest("id", "other").alias("vec_b")).distinct()
 
 
-def search(index: Index, vectors: DataFrame, queries: DataFrame, k: int = 5, beam: int = 24, steps: int = 12) -> DataFrame:
+def search(index: Index, vectors: DataFrame, queries: DataFrame, k: int = 5, beam: int = 48, steps: int = 12) -> DataFrame:
     """A row (query, rank, id, cosine) for the k nearest vectors of each query (id, vec), by greedy search of the graph.
 
     Each query starts from the entries of its nearest cells, looks up the neighbours of the best half of the ``beam`` vectors it has seen best, and ends

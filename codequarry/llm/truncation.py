@@ -12,6 +12,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .lineage import materialised
 from .prose import _CJK
 
 # What a text is said to be followed by where its rest was lost.
@@ -150,7 +151,7 @@ def storage_limits(texts: DataFrame, source: list[str], text: str = "text", leas
 
     A limit is a length that at least ``least`` texts have exactly, ``contrast`` times as many as the lengths up to 20 below it have on
     average, and that at most a share ``beyond`` of the texts exceeds. Only counts per length are shuffled: a source of any size leaves one row per
-    length and measure. Null and blank texts don't count; an empty table gives no rows. Ties go to the more exact fit (fewer beyond), then by name.
+    length and measure. Null and blank texts don't count; an empty table gives no rows. Ties go to the more exact fit (fewer beyond), then to the simpler measure.
     """
     t = texts.filter(F.trim(F.col(text)) != "")
     m = measures(F.col(text))
@@ -163,16 +164,17 @@ def storage_limits(texts: DataFrame, source: list[str], text: str = "text", leas
         .withColumn("n_texts", F.sum("n").over(W.partitionBy(*source, "measure")))
     )
     spikes = counts.filter((F.col("n") >= least) & (F.col("n") >= contrast * F.col("below") / 20) & (F.col("n_beyond") <= F.greatest(F.lit(1.0), beyond * F.col("n_texts"))) & (F.col("n_beyond") < F.col("n")))
-    best = W.partitionBy(*source).orderBy((F.col("n") - F.col("n_beyond")).desc(), F.col("n").desc(), "measure", "length")
+    order = F.array_position(F.array(*(F.lit(k) for k in m)), F.col("measure"))
+    best = W.partitionBy(*source).orderBy((F.col("n") - F.col("n_beyond")).desc(), F.col("n").desc(), order, "length")
     return spikes.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select(*source, "measure", F.col("length").alias("max_length"), F.col("n").alias("n_at"), "n_beyond", "n_texts")
 
 
 def truncated(texts: DataFrame, key: list[str], source: list[str], text: str = "text", limits: DataFrame | None = None) -> DataFrame:
     """A row (key, source columns, reason, at_limit) for each text that stops before its end.
 
-    A text counts as cut if its ending shows it (``ending``), or if it is exactly as long as its source's hidden limit, or that with a note.
-    A text that ends in three dots, or with a list item, is whole if the same sentence, digits aside, stands inside other texts, unless the limit speaks
-    against it. Null and blank texts are no cases. Repeated rows count each. limits: those of storage_limits, by default found here.
+    A text counts as cut if its ending shows it (``ending``). One that ends in three dots, or with a list item, is whole if the same sentence, digits
+    aside, stands inside other texts, unless it is exactly as long as its source's hidden limit (at_limit), or that with a note. A text of that very
+    length whose ending is whole is no case: about as many whole texts have any length near it. Null and blank texts are no cases. Repeated rows count each. limits: those of storage_limits, by default found here.
     Other columns, whatever their names, are not looked at. The limits are few (one per source) and joined; Spark broadcasts them if they are small.
     """
     t = texts.select(*key, *source, F.col(text).alias("_t")).filter(F.trim("_t") != "")
@@ -191,6 +193,7 @@ def truncated(texts: DataFrame, key: list[str], source: list[str], text: str = "
     lengths = F.create_map(*(x for k, v in m.items() if k != "latin1_bytes" for x in (F.lit(k), v.cast("long"))))
     note = F.length(F.regexp_extract("_t", r"(\s*(?:…|\.\.\.)?\s*(?:\[[^\]]{0,30}\]|\([^)]{0,30}\))|…|\.\.\.)\s*$", 1))
     seen = seen.select(*key, *source, F.col("_i.reason").alias("reason"), F.col("_i.last").alias("_last"), F.col("_i.inner").alias("_inner"), lengths.alias("_n"), F.char_length("_t").alias("_c"), note.alias("_note"))
+    seen = materialised(seen)
     known = seen.select(F.explode("_inner").alias("_last")).distinct().withColumn("_known", F.lit(True))
     at = F.col("_n")[F.col("measure")]
     checked = seen.drop("_inner").join(known, "_last", "left").join(limits.select(*source, "measure", "max_length"), source, "left")
@@ -198,7 +201,7 @@ def truncated(texts: DataFrame, key: list[str], source: list[str], text: str = "
     doubtful = F.col("reason").isin("ellipsis", "item") & F.col("_known") & ~at_limit
     return (
         checked.withColumn("at_limit", at_limit)
-        .withColumn("reason", F.when(F.coalesce(doubtful, F.lit(False)), None).otherwise(F.coalesce("reason", F.when(F.col("at_limit"), F.lit("limit")))))
+        .withColumn("reason", F.when(~F.coalesce(doubtful, F.lit(False)), F.col("reason")))
         .filter(F.col("reason").isNotNull())
         .select(*key, *source, "reason", "at_limit")
     )
