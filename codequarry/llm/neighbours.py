@@ -118,6 +118,7 @@ def _visited(places: DataFrame, visits: DataFrame, k: int, sizes: DataFrame) ->
     """(id, cell, far, ids) of each visit (id, vec, cell): the k best members of the cell. Large cells are compared in parts, many visitors in shares, so that no task gets more than MEMBERS x VISITORS."""
     load = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("v")).join(sizes, "cell")
     load = load.select("cell", F.ceil(F.col("v") / VISITORS).cast("int").alias("shares"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("parts"))
+    load = _small(load)  # a row a cell
     members = places.select("id", "vec", "home").join(load.withColumnRenamed("cell", "home"), "home")
     members = members.select("id", "vec", "home", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
     guests = visits.join(load, "cell")
@@ -125,6 +126,12 @@ def _visited(places: DataFrame, visits: DataFrame, k: int, sizes: DataFrame) ->
     return members.groupBy("home", "part", "share").cogroup(guests.groupBy("c", "p", "s")).applyInPandas(_compare(k), "id bigint, cell bigint, far array<double>, ids array<bigint>")
 
 
+def _small(df: DataFrame, rows: int = 300_000) -> DataFrame:
+    """The rows, computed once, and marked to be broadcast if they are so few; more are joined by shuffle."""
+    df = materialised(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def _as_lists(far: Column, ids: Column, cell: Column) -> Column:
     return F.zip_with(far, ids, lambda f, i: F.struct(f.alias("far"), i.alias("id"), cell.alias("cell")))
 
@@ -209,7 +216,8 @@ def build(vectors: DataFrame, k: int = 5, kept: int = KEPT, rounds: int = ROUNDS
         edges = graph.select("id", "seen", F.explode(F.slice("nbrs", 1, k)).alias("_e")).select("id", "seen", F.col("_e.id").alias("via"))
         onward = graph.select(F.col("id").alias("via"), F.transform(F.slice("nbrs", 1, k), lambda x: x["cell"]).alias("_cells"))
         fresh = edges.join(onward, "via").select("id", F.explode(F.array_distinct(F.array_except("_cells", "seen"))).alias("cell")).distinct()
-        found = _visited(places, fresh.join(places.select("id", "vec"), "id"), kept, sizes)
+        fresh = _small(fresh)
+        found = _visited(places, places.select("id", "vec").join(fresh, "id"), kept, sizes)
         found = found.select("id", _as_lists(F.col("far"), F.col("ids"), F.col("cell")).alias("nbrs"), F.array("cell").alias("seen"))
         old = graph.select("id", "nbrs", "seen", F.transform(F.slice("nbrs", 1, k), lambda x: x["id"]).alias("_before"))
         both = old.unionByName(found, allowMissingColumns=True)
