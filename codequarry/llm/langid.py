@@ -103,16 +103,16 @@ class LanguageModel:
         return [NL_LANGUAGES[x] for x in reversed(out)]
 
 
-def fit(documents: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 200) -> LanguageModel:
-    """A model from at most ``per_language`` documents of each language label (those of the least hash of the key).
+def fit(documents: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 200, longest: int = 100_000) -> LanguageModel:
+    """A model from at most ``per_language`` documents of each language label (those of the least hash of the key, none longer than ``longest`` characters).
 
     Rows with a null text, label or key are not used; labels other than the nine codes are not either. Fields of code are left out.
     An empty table leaves the function words, which do as a model of their own. Rows come to the driver; 7 times per_language at most.
     """
-    d = documents.select(F.col(key).alias("k"), F.lower(lang).alias("g"), F.col(text).alias("t")).filter(F.col("g").isin(*ALPHABETIC) & F.col("t").isNotNull() & F.col("k").isNotNull())
+    d = documents.select(F.col(key).alias("k"), F.lower(lang).alias("g"), F.col(text).alias("t")).filter(F.col("g").isin(*ALPHABETIC) & (F.char_length("t") <= longest) & F.col("k").isNotNull())
     w = W.partitionBy("g").orderBy(F.xxhash64("k"), "k")
     chosen = d.select("k", "g").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_language).drop("r").distinct()
-    rows = d.join(F.broadcast(chosen), ["k", "g"]).select("g", F.substring("t", 1, 20_000).alias("t")).collect()
+    rows = d.join(F.broadcast(chosen), ["k", "g"]).select("g", "t").collect()
     counts: dict[str, Counter] = defaultdict(Counter)
     for g, t in rows:
         t = re.sub(r"```[\s\S]*?(?:```|\Z)", " ", t)

@@ -218,10 +218,10 @@ def pack(items: DataFrame, targets: DataFrame, item_key: str = "doc_id", size: s
     spark = items.sparkSession
     kinds = [(t, int(c)) for t, c in targets.select(target_key, capacity).distinct().collect() if t is not None and c is not None and c >= 1]
     kind_type = dict(targets.dtypes)[target_key]
-    kind_table = spark.createDataFrame([(t, c, max(1, -(-c // BINS))) for t, c in kinds], f"_t {kind_type}, _c bigint, _w bigint")
+    kind_list = F.array(*(F.struct(F.lit(t).cast(kind_type).alias("_t"), F.lit(c).cast("long").alias("_c"), F.lit(max(1, -(-c // BINS))).cast("long").alias("_w")) for t, c in kinds)).cast(f"array<struct<_t:{kind_type},_c:bigint,_w:bigint>>")
     base = items.select(F.col(item_key).alias("_k"), F.col(size).cast("long").alias("_n")).filter((F.col("_n") > 0) & F.col("_k").isNotNull())
     base = materialised(base.withColumn("_u", F.monotonically_increasing_id()))  # read for the counts and for the result; keys may repeat
-    every = base.crossJoin(F.broadcast(kind_table))  # each item with each of the few kinds
+    every = base.select("*", F.explode(kind_list).alias("_kind")).select("_k", "_n", "_u", "_kind.*")  # each item for each of the few kinds
     full = (F.col("_n") / F.col("_c")).cast("long")
     rest = F.col("_n") - full * F.col("_c")
 

@@ -102,15 +102,15 @@ def majority_labels(labels: DataFrame, doc_key: str = "doc_id", level: str = "re
     return best.filter(F.size(F.filter("ns", lambda x: x == F.col("b.n"))) == 1).select(F.col("_k").alias(doc_key), F.col("b._l").alias("level"))
 
 
-def fit(documents: DataFrame, labels: DataFrame, per_level: int = 500, doc_key: str = "doc_id", text: str = "text") -> LevelModel:
-    """A model from at most ``per_level`` labelled documents of each level (those of the least hash of the key), which come to the driver.
+def fit(documents: DataFrame, labels: DataFrame, per_level: int = 500, doc_key: str = "doc_id", text: str = "text", longest: int = 100_000) -> LevelModel:
+    """A model from at most ``per_level`` labelled documents of each level (those of the least hash of the key; of these, none longer than ``longest``), which come to the driver.
 
     Where no document is labelled, as many documents (of the least hash) are taken and labelled by ``grade``.
     """
     chosen = majority_labels(labels, doc_key)
     w = W.partitionBy("level").orderBy(F.xxhash64(doc_key), doc_key)
     chosen = chosen.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_level).drop("_r")
-    docs = documents.select(F.col(doc_key), F.col(text).alias("_t")).filter(F.col("_t").isNotNull())
+    docs = documents.select(F.col(doc_key), F.col(text).alias("_t")).filter(F.char_length("_t") <= longest)
     rows = docs.join(F.broadcast(chosen), doc_key).select("level", "_t").collect()
     if not rows:
         rows = [(grade(t), t) for (t,) in docs.orderBy(F.xxhash64(doc_key)).limit(3 * per_level).select("_t").collect()]
