@@ -33,6 +33,17 @@ def sample_batches(spark: SparkSession, d: str) -> DataFrame:
     return sampling.batches(_table(spark, d, "documents").select("doc_id"), "doc_id", 32, 7).select("doc_id", "batch_id", "place")
 
 
+def stream_batches(spark: SparkSession, d: str) -> DataFrame:
+    from ..streaming.batches import stream_batches as start
+    from ..streaming.folders import scratch
+
+    table = _table(spark, d, "events")
+    rows = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 100_000).parquet(f"{d}/events*.parquet").select("event_id")
+    out = scratch(spark)
+    start(rows, "event_id", 64, f"{out}/out", f"{out}/state", 5).awaitTermination()
+    return spark.read.parquet(f"{out}/out").select("event_id", "batch_id", "place")
+
+
 def choose_positive(spark: SparkSession, d: str) -> DataFrame:
     t = _table(spark, d, "annotation").filter("size(urls) > 0").select("query_id", "urls").distinct()
     return t.select("query_id", sampling.choose(F.col("urls"), F.col("query_id"), 3)[0].alias("url"))
@@ -159,6 +170,7 @@ ORACLES = {
     "token_truncate_eos": f"SELECT query_id, {_EOS.format('ids[1:4]')} AS reserved, {_EOS.format('ids[1:5]')} AS appended FROM (SELECT DISTINCT query_id, {_IDS} AS ids FROM annotation WHERE query IS NOT NULL)",
     "pad_batch": f"SELECT query_id, array_to_string(list_concat(ids, list_transform(range(m - len(ids)), lambda x: 0)), ' ') AS ids, array_to_string(list_concat(list_transform(ids, lambda x: 1), list_transform(range(m - len(ids)), lambda x: 0)), ' ') AS mask FROM (SELECT *, max(len(ids)) OVER (PARTITION BY query_id // 16) AS m FROM (SELECT DISTINCT query_id, {_IDS} AS ids FROM annotation WHERE query IS NOT NULL))",
     "sample_batches": "SELECT doc_id, CAST((r - 1) // 32 AS BIGINT) AS batch_id, CAST((r - 1) % 32 AS BIGINT) AS place FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) AS r FROM documents)",
+    "stream_batches": "SELECT event_id, CAST((r - 1) // 64 AS BIGINT) AS batch_id, CAST((r - 1) % 64 AS BIGINT) AS place FROM (SELECT event_id, row_number() OVER (ORDER BY md5('5:' || event_id), event_id) AS r FROM events)",
     "choose_positive": f"SELECT query_id, {_CHOOSE.format('urls', 'query_id', 1)}[1] AS url FROM (SELECT DISTINCT query_id, urls FROM annotation WHERE len(urls) > 0)",
     "sample_candidates": f"SELECT prediction_id, array_to_string({_CHOOSE.format('ids', 'prediction_id', 4)}, ' ') AS chosen FROM (SELECT prediction_id, list_transform(candidates, lambda x: x.id) AS ids FROM predictions WHERE len(candidates) > 0)",
     "equalise_shards": "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= (SELECT min(n) FROM (SELECT count(*) AS n FROM documents GROUP BY source))",
@@ -175,4 +187,4 @@ ORACLES = {
     "loss_describe": f"WITH {_PAIRS}, l AS ({_mean([_QP])}) SELECT round(min(loss), 6) AS stat_min, round(max(loss), 6) AS stat_max, round(avg(loss), 6) AS stat_mean, " + ", ".join(f"round(quantile_cont(loss, {q}), 6) AS p{str(q)[2:].ljust(2, '0')}" for q in evaluate.QUANTILES) + " FROM l",
     "lr_schedule": "SELECT event_id, round(CASE WHEN event_id < 100 THEN event_id / 100.0 ELSE greatest(0.0, (5000 - event_id) / 4900.0) END, 6) AS factor FROM events",
 }
-QUERIES = {f.__name__: f for f in (token_truncate_eos, pad_batch, sample_batches, choose_positive, sample_candidates, equalise_shards, csn_candidates_wor, csn_candidates_wr, loss_infonce, loss_clip, loss_clip_hn, loss_gte, loss_gte_hn, loss_falseneg, loss_kl, loss_mix, loss_describe, lr_schedule)}
+QUERIES = {f.__name__: f for f in (token_truncate_eos, pad_batch, sample_batches, stream_batches, choose_positive, sample_candidates, equalise_shards, csn_candidates_wor, csn_candidates_wr, loss_infonce, loss_clip, loss_clip_hn, loss_gte, loss_gte_hn, loss_falseneg, loss_kl, loss_mix, loss_describe, lr_schedule)}
