@@ -26,7 +26,8 @@ _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>|\{%.*?%\}|!?\[([^\]\n]*)\]\([^)\n]*
 _INLINE = re.compile(r"`[^`\n]*`|https?://\S+|\b\w+(?:[._/]\w+)+\b|\b\w+\([^)\n]*\)|&[a-z]+;")
 _CODE_LINE = re.compile(r"^[ \t]*(?:assert\b|>>>|\$ |expect\(|def |class \w+[:(]|import |from \w+ import|return\b|function |const |let |var |func |local |public |private |#include|<\?php|[{}()\[\];]+\s*$)|[{};]\s*$|==|\+=|:=|=>|->")
 _MARKED = re.compile(r"[`/_(.&]\S|[`)]")
-_SPLIT = re.compile(r"(?<=[.!?…。！？])[\"')\]*_]*\s+|\n+")
+_SPLIT = re.compile(r"[.!?…。！？]+[\"')\]*_]*\s+|\n+")
+_CODEISH = re.compile(r"[{};=>(\[]|^[ \t]*(?:assert|import|from|return|def|class|const|let|var|func|function|local|public|private|[$#<}\])])")
 _JOIN = re.compile(r"(?<=[^\n.!?:])\n(?=[a-z])")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _OTHER = {k: v for k, v in FUNCTION.items() if k != "en"}
@@ -40,11 +41,11 @@ def sentences(text: str) -> Iterator[list[str]]:
         text = _FENCE.sub("\n", text)
     if "<" in text or "](" in text or "{%" in text:
         text = _TAG.sub(lambda m: m[1] or " ", _PRE.sub(" ", text))
-    lines = [_INLINE.sub(" ", x) if _MARKED.search(x) else x for x in text.split("\n") if x and not _CODE_LINE.search(x)]
+    lines = [_INLINE.sub(" ", x) if _MARKED.search(x) else x for x in text.split("\n") if x and not (_CODEISH.search(x) and _CODE_LINE.search(x))]
     # a line that goes on in the next one, in lower case, is one sentence with it
     text = _JOIN.sub(" ", "\n".join(lines))
-    for s in _SPLIT.split(text):
-        words = _WORD.findall(s.lower())
+    for s in _SPLIT.split(text.lower()):
+        words = _WORD.findall(s)
         if len(words) < 2:
             continue
         own = set(words)
