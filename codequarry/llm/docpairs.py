@@ -51,7 +51,7 @@ def blanked(text: str, lexed: Lexed) -> str:
     for a, b in sorted([*lexed.comments, *lexed.strings]):
         if a < at:
             continue
-        out += text[at:a], re.sub(r"[^\r\n]", " ", text[a:b])
+        out += text[at:a], re.sub(r"[^\r\n]", " ", text[a:b]) if "\n" in text[a:b] or "\r" in text[a:b] else " " * (b - a)
         at = b
     return "".join([*out, text[at:]])
 
