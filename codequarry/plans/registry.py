@@ -25,14 +25,18 @@ class Run:
     options: dict = field(default_factory=dict)
 
 
-INSTRUCTION = "Instruct: Given a web search query, retrieve relevant passages that answer the query\nQuery: "
-# The retrievers of the benchmark runs and what sets each apart.
+INSTRUCTION = "Instruct: Given a query, retrieve a relevant code snippet.\nQuery: "
+_LAST_TOKEN = {"kind": "dense", "options": {"pool": "last-token", "eos": 151643}}
+_INSTRUCTED = {**_LAST_TOKEN, "query_prefix": INSTRUCTION}
+# The retrievers of the benchmark runs and what sets each apart. Models of one family and several sizes are named by a rule.
 RETRIEVERS = {
     "tf-idf--default-analyzer": {"options": {"analyzer": "v1"}},
     "tf-idf--custom-analyzer": {"options": {"analyzer": "v2"}},
-    "last-token-0.6b": {"kind": "dense", "query_prefix": INSTRUCTION, "options": {"eos": 151643}},
-    "last-token-4b": {"kind": "dense", "query_prefix": INSTRUCTION, "options": {"eos": 151643}},
-    "last-token-8b": {"kind": "dense", "query_prefix": INSTRUCTION, "options": {"eos": 151643}},
+    **{f"instructed-{size}": _INSTRUCTED for size in ("0.6b", "4b", "8b")},
+    **{f"instructed-search-{size}": _INSTRUCTED for size in ("1.5b", "base")},
+    **{f"last-token-{size}{tuned}": _LAST_TOKEN for size in ("0.5b", "1.5b", "3b", "7b") for tuned in ("", "-pt")},
+    "encoder-large": {"kind": "dense"},
+    "encoder-base": {"kind": "dense"},
     "mean-pool-code": {"kind": "dense", "query_prefix": "Query: ", "passage_prefix": "Passage: "},
     "rank-embed": {"kind": "dense", "query_prefix": "Represent this query for searching relevant code: "},
     "hashed-words": {"kind": "dense", "options": {"embedder": "hashed"}},
