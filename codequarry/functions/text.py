@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 #: ASCII white space, which marker stripping uses, and the wider set that text stripping uses.
@@ -20,6 +22,11 @@ GO_STOPS = ("@param", "@return", "- ")
 PAIR_LANGUAGES = ("C", "C#", "C++", "Go", "Java", "JavaScript", "Julia", "Kotlin", "Lua", "PHP", "Python", "R", "Ruby", "Rust", "Scala", "TypeScript")
 
 
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of an expression that is evaluated once, however often it is read there."""
+    return F.transform(F.array(c), use)[0]
+
+
 def strip(c: Column) -> Column:
     """The text without Unicode white space at its ends."""
     return F.regexp_replace(c, f"^{_WIDE}+|{_WIDE}+$", "")
@@ -27,8 +34,7 @@ def strip(c: Column) -> Column:
 
 def split_lines(c: Column) -> Column:
     """The lines of a text; a line end at the end of the text begins no further line, an empty text has none."""
-    parts = F.split(c, _LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(c, _LINE_END, -1), lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x))
 
 
 def trim_set(c: Column, left: str = "", right: str = "") -> Column:
@@ -64,10 +70,14 @@ def clean_multi_line_comment(c: Column, lang: Column) -> Column:
 
 def clean_brief(c: Column) -> Column:
     """The text without the first of ``@brief``, ``\\brief`` and ``!`` with a line of ``\\brief`` that it begins with."""
-    out = c
-    for mark in ("!\n\\brief", "\\brief", "@brief"):
-        out = F.when(c.startswith(mark), F.ltrim(F.substring(c, len(mark) + 1, 1 << 30), F.lit(ASCII_SPACE))).otherwise(out)
-    return out
+
+    def cut(x: Column) -> Column:
+        out = x
+        for mark in ("!\n\\brief", "\\brief", "@brief"):
+            out = F.when(x.startswith(mark), F.ltrim(F.substring(x, len(mark) + 1, 1 << 30), F.lit(ASCII_SPACE))).otherwise(out)
+        return out
+
+    return let(c, cut)
 
 
 def _starts(c: Column, prefixes: tuple[str, ...]) -> Column:
@@ -79,8 +89,11 @@ def _starts(c: Column, prefixes: tuple[str, ...]) -> Column:
 
 def _lines_until(lines: Column, stop) -> Column:
     """The lines before the first for which stop holds."""
-    at = F.array_position(F.transform(lines, stop), True)
-    return F.when(at > 0, F.slice(lines, 1, F.greatest(at - 1, F.lit(0)).cast("int"))).otherwise(lines)
+
+    def before(x: Column) -> Column:
+        return let(F.array_position(F.transform(x, stop), True), lambda at: F.when(at > 0, F.slice(x, 1, F.greatest(at - 1, F.lit(0)).cast("int"))).otherwise(x))
+
+    return let(lines, before)
 
 
 def _kept(lines: Column) -> Column:
@@ -92,8 +105,10 @@ def query_skip(c: Column, identifier: Column) -> Column:
     lines = F.transform(split_lines(c), strip)
     lines = _lines_until(lines, lambda x: F.lower(x).startswith("-") & F.contains(F.lower(x), F.lit("example")))
 
-    def keep(x: Column) -> Column:
-        low = F.lower(x)
+    def keep(line: Column) -> Column:
+        return let(F.lower(line), describes)
+
+    def describes(low: Column) -> Column:
         first = F.element_at(F.split(low, r"\s+"), 1)
         tag = low.startswith("@") & ~low.startswith("@brief")
         return ~(F.contains(low, identifier) | _starts(low, SKIP_PREFIXES) | tag | F.coalesce(first.endswith(":"), F.lit(False)))
@@ -109,9 +124,13 @@ def query_break(c: Column, stops: tuple[str, ...]) -> Column:
 
 def query_summary(c: Column) -> Column:
     """What stands between the first ``<summary>`` and the first ``</summary>``, if both are there; nothing if they come in the wrong order."""
-    a, b = F.instr(c, "<summary>"), F.instr(c, "</summary>")
-    inner = F.when(b > a, F.substring(c, a + 9, F.greatest(b - a - 9, F.lit(0)))).otherwise("")
-    return strip(F.when((a > 0) & (b > 0), inner).otherwise(c))
+
+    def cut(x: Column) -> Column:
+        a, b = F.instr(x, "<summary>"), F.instr(x, "</summary>")
+        inner = F.when(b > a, F.substring(x, a + 9, F.greatest(b - a - 9, F.lit(0)))).otherwise("")
+        return F.when((a > 0) & (b > 0), inner).otherwise(x)
+
+    return strip(let(c, cut))
 
 
 def comment_to_query(c: Column, lang: Column, identifier: Column) -> Column:
@@ -142,8 +161,7 @@ def byte_slice(c: Column, start: Column, end: Column) -> Column:
 
 def split_camel(c: Column) -> Column:
     """The parts of a camel-case name; the name itself if there are none."""
-    parts = F.regexp_extract_all(c, F.lit(CAMEL), F.lit(0))
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(c))
+    return let(F.regexp_extract_all(c, F.lit(CAMEL), F.lit(0)), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(c)))
 
 
 def grams(words: Column, most: int = 3) -> Column:

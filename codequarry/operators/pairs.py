@@ -38,13 +38,16 @@ def mine_pairs(files: DataFrame, file: str = "file_id", strict: bool = True) ->
     f = functions.select(file, F.col("id").alias("function_id"), F.col("start_byte").alias("fa"), F.col("end_byte").alias("fb"), "scope", "identifier", "type")
     c = comments.select(file, F.col("id").alias("comment_id"), F.col("start_byte").alias("ca"), F.col("end_byte").alias("cb"), "many")
     full = hits.join(f, [file, "function_id"]).join(c, [file, "comment_id"]).join(ready.select(file, "repo_name", "path", F.col("language").alias("lang"), "content", "comments"), file)
-    raw = byte_slice(F.col("content"), F.col("ca"), F.col("cb"))
+    full = full.select("*", F.explode(F.array(byte_slice(F.col("content"), F.col("ca"), F.col("cb")))).alias("_raw"))
+    raw = F.col("_raw")
     body = F.col("fb") - F.col("fa")
     inside = F.transform(F.filter("comments", lambda x: (x["start_byte"] >= F.col("fa")) & (x["end_byte"] <= F.col("fb"))), lambda x: F.struct((x["start_byte"] - F.col("fa")).alias("start_byte"), (x["end_byte"] - F.col("fa")).alias("end_byte")))
     snippet = strip_spans(byte_slice(F.col("content"), F.col("fa"), F.col("fa") + body), inside)
     lang = F.col("lang")
     cleaned = clean_brief(F.when(F.col("many"), clean_multi_line_comment(raw, lang)).otherwise(clean_single_line_group(raw, lang)))
-    out = full.withColumn("comment", cleaned).withColumn("query", comment_to_query(F.col("comment"), lang, F.col("identifier")))
+    # exploded, not projected: what is filtered below would be pushed into the projections and evaluated again at each mention
+    out = full.select("*", F.explode(F.array(cleaned)).alias("comment"))
+    out = out.select("*", F.explode(F.array(comment_to_query(F.col("comment"), lang, F.col("identifier")))).alias("query"))
     return out.filter(F.col("query").isNull() & F.col("comment").isNotNull() | (F.col("query") != "")).select(
         file, "repo_name", "lang", "path", "comment", "query", snippet.alias("snippet"), "scope", "identifier", "type", "comment_id", F.col("function_id").alias("snippet_id")
     )

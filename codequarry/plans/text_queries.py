@@ -96,7 +96,12 @@ def span_theta_join(spark: SparkSession, d: str) -> DataFrame:
 
 def mined_pairs(spark: SparkSession, d: str) -> DataFrame:
     p = pairs.accepted(pairs.mine_pairs(_table(spark, d, "parse_source_code"), strict=False))
-    return p.select("file_id", "lang", "comment_id", "snippet_id", "query", "snippet")
+    return p.select("file_id", "lang", "comment_id", "snippet_id", "query")
+
+
+def mined_snippets(spark: SparkSession, d: str) -> DataFrame:
+    p = pairs.accepted(pairs.mine_pairs(_table(spark, d, "parse_source_code"), strict=False))
+    return p.select("file_id", "comment_id", "snippet_id", "snippet", "scope")
 
 
 def unique_name_resolution(spark: SparkSession, d: str) -> DataFrame:
@@ -146,7 +151,33 @@ _BLOCKS = r"SELECT file_id, z[1] - 1 AS n, z[2] AS block FROM (SELECT file_id, u
 _CLEAN_BLOCK = "array_to_string(list_filter(list_transform(" + _sql_lines("block") + f", lambda x: trim(x, '/*' || {_ASCII})), lambda x: x <> ''), chr(10))"
 _STRIPPED = f"list_transform({_sql_lines('text')}, lambda x: {_sql_strip('x')})"
 
+_GROUPS = """c AS (SELECT file_id, content, x.id AS id, x.is_multi_line AS many, x.start_byte AS a, x.end_byte AS b, x.start_point[1] AS sr, x.start_point[2] AS sc, x.end_point[1] AS er FROM (SELECT file_id, content, unnest(comments) AS x FROM parse_source_code WHERE content IS NOT NULL)),
+l AS (SELECT *, regexp_matches(coalesce(try(decode(encode(content)[a - sc + 1:a])), 'x'), '^\\s*$') AS s FROM c WHERE NOT many),
+i AS (SELECT *, sum(g) OVER (PARTITION BY file_id ORDER BY a, id) AS island FROM (SELECT *, CASE WHEN s AND lag(s) OVER w AND sr - lag(sr) OVER w = 1 THEN 0 ELSE 1 END AS g FROM l WINDOW w AS (PARTITION BY file_id ORDER BY a, id))),
+g AS (SELECT file_id, id, a, b, sr, er, true AS many FROM c WHERE many UNION ALL SELECT file_id, arg_min(id, (a, id)), min(a), arg_max(b, (a, id)), arg_min(sr, (a, id)), arg_max(er, (a, id)), false FROM i GROUP BY file_id, island)"""
+_UNMARKED = "CASE WHEN lang IN ('Python', 'Julia', 'Ruby', 'R') THEN ltrim(x, '#' || {0}) WHEN lang = 'Lua' THEN ltrim(x, '-' || {0}) ELSE ltrim(x, '/' || {0}) END".format(_ASCII)
+_CLEANED = f"""CASE WHEN NOT many THEN array_to_string(list_transform({_sql_lines('raw')}, lambda x: {_UNMARKED}), chr(10)) WHEN lang = 'Python' THEN trim(raw, '"' || chr(39) || {_ASCII}) WHEN lang = 'Lua' THEN rtrim(ltrim(raw, '-[' || {_ASCII}), '-]' || {_ASCII})
+WHEN lang = 'Ruby' THEN CASE WHEN starts_with(raw, '=begin') AND ends_with(raw, '=end') THEN {_sql_strip('substr(raw, 7, greatest(length(raw) - 10, 0))')} ELSE raw END ELSE {_CLEAN_BLOCK.replace('block', 'raw')} END"""
+_BRIEF = f"CASE WHEN starts_with(c, '@brief') THEN ltrim(substr(c, 7), {_ASCII}) WHEN starts_with(c, '\\brief') THEN ltrim(substr(c, 7), {_ASCII}) WHEN starts_with(c, '!' || chr(10) || '\\brief') THEN ltrim(substr(c, 9), {_ASCII}) ELSE c END"
+_SKIPPED = f"""list_filter(CASE WHEN e > 0 THEN list_slice(l, 1, e - 1) ELSE l END, lambda x: x <> '' AND NOT (contains(lower(x), ident) OR {_sql_any('lower(x)', T.SKIP_PREFIXES)} OR (starts_with(lower(x), '@') AND NOT starts_with(lower(x), '@brief')) OR ends_with(list_first(string_split_regex(lower(x), '\\s+')), ':')))"""
+
+
+def _sql_stop(stops: tuple[str, ...]) -> str:
+    at = f"coalesce(list_position(list_transform(l, lambda x: {_sql_any('lower(x)', stops)}), true), 0)"
+    return f"list_filter(CASE WHEN {at} > 0 THEN list_slice(l, 1, {at} - 1) ELSE l END, lambda x: x <> '')"
+
+
+_MINED = f"""WITH {_GROUPS}, f AS (SELECT file_id, language AS lang, content, x.id AS fid, x.start_byte AS fa, x.end_byte AS fb, x.start_point[1] AS fr, x.identifier AS ident FROM (SELECT file_id, language, content, unnest(snippets) AS x FROM parse_source_code WHERE content IS NOT NULL AND language IN ({', '.join(repr(x) for x in T.PAIR_LANGUAGES)})) WHERE starts_with(x.type, 'function') OR starts_with(x.type, 'method')),
+h AS (SELECT DISTINCT f.file_id, f.lang, g.id AS cid, f.fid, f.ident, g.many, try(decode(encode(f.content)[g.a + 1:g.b])) AS raw FROM g JOIN f ON g.file_id = f.file_id AND (f.fr - g.er = 1 OR (f.fa <= g.a AND g.b <= f.fb AND g.sr - f.fr BETWEEN 0 AND 3))),
+b AS (SELECT file_id, lang, cid, fid, ident, {_BRIEF} AS t FROM (SELECT *, {_CLEANED} AS c FROM h)),
+n AS (SELECT *, coalesce(list_position(list_transform(l, lambda x: starts_with(lower(x), '-') AND contains(lower(x), 'example')), true), 0) AS e FROM (SELECT *, list_transform({_sql_lines('t')}, lambda x: {_sql_strip('x')}) AS l FROM b)),
+q AS (SELECT file_id, lang, cid, fid, array_to_string(CASE WHEN lang = 'Python' THEN {_sql_stop(T.PYTHON_STOPS)} WHEN lang = 'Go' THEN {_sql_stop(T.GO_STOPS)} ELSE {_SKIPPED} END, chr(10)) AS query FROM n)
+SELECT file_id, lang, cid AS comment_id, fid AS snippet_id, query FROM q WHERE query <> ''"""
+
 ORACLES = {
+    "byte_slice": "SELECT file_id, CAST(i - 1 AS BIGINT) AS pos, try(decode(encode(content)[snippets[i].start_byte + 1:snippets[i].end_byte])) AS snippet FROM (SELECT *, unnest(range(1, len(snippets) + 1)) AS i FROM parse_source_code WHERE content IS NOT NULL)",
+    "comment_group_spans": f"WITH {_GROUPS} SELECT file_id, CAST(a AS BIGINT) AS start_byte, CAST(b AS BIGINT) AS end_byte, many FROM g",
+    "mined_pairs": _MINED,
     "file_gate_status": f"SELECT file_id, CASE WHEN NOT coalesce({_KNOWN_SQL}, false) THEN 'not_implemented' WHEN length_bytes > 8000 THEN 'too_long_file' WHEN num_lines > 250 THEN 'too_many_rows' WHEN max_line_length > 140 THEN 'too_long_line' WHEN coalesce(lower(src_encoding), '') <> 'utf-8' THEN 'bad_encoding' ELSE 'success' END AS status FROM parse_source_code",
     "file_text_sizes": "SELECT file_id, CAST(octet_length(encode(content)) AS BIGINT) AS length_bytes, CAST(len(string_split(content, chr(10))) AS BIGINT) AS num_lines, CAST(list_max(list_transform(string_split(content, chr(10)), lambda x: length(x))) AS BIGINT) AS max_line_length FROM parse_source_code WHERE content IS NOT NULL",
     "file_stats_describe": "SELECT language, CAST(min(num_lines) AS DOUBLE) AS stat_min, CAST(max(num_lines) AS DOUBLE) AS stat_max, round(avg(num_lines), 6) AS stat_mean, " + ", ".join(f"round(quantile_cont(num_lines, {q}), 6) AS p{str(q)[2:].ljust(2, '0')}" for q in evaluate.QUANTILES) + " FROM parse_source_code WHERE language IS NOT NULL GROUP BY language",
@@ -166,4 +197,4 @@ SELECT DISTINCT c.file_id, c.x.id AS comment_id, f.x.id AS function_id FROM c JO
 SELECT p.file_id, CAST(octet_length(encode(p.content)) - coalesce(s.n, 0) AS BIGINT) AS bytes_left FROM parse_source_code p LEFT JOIN (SELECT m.file_id, sum(greatest(0, least(b, n) - least(greatest(a, coalesce(before, 0)), n))) AS n FROM m JOIN (SELECT file_id, octet_length(encode(content)) AS n FROM parse_source_code) USING (file_id) GROUP BY m.file_id) s ON p.file_id = s.file_id WHERE p.content IS NOT NULL""",
     "header_name_counts": f"SELECT repo_name, identifier, count(*) AS n FROM (SELECT repo_name, x.identifier AS identifier FROM (SELECT repo_name, unnest(snippets) AS x FROM parse_source_code WHERE {_EXT} IN ('.h', '.hpp'))) GROUP BY repo_name, identifier HAVING count(*) = 1",
 }
-QUERIES = {f.__name__: f for f in (file_gate_status, file_text_sizes, file_stats_describe, path_extension, clean_single_line, clean_multi_line, clean_brief, comment_to_query_skip, comment_to_query_break, comment_to_query_summary, group_lines_islands, comment_group_spans, strip_spans, byte_slice, span_theta_join, mined_pairs, unique_name_resolution, header_name_counts, parsed_functions)}
+QUERIES = {f.__name__: f for f in (file_gate_status, file_text_sizes, file_stats_describe, path_extension, clean_single_line, clean_multi_line, clean_brief, comment_to_query_skip, comment_to_query_break, comment_to_query_summary, group_lines_islands, comment_group_spans, strip_spans, byte_slice, span_theta_join, mined_pairs, mined_snippets, unique_name_resolution, header_name_counts, parsed_functions)}
