@@ -133,13 +133,13 @@ def reading_levels(documents: DataFrame, model: LevelModel, doc_key: str = "doc_
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("level string, n bigint, posterior double")
-    def read(texts: pd.Series) -> pd.DataFrame:
-        rows = [shared.value.level(t, least_words) for t in texts]
-        return pd.DataFrame([(x, n, max(p) if p else None) for x, n, p in rows], columns=["level", "n", "posterior"])
+    @F.pandas_udf("array<struct<level:string, n:bigint, posterior:double>>")
+    def read(texts: pd.Series) -> pd.Series:
+        rows = (shared.value.level(t, least_words) for t in texts)
+        return pd.Series([[{"level": x, "n": n, "posterior": max(p)}] if x else [] for x, n, p in rows])
 
     docs = documents.select(F.col(doc_key).alias("_k"), F.col(text).alias("_t")).filter(F.char_length("_t") >= 2 * least_words - 1)
-    return docs.select("_k", read("_t").alias("_r")).filter(F.col("_r.level").isNotNull()).select(F.col("_k").alias(doc_key), F.col("_r.level").alias("reading_level"), F.col("_r.posterior").alias("posterior"), F.col("_r.n").alias("n_words"))
+    return docs.select("_k", F.explode(read("_t")).alias("_r")).select(F.col("_k").alias(doc_key), F.col("_r.level").alias("reading_level"), F.col("_r.posterior").alias("posterior"), F.col("_r.n").alias("n_words"))
 
 
 def level_profile(levels: DataFrame, documents: DataFrame, by: str = "source", doc_key: str = "doc_id") -> DataFrame:
