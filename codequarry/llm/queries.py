@@ -14,9 +14,23 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows over all cores, by a hash of the key, where the table's few files would leave over half of them idle; else as they come, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return _spread(_table(spark, d, "parse_source_code").select("file_id", "repo_name", "language", "content"), "file_id")
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return _spread(_table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
 def _spans(spark: SparkSession, d: str) -> DataFrame:
     model = langid.fit(_table(spark, d, "documents"))
-    return hidden_text.nl_spans(_table(spark, d, "parse_source_code"), model)
+    return hidden_text.nl_spans(_files(spark, d), model)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -55,23 +69,23 @@ def p3_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return invalid.parse_findings(_table(spark, d, "parse_source_code"), ["file_id"]).filter("NOT valid").select("file_id")
+    return invalid.parse_findings(_files(spark, d), ["file_id"]).filter("NOT valid").select("file_id")
 
 
 def p4_rates(spark: SparkSession, d: str) -> DataFrame:
-    return invalid.invalid_rates(_table(spark, d, "parse_source_code"), ["repo_name", "language"])
+    return invalid.invalid_rates(_files(spark, d), ["repo_name", "language"])
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return docpairs.documented_functions(_table(spark, d, "parse_source_code")).filter("parses").select("file_id", F.col("name_row").cast("int").alias("name_row"))
+    return docpairs.documented_functions(_files(spark, d)).filter("parses").select("file_id", F.col("name_row").cast("int").alias("name_row"))
 
 
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return docpairs.documented_functions(_table(spark, d, "parse_source_code")).filter("parses").drop("parses")
+    return docpairs.documented_functions(_files(spark, d)).filter("parses").drop("parses")
 
 
 def p6_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(packing.token_counts(_table(spark, d, "documents")), _table(spark, d, "pack_targets"))
+    return packing.pack(packing.token_counts(_documents(spark, d)), _table(spark, d, "pack_targets"))
 
 
 def p6_fill_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +93,7 @@ def p6_fill_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.leaks(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
+    return leaks.leaks(_documents(spark, d), _table(spark, d, "eval_items"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +106,7 @@ def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents")
-    return reading.reading_levels(docs, reading.fit(docs, _table(spark, d, "reading_labels")))
+    return reading.reading_levels(_documents(spark, d), reading.fit(docs, _table(spark, d, "reading_labels")))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
