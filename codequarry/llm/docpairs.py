@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -45,6 +46,9 @@ _LUA = re.compile(r"\b(?:(?P<o>function|do|then|repeat)|(?P<e>end|until)|(?P<s>e
 _NAMES = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
+_ENDLESS = re.compile(r"[ \t]*(?:\([^)]*\))?[ \t]*=(?!=)")
+
+
 def blanked(text: str, lexed: Lexed) -> str:
     """The text with comments and string literals replaced by blanks of the same length; line breaks stay."""
     out, at = [], 0
@@ -106,8 +110,8 @@ def _ended(code: str, begin: int, language: str) -> int:
     return len(code)
 
 
-def functions_of(text: str, language: str, lexed: Lexed | None = None) -> Iterator[tuple[str, int, int, int, int]]:
-    """(name, where the name is, where its first line begins, where the header ends, where the body ends) of each named function, by place."""
+def functions_of(text: str, language: str, lexed: Lexed | None = None) -> Iterator[tuple[str, int, int, int, Callable[[], int]]]:
+    """(name, where the name is, where its first line begins, where the header ends, a call that tells where the body ends) of each named function, by place."""
     lexed = lexed or lex(text, language)
     code = blanked(text, lexed)
     found: dict[int, tuple] = {}
@@ -124,17 +128,18 @@ def functions_of(text: str, language: str, lexed: Lexed | None = None) -> Iterat
                 if colon < 0:
                     continue
                 line = code.find("\n", colon) + 1 or len(code)
-                head, end = colon + 1, _indented(code, start, line)
+                head, end = colon + 1, partial(_indented, code, start, line)
             elif language in ("Ruby", "Lua"):
-                head, end = m.end(), _ended(code, m.start() + len(m[0]) - len(m[0].lstrip()), language)
-                if language == "Ruby" and re.match(r"[ \t]*(?:\([^)]*\))?[ \t]*=(?!=)", code[m.end() :]):
-                    end = code.find("\n", m.end()) + 1 or len(code)
+                head, end = m.end(), partial(_ended, code, m.start() + len(m[0]) - len(m[0].lstrip()), language)
+                if language == "Ruby" and _ENDLESS.match(code, m.end()):
+                    end = partial(int, code.find("\n", m.end()) + 1 or len(code))
             elif code[m.end() - 1] == "{":
-                head, end = m.end(), _closing(code, m.end() - 1)
+                head, end = m.end(), partial(_closing, code, m.end() - 1)
             elif code[m.end() : m.end() + 1] in "{([":
-                head, end = m.end() + 1, _closing(code, m.end())
+                head, end = m.end() + 1, partial(_closing, code, m.end())
             else:
-                head, end = m.end(), (re.compile(r"[;\n]").search(code, m.end()) or re.search(r"\Z", code)).end()
+                at = re.compile(r"[;\n]").search(code, m.end())
+                head, end = m.end(), partial(int, at.end() if at else len(code))
             found[m.start("name")] = (m["name"], m.start("name"), start, head, end)
     for at in sorted(found):
         yield found[at]
@@ -183,7 +188,7 @@ def pairs_of(text: str, language: str, lexed: Lexed | None = None) -> list[dict]
     strings = {a: b for a, b in lexed.strings} if language == "Python" else {}
     lines = text.split("\n")
     out = []
-    for name, at, start, head, end in functions_of(text, language, lexed):
+    for name, at, start, head, ends in functions_of(text, language, lexed):
         first = row(start)
         top = first
         if language in ("Python", "Java", "JavaScript", "PHP"):
@@ -201,6 +206,7 @@ def pairs_of(text: str, language: str, lexed: Lexed | None = None) -> list[dict]
         for kind, a, said in docs:
             if is_real(said, name):
                 b = strings[a] if kind == "docstring" else by_end[top - 1][1]
+                end = ends()
                 out.append({"name": name, "name_row": row(at), "start_row": top, "end_row": row(max(at, end - 1)), "doc_kind": kind, "doc_row": row(a), "description": said, "documentation": text[a:b], "code": text[text.rfind("\n", 0, start) + 1 : end].rstrip()})
                 break
     return out

@@ -426,6 +426,10 @@ def rank(text: str, declared: str | None = None) -> list[tuple[float, str]]:
     return sorted(scores, key=lambda x: (-x[0], x[1] != declared, x[1]))
 
 
+#: Languages whose grammar takes no foreign code: every file begins with a package or a mark of its own, or holds classes only, or the parser is the language's own.
+STRICT = frozenset(("Python", "Java", "Go", "PHP"))
+
+
 def diagnose(text: str, declared: str, lexed: Lexed | None = None, margin: float = 1.0) -> tuple[bool, str, str | None]:
     """(valid, finding, language that parses) of a file whose language is said to be ``declared``.
 
@@ -433,13 +437,10 @@ def diagnose(text: str, declared: str, lexed: Lexed | None = None, margin: float
     grammar takes it, unless one whose marks are more than twice as many and ``margin`` takes it too (some grammars read foreign code);
     ``wrong_extension`` if only a foreign grammar takes it, ``merge_conflict`` if conflict markers stand in it, otherwise ``corrupt``.
     """
-    if declared == "Python":  # its parser takes no foreign code
-        if parses(text, declared):
-            return True, "valid", declared
-        own = False
-    else:
-        lexed = lexed or lex(text, declared)
-        own = parses(text, declared, lexed)
+    lexed = lexed or (lex(text, declared) if declared != "Python" else None)
+    own = parses(text, declared, lexed)
+    if own and declared in STRICT:
+        return True, "valid", declared
     bare = text
     if own and lexed.comments:
         edges = [0, *(x for span in lexed.comments for x in span), len(text)]
