@@ -174,7 +174,14 @@ n AS (SELECT *, coalesce(list_position(list_transform(l, lambda x: starts_with(l
 q AS (SELECT file_id, lang, cid, fid, array_to_string(CASE WHEN lang = 'Python' THEN {_sql_stop(T.PYTHON_STOPS)} WHEN lang = 'Go' THEN {_sql_stop(T.GO_STOPS)} ELSE {_SKIPPED} END, chr(10)) AS query FROM n)
 SELECT file_id, lang, cid AS comment_id, fid AS snippet_id, query FROM q WHERE query <> ''"""
 
+_RESOLVED = f"""WITH m AS (SELECT * FROM ({_MINED})), s AS (SELECT file_id, repo_name, path, language, i - 1 AS pos, snippets[i].id AS id, snippets[i].identifier AS ident, snippets[i].type AS kind FROM (SELECT *, unnest(range(1, len(snippets) + 1)) AS i FROM parse_source_code)),
+p AS (SELECT m.*, s.repo_name, s.ident, {_EXT.replace('path', 's.path')} IN ('.h', '.hpp') AND s.language IN ('C', 'C++') AS head FROM m JOIN s ON s.file_id = m.file_id AND s.id = m.snippet_id),
+one AS (SELECT repo_name, ident FROM p WHERE head GROUP BY repo_name, ident HAVING count(DISTINCT snippet_id) = 1),
+body AS (SELECT repo_name, ident, arg_max(id, (file_id, pos)) AS id FROM s WHERE kind = 'function_definition' AND {_EXT} IN ('.c', '.cpp') GROUP BY repo_name, ident)
+SELECT file_id, comment_id, snippet_id, ident AS identifier FROM p WHERE NOT head UNION ALL SELECT p.file_id, p.comment_id, body.id, p.ident FROM p JOIN one USING (repo_name, ident) JOIN body USING (repo_name, ident) WHERE head"""
+
 ORACLES = {
+    "unique_name_resolution": _RESOLVED,
     "byte_slice": "SELECT file_id, CAST(i - 1 AS BIGINT) AS pos, try(decode(encode(content)[snippets[i].start_byte + 1:snippets[i].end_byte])) AS snippet FROM (SELECT *, unnest(range(1, len(snippets) + 1)) AS i FROM parse_source_code WHERE content IS NOT NULL)",
     "comment_group_spans": f"WITH {_GROUPS} SELECT file_id, CAST(a AS BIGINT) AS start_byte, CAST(b AS BIGINT) AS end_byte, many FROM g",
     "mined_pairs": _MINED,
