@@ -41,7 +41,7 @@ def tfidf_topk_by_lang(spark: SparkSession, d: str) -> DataFrame:
 
 def tfidf_topk_padded(spark: SparkSession, d: str) -> DataFrame:
     corpus = _corpus(spark, d)
-    return tfidf.padded(_top(spark, d, "v2", k=1000), _asked(spark, d), 1000, corpus.agg(F.max("url").alias("doc"))).filter("rank % 100 = 0")
+    return tfidf.padded(_top(spark, d, "v2", k=1000), _asked(spark, d), 1000, corpus.agg(F.max("url").alias("doc")))
 
 
 def analyzer_v1_counts(spark: SparkSession, d: str) -> DataFrame:
