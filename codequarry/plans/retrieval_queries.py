@@ -138,13 +138,13 @@ def distinct_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def annotate_back(spark: SparkSession, d: str) -> DataFrame:
     p = _table(spark, d, "predictions")
-    answers = annotate.judge_pairs(annotate.top_pairs(p, 5), annotate.overlap_judge)
-    return annotate.put_back(p, answers, 5, ["prediction_id"]).select("prediction_id", "rank", "id", "answer")
+    answers = annotate.judge_pairs(annotate.top_pairs(p, 10), annotate.overlap_judge)
+    return annotate.put_back(p, answers, 10, ["prediction_id"]).select("prediction_id", "rank", "id", "answer")
 
 
 def prompt_assembly(spark: SparkSession, d: str) -> DataFrame:
-    pairs = annotate.top_pairs(_table(spark, d, "predictions"), 3)
-    filled = annotate.prompt(F.col("question"), F.col("text"), ("Query: ", "\nCode: ", "\nAnswer yes or no."), 4, 12)
+    pairs = annotate.top_pairs(_table(spark, d, "predictions"), 10)
+    filled = annotate.prompt(F.col("question"), F.col("text"), ("Query: ", "\nCode: ", "\nAnswer yes or no."))
     return pairs.select(F.md5(filled).alias("prompt"))
 
 

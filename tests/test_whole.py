@@ -42,3 +42,13 @@ def test_padded(spark):
     for r in got:
         ranks.setdefault(r["query"], []).append(r["rank"])
     assert ranks and all(sorted(x) == list(range(1, 1001)) for x in ranks.values())
+
+
+def test_annotate_back(spark):
+    got = _same(spark, "annotate_back", _wider("annotate_back", ("rank <= 5", "rank <= 10")))
+    assert max(r["rank"] for r in got if r.answer) == 10
+
+
+def test_prompt_assembly(spark):
+    cuts = ("x <> ''), 1, 4)", "x <> ''), 1, 64)"), ("x <> ''), 1, 12)", "x <> ''), 1, 2048)"), ("list_slice(candidates, 1, 3)", "list_slice(candidates, 1, 10)")
+    _same(spark, "prompt_assembly", _wider("prompt_assembly", *cuts))
