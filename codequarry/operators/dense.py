@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import arrays as A
 from .tfidf import top_k
 
 #: Bytes of query vectors that are sent to every task at once; more queries go in blocks.
@@ -58,6 +59,18 @@ def dense_top_k(queries: DataFrame, docs: DataFrame, k: int, query_key: str, que
     return top_k(out, k)
 
 
+def pool_top_k(queries: DataFrame, docs: DataFrame, pool: DataFrame, k: int, query_key: str, query_vector: str, doc_key: str, doc_vector: str, scope: str | None = None) -> DataFrame:
+    """(query, doc, score, rank): as dense_top_k, of the pairs (query, doc) of the pool only, each once."""
+
+    def side(df: DataFrame, key: str, vector: str, name: str, v: str) -> DataFrame:
+        return df.select(F.col(key).alias(name), F.transform(vector, lambda x: x.cast("double")).alias(v), *([F.col(scope).alias(f"_s{v}")] if scope else [])).filter(F.col(v).isNotNull())
+
+    pairs = pool.select("query", "doc").distinct().join(side(queries, query_key, query_vector, "query", "_q"), "query").join(side(docs, doc_key, doc_vector, "doc", "_d"), "doc").filter(F.size("_q") == F.size("_d"))
+    if scope:
+        pairs = pairs.filter(F.col("_s_q") == F.col("_s_d"))
+    return top_k(pairs.select("query", "doc", A.dot(F.col("_q"), F.col("_d")).alias("score")), k)
+
+
 Embedder = Callable[[list[str]], np.ndarray]
 
 

@@ -36,7 +36,10 @@ def choose(items: Column, key: Column, seed: int, k: int = 1) -> Column:
 
 
 def sample_without_replacement(queries: DataFrame, docs: DataFrame, query: str, doc: str, m: int, seed: int = 228) -> DataFrame:
-    """(query, doc): for each query, the m documents of the least hash. Queries are a stated set, sent to the documents' tasks if they are small."""
+    """(query, doc): for each query, the m documents of the least hash, all where there are fewer. Queries are a stated set, sent to the documents' tasks if they are small.
+
+    Up to the session's windowGroupLimitThreshold (1,000), each task keeps its m least a query before the shuffle.
+    """
     every = docs.select(F.col(doc).alias("doc")).crossJoin(queries.select(F.col(query).alias("query")))
     w = W.partitionBy("query").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("query").cast("string"), F.col("doc").cast("string"))), "doc")
     return every.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= m).drop("_r").select("query", "doc")

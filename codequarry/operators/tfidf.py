@@ -45,11 +45,11 @@ def top_k(scored: DataFrame, k: int, query: str = "query", doc: str = "doc", sco
     return rounded.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-def retrieve(queries: DataFrame, docs: DataFrame, k: int, analyzer: str = "v1", query_key: str = "query_id", query_text: str = "query", doc_key: str = "doc_id", doc_text: str = "text", scope: list[str] | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, docs: DataFrame, k: int, analyzer: str = "v1", query_key: str = "query_id", query_text: str = "query", doc_key: str = "doc_id", doc_text: str = "text", scope: list[str] | None = None, pool: DataFrame | None = None) -> DataFrame:
     """(scope, query, doc, score, rank): TF-IDF fitted on the documents of each scope, the k best documents of each query.
 
     Null texts have no terms. Norms need all terms of a document, scores only those of the queries: the documents' weights are cut down to the queries' terms
-    before the pairs are formed.
+    before the pairs are formed. pool: (query, doc), the only pairs that may be found; what TF-IDF is fitted on stays the same.
     """
     scope = scope or []
     d = term_counts(docs, doc_key, doc_text, analyzer, scope)
@@ -60,6 +60,8 @@ def retrieve(queries: DataFrame, docs: DataFrame, k: int, analyzer: str = "v1",
     qw = weights(q, idf, scope).withColumnRenamed("doc", "query")
     norm = raw.groupBy(*scope, "doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     pairs = qw.withColumnRenamed("weight", "qw").join(raw, [*scope, "term"]).groupBy(*scope, "query", "doc").agg(F.sum(F.col("qw") * F.col("w")).alias("s"))
+    if pool is not None:
+        pairs = pairs.join(pool.select("query", "doc"), ["query", "doc"], "left_semi")
     scored = pairs.join(norm, [*scope, "doc"]).select(*scope, "query", "doc", (F.col("s") / F.col("norm")).alias("score"))
     return top_k(scored, k, scope=scope)
 

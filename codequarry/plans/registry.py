@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.dense import Embedder, dense_top_k, embed, hashed_embedder
+from ..operators.dense import Embedder, dense_top_k, embed, hashed_embedder, pool_top_k
 from ..operators.tfidf import retrieve
 
 
@@ -65,14 +65,19 @@ def str2bool(text: str) -> bool:
     raise ValueError(f"not a boolean: {text!r}")
 
 
-def predict(run: Run, queries: DataFrame, corpus: DataFrame, scope: str | None = None) -> DataFrame:
-    """(query, doc, score, rank, scope): the run's candidates. queries: (query, question); corpus: (id, text); both with the scope, if there is one."""
+def predict(run: Run, queries: DataFrame, corpus: DataFrame, scope: str | None = None, pool: DataFrame | None = None) -> DataFrame:
+    """(query, doc, score, rank, scope): the run's candidates. queries: (query, question); corpus: (id, text); both with the scope, if there is one.
+
+    pool: (query, doc), say a sample and the gold: nothing outside of it is found.
+    """
     by = [scope] if scope else []
     if run.kind == "tfidf":
-        return retrieve(queries, corpus, run.k, run.options.get("analyzer", "v1"), "query", "question", "id", "text", by)
+        return retrieve(queries, corpus, run.k, run.options.get("analyzer", "v1"), "query", "question", "id", "text", by, pool)
     name = run.options.get("embedder")
     if name not in EMBEDDERS:
         raise KeyError(f"no embedder {name!r} is installed; put a maker into EMBEDDERS")
     q = embed(queries, "question", "_v", EMBEDDERS[name], run.query_prefix, run.options.get("dimensions"))
     d = embed(corpus.filter(F.col("text").isNotNull()), "text", "_v", EMBEDDERS[name], run.passage_prefix, run.options.get("dimensions"))
+    if pool is not None:
+        return pool_top_k(q, d, pool, run.k, "query", "_v", "id", "_v", scope)
     return dense_top_k(q, d, run.k, "query", "_v", "id", "_v", scope)

@@ -59,17 +59,21 @@ def equalise_shards(spark: SparkSession, d: str) -> DataFrame:
 
 
 def csn_candidates_wor(spark: SparkSession, d: str) -> DataFrame:
+    """999 documents a query and its gold, each once: all documents where there are fewer."""
     e = _table(spark, d, "embeddings").select("vec_id")
-    return sampling.sample_without_replacement(e.filter("vec_id % 100 = 0"), e, "vec_id", "vec_id", 99).union(e.filter("vec_id % 100 = 0").select("vec_id", F.col("vec_id").alias("doc"))).distinct()
+    return sampling.sample_without_replacement(e.filter("vec_id % 100 = 0"), e, "vec_id", "vec_id", 999).union(e.filter("vec_id % 100 = 0").select("vec_id", F.col("vec_id").alias("doc"))).distinct()
 
 
 def csn_candidates_wr(spark: SparkSession, d: str) -> DataFrame:
+    """The gold as draw 0, then 999 draws a query; where a draw hits the gold, its score is -100."""
     e = _table(spark, d, "embeddings").select("vec_id", "embedding")
     n = e.count()
-    drawn = sampling.sample_with_replacement(e.filter("vec_id % 100 = 0"), n, "vec_id", 99)
+    asked = e.filter("vec_id % 100 = 0")
+    drawn = sampling.sample_with_replacement(asked, n, "vec_id", 999)
+    gold = asked.select(F.col("vec_id").alias("query"), F.lit(0).cast("long").alias("draw"), F.col("vec_id").alias("place"))
     ids = e.select(F.col("vec_id").alias("place"), F.col("vec_id").alias("doc"), F.col("embedding").alias("dv"))
-    scored = drawn.join(ids, "place").join(e.select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv")), "query")
-    s = F.when(F.col("query") == F.col("doc"), -100.0).otherwise(A.dot(F.col("qv"), F.col("dv")))
+    scored = gold.unionByName(drawn).join(ids, "place").join(e.select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv")), "query")
+    s = F.when((F.col("query") == F.col("doc")) & (F.col("draw") > 0), -100.0).otherwise(A.dot(F.col("qv"), F.col("dv")))
     return scored.select("query", "draw", "doc", F.round(s, 6).alias("score"))
 
 
