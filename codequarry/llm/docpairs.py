@@ -145,8 +145,21 @@ def functions_of(text: str, language: str, lexed: Lexed | None = None) -> Iterat
         yield found[at]
 
 
-# Words of notes that stand in for missing text.
-_PLACEHOLDER = re.compile(r"(?i)^\W*(?:todo|fixme|xxx|tbd|hack|n/?a|none|dummy|stub|placeholder|lorem ipsum|auto-?generated|autogenerated|generated by|no (?:docs?|documentation|description|comment)|(?:add|write|insert|put|missing|needs?)\b.{0,20}\b(?:docs?|documentation|description|docstring|comment|text)|description (?:goes )?here|document(?:ation)? (?:goes |to be |will be )|to be (?:done|written|documented)|coming soon|not documented|undocumented|see above|same as above|fill (?:me|this) in|description of\b.{0,20}(?:function|method))")
+# Words of notes that stand in for missing text: at the start of any description; where nothing but filler follows them.
+_NOTE = re.compile(r"(?i)^\W*(?:todo|fixme|xxx|tbd|lorem ipsum|auto-?generated|generated by)(?![^\W\d_])")
+_PLACEHOLDER = re.compile(
+    r"(?i)^\W*(?:hack|n/?a|none|dummy|stub|placeholder|no (?:docs?|documentation|descriptions?|comments?)|(?:add|write|insert|put|missing|needs?)\b.{0,20}\b(?:docs?|documentation|description|docstring|comment|text)|description (?:goes )?here|document(?:ation)? (?:goes |to be |will be )|to be (?:done|written|documented)|coming soon|not documented|undocumented|see above|same as above|fill (?:me|this) in|description of\b.{0,20}(?:function|method))(?![^\W\d_])"
+)
+_FILLER = frozenset("a an the to no not goes this that it one here there yet now later soon on is be will for of so far at all and or in please only just needed necessary available provided added written done item function method class module procedure routine doc docs docstring documentation description comment comments text stub placeholder dummy none todo fixme tbd".split())
+
+
+def _stands_in(description: str, name: str) -> bool:
+    """Is the description, but for filler and the function's name, a note that stands in for missing text?"""
+    if _NOTE.match(description):
+        return True
+    m = _PLACEHOLDER.match(description)
+    own = _FILLER | {x.lower() for x in _NAMES.findall(name)} | {name.lower()}
+    return bool(m) and {x.lower() for x in re.findall(r"[^\W\d_]+", description[m.end() :])} <= own
 
 
 def description_of(lines: list[str]) -> str:
@@ -156,7 +169,7 @@ def description_of(lines: list[str]) -> str:
 
 def is_real(description: str, name: str, least_words: int = 5, least_chars: int = 10) -> bool:
     """Does the description say something: enough words (Chinese, Japanese: characters) that neither repeat the name nor stand in for missing text?"""
-    if _PLACEHOLDER.match(description):
+    if _stands_in(description, name):
         return False
     if len(_CJK.findall(description)) >= least_chars:
         return True

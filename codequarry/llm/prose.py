@@ -145,9 +145,11 @@ _TAG = re.compile(r"^\s*(?:[@\\](?!brief\b|description\b|summary\b|details\b)[a-
 _SECTION = re.compile(r"^\s*(?:args|arguments|parameters|params|returns?|raises|throws|yields|examples?|usage|see also|notes?|attributes)\s*:?\s*$", re.I)
 _RULE = re.compile(r"^\s*[-=*#~_+/.\\]{3,}\s*$")
 _DIRECTIVE = re.compile(
-    r"(?i)^\s*(?:!?/?usr/bin|pylint\b|flake8\b|noqa\b|type:\s*ignore|mypy\b|pragma\b|eslint\b|eslint-|jshint\b|jslint\b|global [\w, ]+$|@ts-|ts-|prettier-|istanbul\b|c8 ignore|nolint|golint|go:\w+|\+build|phpcs|phpstan|psalm|@phpcs|@codecov|rubocop|frozen_string_literal|encoding:|coding[:=]|-\*-|vim:|vi:|ex:|emacs|luacheck|checkstyle|nopmd|nosonar|noinspection|suppress|sonar|clang-|cppcheck|lint\b|fmt:|isort|yapf|black|todo\b|fixme\b|xxx\b|hack\b|tbd\b|region\b|endregion\b)"
+    r"(?i)^\s*(?:!?/?usr/bin|pylint\b|flake8\b|noqa\b|type:\s*ignore|mypy\b|pragma\b|eslint\b|eslint-|jshint\b|jslint\b|global [\w, ]+$|@ts-|ts-|prettier-|istanbul\b|c8 ignore|nolint\b|golint\b|go:\w+|\+build|phpcs\b|phpstan\b|psalm\b|@phpcs|@codecov|rubocop\b|frozen_string_literal\b|encoding:|coding[:=]|-\*-|vim:|vi:|ex:|luacheck\b|checkstyle\b|nopmd\b|nosonar\b|noinspection\b|clang-|cppcheck\b|lint\b|fmt:|yapf\b|(?:emacs|isort|black|suppress(?:warnings?|lint)?|sonar(?:qube|lint)?)\b(?:\s*[-:=(\[]|.*-\*-|(?:\s+\S+){0,2}\s*$)|todo\b|fixme\b|xxx\b|hack\b|tbd\b|region\b|endregion\b)"
 )
 _CODE = re.compile(r"[{};]\s*$|^\s*[{}()\[\]]+\s*$|^\s*(?:if|for|while|return|def|function|local|var|let|const|import|from|else|elif|end|print|class|public|private|static)\b.*(?:[(){}=;]|:\s|:$| then\b| do\b)|^\s*[\w.$>-]+\s*(?:[-+*/%|&^.]?=|:=)(?!=)\s*\S|^\s*[\w.$:>-]+\([^)]*\)[;,]?\s*$|^\s*(?:\$|>>>|>|%)\s+\w|\w\(\)\s*$")
+# What no sentence has: operators that stand alone, assignments, braces.
+_OPERATOR = re.compile(r"(?:^|\s)[-+*/%|&^<>=!:]*[<>=+*/%|&^](?=\s)|[\w\])]=\S|[{}]")
 _QUERY = re.compile(r"^\s*(?:SELECT\b.*\bFROM|INSERT\s+INTO|UPDATE\b.*\bSET|DELETE\s+FROM|CREATE\s+(?:TABLE|INDEX|VIEW)|DROP\s+TABLE|ALTER\s+TABLE|WITH\b.*\bAS\s*\()\b", re.I | re.S)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _CJK = re.compile(r"[぀-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿々〆ｦ-ﾟ]")
@@ -177,7 +179,7 @@ def paragraphs(lines: list[str], description: bool = False) -> list[str]:
         if _TAG.match(bare) or _SECTION.match(bare):
             skip = depth
             out.append([])
-        elif _RULE.match(bare) or _DIRECTIVE.match(bare) or _QUERY.match(bare) or _CODE.search(bare):
+        elif _RULE.match(bare) or _DIRECTIVE.match(bare) or _QUERY.match(bare) or _CODE.search(bare) and not (is_sentence(bare) and not _OPERATOR.search(bare)):
             out.append([])
         else:
             out[-1].append(bare)

@@ -60,3 +60,22 @@ def test_operator(spark):
     got = docpairs.documented_functions(df)
     assert sorted((r.file_id, r.parses, r.name, r.name_row, r.doc_kind) for r in got.collect()) == [(1, True, "f", 0, "docstring"), (1, True, "f", 0, "docstring"), (2, False, "f", 0, "docstring")]
     assert docpairs.documented_functions(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "doc",
+    [
+        "Navigates the tree to a node below.", "Name of the host that answers first.", "Native calls are counted by their kind.", "Nach dem Lesen wird die Datei geschlossen.", "Na podstawie wartości liczy sumę elementów.", "Nonexistent keys are skipped while reading.",
+        "None of the keys may be empty afterwards.", "Hackers of old called this a bucket.", "Stubborn locks are freed after a minute.", "Write the text to the given stream.", "Insert a comment before the given node.", "No comments are kept in the output.",
+        "Suppresses all warnings of the given parser.", "Suppress all warnings of the given parser.", "Emacsen of any age read this format.", "Blackened pixels are counted in each row.", "Black pixels are counted in each row.",
+        "for each node (in order) it counts the marks", "returns the first of the values (or the last)", "from the list of names, the longest is kept;",
+    ],
+)
+def test_sentences_that_begin_like_notes_or_code(doc):
+    for text, language in ((f"# {doc}\ndef f(a):\n    return a\n", "Python"), (f"// {doc}\nfunction f(a) {{ return a; }}\n", "JavaScript")):
+        assert [p["description"] for p in docpairs.pairs_of(text, language)] == [doc]
+
+
+@pytest.mark.parametrize("doc", ["N/A", "none at all for this function here", "Stub, to be written later on: no documentation yet", "Missing documentation for method early_sum_of_all_once", "Write the docs for this function here please", "Description of this function goes here", "isort: skip the file that is here", "black: off for all of the file", "suppress(unused) in all of the file", "for (i = 0; i < the size of all things; i += 1)", "FIXME this breaks on lists of two items"])
+def test_notes_and_code(doc):
+    assert docpairs.pairs_of(f"# {doc}\ndef early_sum_of_all_once(a):\n    return a\n", "Python") == []
