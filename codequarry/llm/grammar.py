@@ -434,8 +434,9 @@ def diagnose(text: str, declared: str, lexed: Lexed | None = None, margin: float
     """(valid, finding, language that parses) of a file whose language is said to be ``declared``.
 
     The languages are ranked by tokens and the file is parsed in that order, until the verdict is settled: it is ``valid`` if its own
-    grammar takes it, unless one whose marks are more than twice as many and ``margin`` takes it too (some grammars read foreign code);
-    ``wrong_extension`` if only a foreign grammar takes it, ``merge_conflict`` if conflict markers stand in it, otherwise ``corrupt``.
+    grammar takes it, unless one whose marks are more than twice as many and ``margin`` takes it too (some grammars read foreign code).
+    If its own fails, all others are tried: ``wrong_extension`` if a foreign grammar takes it; only if all fail, ``merge_conflict`` if
+    conflict markers stand in it, otherwise ``corrupt``. That a foreign grammar takes a file of a single word tells nothing.
     """
     lexed = lexed or (lex(text, declared) if declared != "Python" else None)
     own = parses(text, declared, lexed)
@@ -447,11 +448,11 @@ def diagnose(text: str, declared: str, lexed: Lexed | None = None, margin: float
         bare = " ".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
     ranked = rank(bare, declared)
     score = {x: s for s, x in ranked}
-    least = 2 * score[declared] + margin if own else max(margin, score[declared])
+    lone = re.fullmatch(r"\s*\w+\s*", text)
     for s, x in ranked:
-        if s < least or s == least and own:
+        if own and s <= 2 * score[declared] + margin:
             break
-        if x != declared and parses(text, x):
+        if x != declared and not lone and parses(text, x):
             return False, "wrong_extension", x
     if own:
         return True, "valid", declared

@@ -340,3 +340,16 @@ def test_findings(spark):
     assert parse_findings(df.limit(0), ["file_id"]).count() == 0
     with pytest.raises(ValueError):
         parse_findings(df, ["valid"])
+
+
+@pytest.mark.parametrize("text,declared", [('foo(1)\nbar("x")', "Java"), ("x = 1\n", "Go"), ("x = y[0]\nprint(public, void, static)\n", "Java")])
+def test_few_marks_are_parsed_by_all(text, declared):
+    took = [x for x in lexers.LANGUAGES if x != declared and grammar.parses(text, x)]
+    valid, finding, language = grammar.diagnose(text, declared)
+    assert took and (valid, finding) == (False, "wrong_extension") and language in took
+
+
+def test_corrupt_only_if_all_fail():
+    for text in ("foo(1\n", "public void ) f {", "<<<<<<< a\nfoo(\n=======\nbar)(\n>>>>>>> b\n"):
+        assert not any(grammar.parses(text, x) for x in lexers.LANGUAGES)
+        assert {grammar.diagnose(text, x)[1] for x in lexers.LANGUAGES} == {"merge_conflict" if text[0] == "<" else "corrupt"}
