@@ -15,7 +15,7 @@ from functools import partial
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .grammar import diagnose
+from .grammar import is_valid
 from .lexers import LANGUAGES, Lexed, lex
 from .prose import _CJK, comment_lines, comment_runs, literal_text, paragraphs, words
 
@@ -267,7 +267,7 @@ def documented_functions(files: DataFrame, key: str = "file_id", content: str =
         for text, lang in zip(contents, langs):
             lexed = lex(text, lang)
             pairs = pairs_of(text, lang, lexed)
-            ok = bool(pairs) and diagnose(text, lang, lexed)[0]
+            ok = bool(pairs) and is_valid(text, lang, lexed)
             out.append([{"parses": ok} | p for p in pairs])
         return pd.Series(out)
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .grammar import diagnose
+from .grammar import is_valid
 from .langid import LanguageModel
 from .lexers import LANGUAGES, Lexed, lex
 from .prose import comment_lines, comment_runs, is_sentence, literal_text, paragraphs, sentences
@@ -89,7 +89,7 @@ def nl_spans(files: DataFrame, model: LanguageModel, key: str = "file_id", conte
         m, out = shared.value, []
         for text, lang in zip(contents, langs):
             lexed = lex(text, lang)
-            ok = diagnose(text, lang, lexed)[0]
+            ok = is_valid(text, lang, lexed)
             out.append([{"parses": ok} | x for x in analyse(text, lang, m, lexed)])
         return pd.Series(out)
 
