@@ -541,7 +541,7 @@ _FIRST = {
     "C": re.compile(r"[qtTiym,aA]*+(?:[({=;\[]|$)|qs|;"),
     "Java": re.compile(r";*+(?:P[qi]?+i?+(?:d[io])*+d?(?:;|$)|@|C|q++(?:[@C]|$)|ii|$)"),
     "JavaScript": re.compile(r"(?![o=d,:Q)\]}]|Mi(?:,i)*+[~d;]|Ci[:(]|iiM|i+[CF])"),
-    "Go": re.compile(r";*+(?:P|$)"),
+    "Go": re.compile(r";*+(?:P$|Pi$|Pi;|$)"),
     "PHP": re.compile(""),
     "Ruby": re.compile(r"(?![=,)\]}l])"),
     "Lua": re.compile(r";*+(?:i(?:[d:(\[{s=,]|$)|V(?:[iF]|$)|F(?:i(?!(?:di)*+\([ix,]*\)\{)|$)|[IDWOP(RJg]|$)"),
@@ -554,8 +554,11 @@ _NEVER = {
 
 def _may_be(text: str, language: str) -> bool:
     """Could the text be in the language, by its first tokens?"""
-    first = lex(text, language, 60)
-    return not first.error and bool(_FIRST[language].match(first.classes)) and not _NEVER[language].search(first.classes)
+    for most in (6, 40):
+        first = lex(text, language, most)
+        if first.error or not _FIRST[language].match(first.classes) or _NEVER[language].search(first.classes):
+            return False
+    return True
 
 
 def parses(text: str, language: str, lexed: Lexed | None = None) -> bool:

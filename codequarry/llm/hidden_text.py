@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .grammar import is_valid
 from .langid import LanguageModel
 from .lexers import LANGUAGES, Lexed, lex
+from .once import once_each
 from .prose import comment_lines, comment_runs, is_sentence, literal_text, paragraphs, sentences
 
 
@@ -24,31 +25,30 @@ def texts_of(text: str, language: str, lexed: Lexed | None = None) -> Iterator[t
     lexed = lexed or lex(text, language)
     for a, b in comment_runs(text, lexed):
         yield "comment", a, b, comment_lines(text[a:b])
-    last: list = []
+    begin, end, parts = -1, -1, []
     for a, b in lexed.strings:
-        if b - a < 8 and not last:
-            continue
         raw = language in ("Ruby", "PHP") and text[a : a + 1] == "'"
         body = literal_text(text[a:b], raw) if language != "Ruby" or text[a : a + 1] in "\"'`%" else text[a:b]
-        if last and language in ("C", "Python") and re.fullmatch(r"\s*", text[last[1] : a]):
-            last = [last[0], b, last[2] + body]
-            continue
-        if last:
-            yield "string", last[0], last[1], re.split(r"\r\n|[\n\r]", last[2])
-        last = [a, b, body]
-    if last:
-        yield "string", last[0], last[1], re.split(r"\r\n|[\n\r]", last[2])
+        if not (parts and language in ("C", "Python") and not text[end:a].strip()):
+            if parts:
+                yield "string", begin, end, re.split(r"\r\n|[\n\r]", "".join(parts))
+            begin, parts = a, []
+        parts.append(body)
+        end = b
+    if parts:
+        yield "string", begin, end, re.split(r"\r\n|[\n\r]", "".join(parts))
 
 
 def languages_of(lines: list[str], model: LanguageModel) -> Iterator[tuple[str, str, bool]]:
-    """(language, text, is it a natural sentence) of each sentence in the lines; a sentence of several languages comes in pieces."""
+    """(language, text, is it a natural sentence) of each sentence in the lines; a sentence of several languages comes in pieces. Those that the model takes for no language are left out, whatever their length."""
     for p in paragraphs(lines):
         parts = [(s, s.split()) for s in sentences(p)]
         tags = iter(model.segment([w for _, ws in parts for w in ws]))
         for s, ws in parts:
             got = [next(tags) for _ in ws]
             if len(set(got)) == 1:
-                yield got[0], s, is_sentence(s)
+                if (whole := is_sentence(s)) or model.natural(s):
+                    yield got[0], s, whole
                 continue
             i = 0
             while i < len(got):
@@ -56,7 +56,8 @@ def languages_of(lines: list[str], model: LanguageModel) -> Iterator[tuple[str,
                 while j < len(got) and got[j] == got[i]:
                     j += 1
                 piece = " ".join(ws[i:j])
-                yield got[i], piece, is_sentence(piece)
+                if (whole := is_sentence(piece)) or model.natural(piece):
+                    yield got[i], piece, whole
                 i = j
 
 
@@ -86,12 +87,15 @@ def nl_spans(files: DataFrame, model: LanguageModel, key: str = "file_id", conte
 
     @F.pandas_udf(T.ArrayType(_FOUND))
     def read(contents: pd.Series, langs: pd.Series) -> pd.Series:
-        m, out = shared.value, []
-        for text, lang in zip(contents, langs):
+        m = shared.value
+
+        def one(text: str, lang: str) -> list[dict]:
             lexed = lex(text, lang)
-            ok = is_valid(text, lang, lexed)
-            out.append([{"parses": ok} | x for x in analyse(text, lang, m, lexed)])
-        return pd.Series(out)
+            found = analyse(text, lang, m, lexed)
+            ok = bool(found) and is_valid(text, lang, lexed)
+            return [{"parses": ok} | x for x in found]
+
+        return pd.Series(once_each(one)(contents, langs))
 
     judged = files.select(F.col(key).alias("_k"), F.col(content).alias("_c"), F.col(language).alias("_l")).filter(F.col("_c").isNotNull() & F.col("_l").isin(*LANGUAGES))
     return (
@@ -109,10 +113,12 @@ def nl_texts(files: DataFrame, model: LanguageModel, key: str = "file_id", conte
     def read(contents: pd.Series, langs: pd.Series) -> pd.Series:
         m, out = shared.value, []
         for text, lang in zip(contents, langs):
-            rows = []
-            for kind, a, b, lines in texts_of(text, lang):
-                begin = len(text[:a].encode())
-                end = begin + len(text[a:b].encode())
+            rows, at, size = [], 0, 0
+            for kind, a, b, lines in sorted(texts_of(text, lang), key=lambda x: x[1]):
+                size += len(text[at:a].encode("utf-8", "replace")) if a >= at else -len(text[a:at].encode("utf-8", "replace"))
+                begin = size
+                size += len(text[a:b].encode("utf-8", "replace"))
+                end, at = size, b
                 rows += [{"kind": kind, "start_byte": begin, "end_byte": end, "nl_lang": x, "text": piece} for x, piece, _ in languages_of(lines, m)]
             out.append(rows)
         return pd.Series(out)

@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .grammar import findings
 from .lexers import LANGUAGES
-
-
-def once_each(f: Callable[..., object]) -> Callable[..., list]:
-    """The results of ``f`` for columns of arguments; rows of a batch that are equal are evaluated once."""
-
-    def run(*columns: pd.Series) -> list:
-        known: dict[tuple, object] = {}
-        out = []
-        for row in zip(*columns):
-            if row not in known:
-                known[row] = f(*row)
-            out.append(known[row])
-        return out
-
-    return run
+from .once import once_each
 
 
 def parse_findings(files: DataFrame, keep: list[str], content: str = "content", language: str = "language") -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .prose import _CJK, _KANA, _WORDS, NL_LANGUAGES, fold
+from .prose import _CJK, _KANA, _WORDS, NL_LANGUAGES, fold, words as words_of
 
 ALPHABETIC = NL_LANGUAGES[:7]
 #: The DP's price for a change of language, in nats, and the furthest a word may count against a language.
@@ -46,9 +46,11 @@ class LanguageModel:
         self.unseen = tuple(base[x] for x in ALPHABETIC)
         self.logs = {g: tuple(math.log((by.get(x, 0.0) + 0.3) / (total[x] + 0.3 * size)) for x in ALPHABETIC) for g, by in grams.items()}
         self.memo: dict[str, tuple[float, ...]] = {}
+        self.kept: dict[str, bool] = {}
+        self.fitted = any(counts.values())
 
     def __getstate__(self) -> dict:
-        return {"unseen": self.unseen, "logs": self.logs, "memo": {}}
+        return {"unseen": self.unseen, "logs": self.logs, "fitted": self.fitted, "memo": {}, "kept": {}}
 
     def word(self, word: str) -> tuple[float, ...]:
         """The score of each language in the order of NL_LANGUAGES, 0 for the best; all 0 for what is no natural word."""
@@ -81,6 +83,30 @@ class LanguageModel:
         self.memo[word] = got
         return got
 
+    def natural(self, text: str) -> bool:
+        """Do at least half of the text's tokens look like words, most of whose trigrams their best language knows?"""
+        tokens = text.split()
+        return 2 * sum(map(self._known, words_of(text))) >= max(1, len(tokens))
+
+    def _known(self, word: str) -> bool:
+        if (got := self.kept.get(word)) is None:
+            if len(self.kept) > 300_000:
+                self.kept.clear()
+            letters = fold(word)
+            scores = self.word(word)
+            if _CJK.search(word) or "Ѐ" <= max(letters) <= "ӿ":
+                got = True
+            elif not any(scores) or len(letters) < 2:
+                got = False
+            elif not self.fitted:
+                got = True
+            else:
+                i = max(range(7), key=scores.__getitem__)
+                grams = [g for part in _ALPHA.findall(letters) for g in _grams(part)]
+                got = 5 * sum(self.logs.get(g, self.unseen)[i] > self.unseen[i] for g in grams) >= 3 * len(grams)
+            self.kept[word] = got
+        return got
+
     def segment(self, words: Iterable[str]) -> list[str]:
         """The language of each word under the best segmentation: the sum of word scores less SWITCH for each change."""
         scores = [self.word(w) for w in words]

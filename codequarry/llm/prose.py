@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from functools import lru_cache
 
 from .lexers import Lexed, Span
@@ -93,7 +94,7 @@ def literal_text(text: str, raw: bool = False) -> str:
     if m:
         q = m[1]
         text = text[m.end() :]
-        text = re.sub(r"\n?[ \t]*\w+\Z", "", text) if q.startswith("<<<") else text.removesuffix(q.replace("[", "]")) if q[0] == "[" else text.removesuffix(q)
+        text = text[: max(0, text.rfind("\n"))] if q.startswith("<<<") else text.removesuffix(q.replace("[", "]")) if q[0] == "[" else text.removesuffix(q)
         raw = raw or q[0] in "`[" or "r" in m[0][:2].lower() and q[0] in "\"'"
     if "\\" in text and not raw:
         text = _ESCAPE.sub(_unescaped, text)
@@ -111,7 +112,20 @@ def _ESCAPE_U(m: re.Match) -> str:  # noqa: N802
 
 
 _FRONT = re.compile(r"^[ \t]*(?:/\*+!?|\*+/|\*+(?!\*)|//+[/!]*|--\[=*\[|\]=*\](?:--)?|--+|#+!?|=begin\b|=end\b|;+|<!--)?[ \t]?")
-_BACK = re.compile(r"[ \t]*(?:\*+/|\]=*\]|-->|//+|#+|--+)?[ \t\r]*$")
+
+
+def _without_end(x: str) -> str:
+    """The line without the mark that ends a comment, and blanks around it."""
+    x = x.rstrip(" \t\r")
+    if x.endswith("*/"):
+        x = x[:-1].rstrip("*")
+    elif x.endswith("-->"):
+        x = x[:-3]
+    elif x.endswith(("//", "#", "--")):
+        x = x.rstrip(x[-1])
+    elif x.endswith("]") and (y := x[:-1].rstrip("=")).endswith("]"):
+        x = y[:-1]
+    return x.rstrip(" \t")
 
 
 def comment_lines(text: str) -> list[str]:
@@ -124,19 +138,44 @@ def comment_lines(text: str) -> list[str]:
         import html
 
         text = html.unescape(text)
-    return [_BACK.sub("", _FRONT.sub("", x)) for x in re.split(r"\r\n|[\n\r]", text)]
+    return [_without_end(_FRONT.sub("", x)) for x in re.split(r"\r\n|[\n\r]", text)]
+
+
+_START = re.compile(r"[﻿ \t\r]*+(?:<\?php\b[ \t\r]*+)?")
+
+
+class Rows:
+    """The rows of a text, as the given line breaks part them."""
+
+    def __init__(self, text: str, breaks: str = r"\r\n|[\n\r]"):
+        self.text = text
+        self.ends = [m.end() for m in re.finditer(breaks, text)]
+        self._first: dict[int, int] = {}
+
+    def of(self, i: int) -> int:
+        return bisect_right(self.ends, i)
+
+    def start(self, row: int) -> int:
+        return self.ends[row - 1] if row else 0
+
+    def first(self, row: int) -> int:
+        """Where the row's text begins, behind blanks and the mark that opens PHP."""
+        if row not in self._first:
+            self._first[row] = _START.match(self.text, self.start(row)).end()
+        return self._first[row]
 
 
 def comment_runs(text: str, lexed: Lexed) -> list[Span]:
     """The comments, with each run of line comments on adjacent rows as one span: nothing but blanks stands between them, and before each of them on its row."""
     runs: list[list[int]] = []
+    rows = Rows(text)
     for a, b in lexed.comments:
-        if runs and not runs[-1][2] and text[runs[-1][1] : a].strip(" \t\r\n") == "" and len(re.findall(r"\r\n|[\n\r]", text[runs[-1][1] : a])) == 1 and text[a : a + 2] not in ("/*",) and not text.startswith(("--[[", "=begin"), a):
+        between = text[runs[-1][1] : a] if runs else ""
+        if runs and not runs[-1][2] and between.strip(" \t\r\n") == "" and len(re.findall(r"\r\n|[\n\r]", between)) == 1 and text[a : a + 2] not in ("/*",) and not text.startswith(("--[[", "=begin"), a):
             runs[-1][1] = b
         else:
-            start = max(text.rfind("\n", 0, a), text.rfind("\r", 0, a)) + 1
             block = text.startswith(("/*", "=begin", "--[[", "--[="), a)
-            runs.append([a, b, block or bool(text[start:a].strip("﻿ \t"))])
+            runs.append([a, b, block or rows.first(rows.of(a)) < a])
     return [(a, b) for a, b, _ in runs]
 
 
