@@ -15,3 +15,9 @@ def materialised(df: DataFrame) -> DataFrame:
     elif not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir"))
     return df.checkpoint()
+
+
+def forget(*frames: DataFrame) -> None:
+    """Let Spark clear away what it keeps of materialised rows that are no longer needed: it does so when the driver's objects are collected."""
+    if frames:
+        frames[0].sparkSession.sparkContext._jvm.System.gc()

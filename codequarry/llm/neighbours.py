@@ -1,8 +1,9 @@
 """Problem 3: the k most similar vectors for every vector, by NN-descent.
 
-A neighbour graph is started from coarse cells (centroids fitted on a bounded sample; every vector is placed) and improved by iterated
-joins: a vector's neighbours' neighbours say which further cells it has to be compared in, until hardly a neighbour changes. Comparing a
-vector with whole cells instead of single candidates ships each vector once for many candidates. ``search`` walks the graph greedily.
+Every vector begins with a list of cheap neighbours: the best of those that hash to the same small buckets (signs of random projections). Then
+the lists are joined with each other, round by round: vectors that have a neighbour in common are compared, and each keeps the best it has met, until
+hardly a list changes. A round sends each vector to the homes of its neighbours; vectors whose neighbours live together are sent there once.
+``search`` walks the graph greedily.
 
 Similarity is cosine in double precision; ties go to the smaller id.
 """
@@ -15,14 +16,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .lineage import materialised
+from .lineage import forget, materialised
 
-#: Vectors of the sample that the centroids are fitted on (bound), centroids at most, vectors that a cell should have, and first cells of a vector.
-SAMPLE, CENTROIDS, CELL, PROBES = 20_000, 2048, 400, 3
-#: Neighbours kept in the graph; sizes of one comparison; share of vectors whose neighbours still change at which the descent ends; rounds at most.
-KEPT, MEMBERS, VISITORS, CHANGES, ROUNDS = 8, 4000, 5000, 0.01, 4
-#: Planes that split a large cell.
-_PLANES = 12
+#: Vectors of the sample that the thresholds of the projections are fitted on (bound), hashings, and vectors that a bucket should have.
+SAMPLE, HASHINGS, BUCKET = 20_000, 3, 256
+#: Neighbours kept in the graph; share of vectors whose k nearest still change at which the descent ends; vectors in one comparison.
+KEPT, CHANGES, GUESTS = 12, 0.01, 8000
 
 
 def usable(vectors: DataFrame, key: str, vector: str, dimensions: int = 64) -> DataFrame:
@@ -44,86 +43,81 @@ def _matrix(vecs: pd.Series) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def centroids(sample: np.ndarray, n: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
-    """Spherical k-means; empty clusters take the vectors that fit their own worst."""
-    rng = np.random.default_rng(seed)
-    c = sample[rng.choice(len(sample), n, replace=False)].astype(np.float32)
-    x = sample.astype(np.float32)
-    for _ in range(rounds):
-        sims = x @ c.T
-        own = sims.argmax(1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, own, x)
-        size = np.bincount(own, minlength=n)
-        empty = np.flatnonzero(size == 0)
-        if len(empty):
-            sums[empty] = x[np.argsort(sims[np.arange(len(x)), own])[: len(empty)]]
-        c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    return c
-
-
-class Cells:
-    """Places vectors: the nearest centroids, and inside large cells the sides of random planes through the centroid."""
-
-    def __init__(self, centres: np.ndarray):
-        self.centres = centres
-        self.bits = np.zeros(len(centres), np.int64)
-        self.planes = np.random.default_rng(11).standard_normal((_PLANES, centres.shape[1])).astype(np.float32)
-
-    def of(self, x: np.ndarray, probes: int) -> np.ndarray:
-        """The cells of each vector, the nearest first."""
-        x = x.astype(np.float32)
-        sims = x @ self.centres.T
-        p = min(probes, sims.shape[1])
-        near = np.argpartition(-sims, p - 1, axis=1)[:, :p]
-        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable"), 1)
-        if not self.bits.any():
-            return near << _PLANES
-        sides = np.stack([((x - self.centres[near[:, j]]) @ self.planes.T > 0) for j in range(p)], 1)
-        weights = (1 << np.arange(_PLANES))[None, None] * (np.arange(_PLANES)[None, None] < self.bits[near][..., None])
-        return (near << _PLANES) + (sides * weights).sum(2)
-
-
-def _compare(k: int):
-    def run(key: tuple, members: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
-        if not len(members) or not len(visitors):
-            return pd.DataFrame({"id": [], "cell": [], "far": [], "ids": []})
-        mine, ids = _matrix(members["vec"]), members["id"].to_numpy()
-        order = np.argsort(ids)
-        mine, ids = mine[order], ids[order]
-        small = mine.astype(np.float32)
-        out: dict[str, list] = {"id": [], "cell": [], "far": [], "ids": []}
-        cell = int(members["home"].iloc[0])
-        for a in range(0, len(visitors), 1000):
-            part = visitors.iloc[a : a + 1000]
-            x, who = _matrix(part["guest_vec"]), part["guest"].to_numpy()
-            sims = x.astype(np.float32) @ small.T
-            p = min(k + 4, len(ids))
-            top = np.argpartition(-sims, p - 1, axis=1)[:, :p] if p < len(ids) else np.broadcast_to(np.arange(len(ids)), sims.shape)
-            exact = np.einsum("ij,ikj->ik", x, mine[top])
-            exact[ids[top] == who[:, None]] = -9
-            rank = np.lexsort((ids[top], -exact), axis=1)[:, :k]
-            exact, near = np.take_along_axis(exact, rank, 1), ids[np.take_along_axis(top, rank, 1)]
-            for i in range(len(who)):
-                good = exact[i] > -8
-                for name, x in (("id", who[i]), ("cell", cell), ("far", -exact[i][good]), ("ids", near[i][good])):
-                    out[name].append(x)
-        return pd.DataFrame(out)
+class Hashing:
+    """Signs of random projections against their medians: a number for each vector and hashing."""
+
+    def __init__(self, sample: np.ndarray, bits: int, hashings: int = HASHINGS, seed: int = 7):
+        planes = np.random.default_rng(seed).standard_normal((sample.shape[1], hashings * bits))
+        self.planes, self.bits, self.hashings = planes, bits, hashings
+        self.medians = np.median(sample @ planes, axis=0) if len(sample) else np.zeros(hashings * bits)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        signs = (x @ self.planes > self.medians).reshape(len(x), self.hashings, self.bits)
+        return (signs << np.arange(self.bits, dtype=np.int64)).sum(2)
+
+
+def _lists(who: np.ndarray, a: np.ndarray, b: np.ndarray, far: np.ndarray, homes: np.ndarray, k: int) -> pd.DataFrame:
+    """(id, far, ids, homes): the k best of each a's partners b; a and b are places in ``who``."""
+    order = np.lexsort((who[b], far, a))
+    a, b, far = a[order], b[order], far[order]
+    firsts = np.flatnonzero(np.diff(a, prepend=-1))
+    ends = np.minimum(np.append(firsts[1:], len(a)), firsts + k)
+    return pd.DataFrame({"id": who[a[firsts]], "far": [far[i:j] for i, j in zip(firsts, ends)], "ids": [who[b[i:j]] for i, j in zip(firsts, ends)], "homes": [homes[b[i:j]] for i, j in zip(firsts, ends)]})
+
+
+_NONE = {"id": np.empty(0, np.int64)} | dict.fromkeys(("far", "ids", "homes"), np.empty(0, object))
+_LISTS = "id bigint, far array<double>, ids array<bigint>, homes array<int>"
+
+
+def _hashed(k: int):
+    """Compares all vectors of a bucket."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = len(pdf)
+        if n < 2:
+            return pd.DataFrame(_NONE)
+        x = _matrix(pdf["vec"])
+        far = -(x @ x.T)
+        np.fill_diagonal(far, 9)
+        p = min(k, n - 1)
+        near = np.argpartition(far, p - 1, axis=1)[:, :p]
+        rows = np.repeat(np.arange(n), p)
+        near = near.ravel()
+        exact = -np.einsum("ij,ij->i", x[rows], x[near])
+        return _lists(pdf["id"].to_numpy(), rows, near, exact, pdf["home"].to_numpy(), k)
 
     return run
 
 
+def _joined(k: int):
+    """Compares the vectors that have a neighbour in common, of those whose home this is; what is no better than a list's last entry, or stands in it, isn't told again."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", ignore_index=True)
+        who, via = pdf["id"].to_numpy(), pdf["via"]
+        sizes = via.map(len).to_numpy()
+        member, key = np.repeat(np.arange(len(who)), sizes), np.concatenate(via.to_list())
+        order = np.argsort(key, kind="stable")
+        key, member = key[order], member[order]
+        bounds = np.flatnonzero(np.diff(key)) + 1
+        codes = []
+        for g in np.split(member, bounds):
+            if len(g) > 1:
+                i, j = np.triu_indices(len(g), 1)
+                codes.append(g[i].astype(np.int64) * len(who) + g[j])
+        if not codes:
+            return pd.DataFrame(_NONE)
+        a, b = np.divmod(np.unique(np.concatenate(codes)), len(who))
+        x = _matrix(pdf["vec"])
+        far = np.concatenate([-np.einsum("ij,ij->i", x[a[i : i + 50_000]], x[b[i : i + 50_000]]) for i in range(0, len(a), 50_000)])
+        a, b, far = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([far, far])
+        told = member * (1 << 32) + np.searchsorted(who, key).clip(max=len(who) - 1)  # neighbours that live here
+        new = (far <= pdf["last"].to_numpy()[a]) & ~np.isin(a * (1 << 32) + b, told[who[told & 0xFFFFFFFF] == key])
+        if not new.any():
+            return pd.DataFrame(_NONE)
+        return _lists(who, a[new], b[new], far[new], pdf["home"].to_numpy(), k)
 
-def _visited(places: DataFrame, visits: DataFrame, k: int, sizes: DataFrame) -> DataFrame:
-    """(id, cell, far, ids) of each visit (id, vec, cell): the k best members of the cell. Large cells are compared in parts, many visitors in shares, so that no task gets more than MEMBERS x VISITORS."""
-    load = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("v")).join(sizes, "cell")
-    load = load.select("cell", F.ceil(F.col("v") / VISITORS).cast("int").alias("shares"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("parts"))
-    load = _small(load)  # a row a cell
-    members = places.select("id", "vec", "home").join(load.withColumnRenamed("cell", "home"), "home")
-    members = members.select("id", "vec", "home", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    guests = visits.join(load, "cell")
-    guests = guests.select(F.col("id").alias("guest"), F.col("vec").alias("guest_vec"), F.col("cell").alias("c"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"), F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("s"))
-    return members.groupBy("home", "part", "share").cogroup(guests.groupBy("c", "p", "s")).applyInPandas(_compare(k), "id bigint, cell bigint, far array<double>, ids array<bigint>")
+    return run
 
 
 def _small(df: DataFrame, rows: int = 300_000) -> DataFrame:
@@ -132,109 +126,114 @@ def _small(df: DataFrame, rows: int = 300_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def _as_lists(far: Column, ids: Column, cell: Column) -> Column:
-    return F.zip_with(far, ids, lambda f, i: F.struct(f.alias("far"), i.alias("id"), cell.alias("cell")))
-
-
-def _kept(lists: Column, k: int) -> Column:
-    """The k nearest of several lists, each vector once."""
-    return F.slice(F.array_distinct(F.sort_array(F.flatten(lists))), 1, k)
-
-
-def _best(found: DataFrame, k: int) -> DataFrame:
-    """(id, nbrs, seen): what the visits of a vector have found, and the cells visited."""
-    lists = F.transform(F.collect_list(F.struct("far", "ids", "cell")), lambda x: _as_lists(x["far"], x["ids"], x["cell"]))
-    return found.groupBy("id").agg(_kept(lists, k).alias("nbrs"), F.collect_set("cell").alias("seen"))
+def _merged(found: DataFrame, kept: int, *more: Column) -> DataFrame:
+    """(id, far, ids, homes, more): the best ``kept`` of all lists of a vector, each neighbour once."""
+    every = F.flatten(F.collect_list(F.arrays_zip("far", "ids", "homes")))
+    best = found.groupBy("id").agg(F.slice(F.array_distinct(F.sort_array(every)), 1, kept).alias("_b"), *more)
+    names = [c for c in best.columns if c not in ("id", "_b")]
+    return best.select("id", F.transform("_b", lambda x: x["far"]).alias("far"), F.transform("_b", lambda x: x["ids"]).alias("ids"), F.transform("_b", lambda x: x["homes"]).alias("homes"), *names)
 
 
 @dataclass
 class Index:
-    """graph: (id, nbrs); cells: where vectors belong; entries: (cell, n, nv), members at which searches begin: one of each connected part at least."""
+    """graph: (id, nbrs); hashing: the buckets of any vector; entries: (bucket, n, nv), members at which searches begin: one of each connected part at least. rounds: how many lists have changed in each."""
 
     graph: DataFrame
-    cells: Cells | None = None
+    hashing: Hashing | None = None
     entries: DataFrame | None = None
+    rounds: tuple[int, ...] = ()
 
 
-def neighbour_graph(vectors: DataFrame, k: int = 5, kept: int = KEPT, rounds: int = ROUNDS) -> DataFrame:
+def neighbour_graph(vectors: DataFrame, k: int = 5, kept: int = KEPT, rounds: int | None = None) -> DataFrame:
     """The graph of build()."""
     return build(vectors, k, kept, rounds).graph
 
 
-def build(vectors: DataFrame, k: int = 5, kept: int = KEPT, rounds: int = ROUNDS) -> Index:
+def _buckets(hashing: Hashing, spark) -> Column:
+    """The buckets of a vector: a hash of the hashing's number and the signs."""
+    shared = spark.sparkContext.broadcast(hashing)
+
+    @F.pandas_udf("array<bigint>")
+    def of(s: pd.Series) -> pd.Series:
+        return pd.Series(list(shared.value.of(_matrix(s)))) if len(s) else pd.Series([], dtype=object)
+
+    return F.transform(of("vec"), lambda x, i: F.xxhash64(i, x))
+
+
+def build(vectors: DataFrame, k: int = 5, kept: int = KEPT, rounds: int | None = None) -> Index:
     """An index whose graph has a row (id, nbrs) for each vector of (id, vec), as usable() gives them: nbrs has the nearest others (-cosine as far, id), the nearest first.
 
+    The descent goes on until under CHANGES of the vectors get another k nearest, or for so many rounds as are given. Buckets of more than twice BUCKET
+    vectors are split by a hash; so are the guests of a home beyond GUESTS: vectors there meet by way of others of their neighbours.
     A vector counts once by its id; of rows with the same id one is taken. Vectors of exactly the same bytes count as one another's neighbours like any
     others, but only the least kept + 1 ids of such a class stand in the graph: no other of it can be among anybody's k nearest, and they all have the
     least ids as their own. An empty table gives no rows; with fewer than k + 1 vectors, lists are shorter.
     """
     spark = vectors.sparkSession
-    single = vectors.dropDuplicates(["id"])
-    seen = vectors.select("id", "vec")
-    n = seen.count()
-    share = min(1.0, SAMPLE / max(1, n))
-    rows = seen.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share) + 1).select("vec").limit(2 * SAMPLE).collect()
-    if not rows:
+    single = materialised(vectors.select("id", "vec").dropDuplicates(["id"]))
+    n = single.count()
+    if not n:
         return Index(spark.createDataFrame([], "id bigint, nbrs array<struct<far:double,id:bigint>>"))
-    sample = _matrix(pd.Series([bytes(r.vec) for r in rows]))
-    cells = Cells(centroids(sample, max(1, min(CENTROIDS, n // CELL, len(sample)))))
+    share = min(1.0, SAMPLE / n)
+    rows = single.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share) + 1).select("vec").limit(2 * SAMPLE).collect()
+    rows = rows or single.select("vec").limit(1).collect()
+    hashing = Hashing(_matrix(pd.Series([bytes(r.vec) for r in rows])), max(1, int(np.ceil(np.log2(max(2, n / BUCKET))))))
 
     w = W.partitionBy("_h").orderBy("id")
-    single = single.withColumn("_h", F.md5("vec"))
-    firsts = single.select("_h", "id").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= kept + 1)
+    classes = single.withColumn("_h", F.md5("vec"))
+    firsts = classes.select("_h", "id").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= kept + 1)
     copies = firsts.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list("id")).alias("_ids")).filter(F.col("_n") > kept)
     copies = materialised(copies)
-    many = copies.limit(1).count() > 0
-    if many:  # classes that are larger than what any list holds: their other members stay out of the graph
-        single = single.join(copies.select("_h", F.col("_ids")[kept].alias("_last")), "_h", "left")
-        others = single.filter(F.col("id") > F.col("_last")).select("id", "_h")
-        single = single.filter(F.col("_last").isNull() | (F.col("id") <= F.col("_last")))
-    single = single.select("id", "vec")
-
-    def place(df: DataFrame, probes: int, extra: list[str]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(cells)
-
-        @F.pandas_udf("array<bigint>")
-        def of(s: pd.Series) -> pd.Series:
-            return pd.Series(list(shared.value.of(_matrix(s), probes).astype(np.int64)))
-
-        return df.select("id", "vec", of("vec").alias("cells")).select("id", "vec", F.col("cells")[0].alias("home"), *extra)
-
-    first = materialised(place(single, PROBES, ["cells"]))
-    sizes = first.groupBy("home").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r.home: r.n for r in sizes.collect()}  # at most CENTROIDS rows
-    if max(counts.values()) > 4 * CELL and n > 8 * CELL:
-        for c, size in counts.items():
-            cells.bits[c >> _PLANES] = min(_PLANES, max(0, int(np.ceil(np.log2(size / (2 * CELL))))))
-        first = materialised(place(first.select("id", "vec"), PROBES, ["cells"]))
-    sizes = materialised(first.groupBy(F.col("home").alias("cell")).agg(F.count(F.lit(1)).alias("n")))
-    places = first
-    visits = first.select("id", "vec", F.explode("cells").alias("cell"))
-    graph = materialised(_best(_visited(places, visits, kept, sizes), kept))
-    total = max(1, sum(counts.values()))
-    for _ in range(rounds):
-        edges = graph.select("id", "seen", F.explode(F.slice("nbrs", 1, k)).alias("_e")).select("id", "seen", F.col("_e.id").alias("via"))
-        onward = graph.select(F.col("id").alias("via"), F.transform(F.slice("nbrs", 1, k), lambda x: x["cell"]).alias("_cells"))
-        fresh = edges.join(onward, "via").select("id", F.explode(F.array_distinct(F.array_except("_cells", "seen"))).alias("cell")).distinct()
-        fresh = _small(fresh)
-        found = _visited(places, places.select("id", "vec").join(fresh, "id"), kept, sizes)
-        found = found.select("id", _as_lists(F.col("far"), F.col("ids"), F.col("cell")).alias("nbrs"), F.array("cell").alias("seen"))
-        old = graph.select("id", "nbrs", "seen", F.transform(F.slice("nbrs", 1, k), lambda x: x["id"]).alias("_before"))
-        both = old.unionByName(found, allowMissingColumns=True)
-        merged = both.groupBy("id").agg(_kept(F.collect_list("nbrs"), kept).alias("nbrs"), F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"), F.first("_before", ignorenulls=True).alias("_before"))
-        after = F.transform(F.slice("nbrs", 1, k), lambda x: x["id"])
-        graph = materialised(merged.select("id", "nbrs", "seen", (after != F.col("_before")).alias("changed")))
-        if graph.filter("changed").count() < CHANGES * total:
+    n_copies = copies.count()
+    if n_copies:  # classes that are larger than what any list holds: their other members stay out of the graph
+        salts = 1 if n_copies <= 300_000 else 32  # many classes are joined by shuffle, where the largest is split
+        salted = copies.select("_h", "_ids", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"))
+        salted = F.broadcast(salted) if salts == 1 else salted
+        classes = classes.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(salted, ["_h", "_s"], "left")
+        last = F.col("_ids")[kept]
+        own = classes.filter(F.col("id") > last).select("id", F.transform(F.slice("_ids", 1, kept), lambda x: F.struct(F.lit(-1.0).alias("far"), x.alias("id"))).alias("nbrs"))
+        classes = classes.filter(last.isNull() | (F.col("id") <= last))
+    nodes = classes.select("id", "vec", _buckets(hashing, spark).alias("buckets"))
+    spread = nodes.select("id", "vec", F.posexplode("buckets").alias("hashing", "bucket"))
+    if n > 2 * BUCKET:
+        sizes = materialised(nodes.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 2 * BUCKET))
+        sizes = _small(sizes.select("bucket", F.ceil(F.col("_n") / BUCKET).alias("_parts")))
+        spread = spread.join(sizes, "bucket", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("_parts", F.lit(1))))
+    else:
+        spread = spread.withColumn("part", F.lit(0))
+    spread = materialised(spread.select("id", F.when(F.col("hashing") == 0, F.col("vec")).alias("_own"), "vec", "hashing", F.hash("bucket", "part").alias("home")))
+    nodes = spread.filter("hashing = 0").select("id", "vec", "home")
+    placed = spread.select("id", "vec", "hashing", F.col("home").alias("bucket")).join(nodes.select("id", "home"), "id")
+    first = placed.groupBy("bucket").applyInPandas(_hashed(kept), _LISTS)
+    none = [F.array().cast("array<double>").alias("far"), F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<int>").alias("homes")]
+    own_vec = [F.first("vec", ignorenulls=True).alias("vec"), F.first("home", ignorenulls=True).alias("home")]
+    graph = materialised(_merged(first.unionByName(nodes.select("*", *none), allowMissingColumns=True), kept, *own_vec))
+    forget(spread, single)
+    changed: list[int] = []
+    while rounds is None or len(changed) < rounds:
+        entries = F.concat(F.array(F.struct(F.col("home").alias("homes"), F.col("id").alias("ids"))), F.arrays_zip("homes", "ids"))
+        calls = F.transform(F.array_distinct(F.transform(entries, lambda x: x["homes"])), lambda h: F.struct(h.alias("to"), F.transform(F.filter(entries, lambda x: x["homes"] == h), lambda x: x["ids"]).alias("via")))
+        last = F.when(F.size("far") >= kept, F.element_at("far", -1)).otherwise(9.0)
+        guests = graph.select("id", "vec", "home", last.alias("last"), F.explode(calls).alias("_c")).select("id", "vec", "home", "last", "_c.*")
+        crowds = _small(guests.groupBy("to").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > GUESTS).select("to", F.ceil(F.col("_n") / GUESTS).alias("_shares")))
+        guests = guests.join(crowds, "to", "left").withColumn("share", F.pmod(F.xxhash64("id"), F.coalesce("_shares", F.lit(1)))).drop("_shares")
+        found = guests.groupBy("to", "share").applyInPandas(_joined(kept), _LISTS)
+        old = graph.select("id", "far", "ids", "homes", "vec", "home", F.slice("ids", 1, k).alias("_before"))
+        both = _merged(old.unionByName(found, allowMissingColumns=True), kept, *own_vec, F.first("_before", ignorenulls=True).alias("_before"))
+        after = materialised(both.select("*", (F.slice("ids", 1, k) != F.col("_before")).alias("changed")).drop("_before"))
+        forget(graph, crowds)
+        graph = after
+        changed.append(graph.filter("changed").count())
+        if changed[-1] < CHANGES * n:
             break
-    lists = graph.select("id", F.transform("nbrs", lambda x: F.struct(x["far"].alias("far"), x["id"].alias("id"))).alias("nbrs"))
-    if many:
-        own = others.join(copies.select("_h", "_ids"), "_h").select("id", F.transform(F.slice("_ids", 1, kept), lambda x: F.struct(F.lit(-1.0).alias("far"), x.alias("id"))).alias("nbrs"))
+    lists = graph.select("id", F.zip_with("far", "ids", lambda f, i: F.struct(f.alias("far"), i.alias("id"))).alias("nbrs"))
+    if n_copies:
         lists = lists.unionByName(own)
     # those whose hash is less than all their neighbours': each part of the graph that hangs together has one at least
-    least = F.array_min(F.transform("nbrs", lambda x: F.xxhash64(x["id"])))
-    chosen = graph.filter(F.coalesce(F.xxhash64("id") < least, F.lit(True))).select("id")
-    entries = places.join(chosen, "id").select(F.col("home").alias("cell"), F.col("id").alias("n"), F.col("vec").alias("nv"))
-    return Index(lists, cells, entries)
+    least = F.array_min(F.transform("ids", lambda x: F.xxhash64(x)))
+    chosen = graph.filter(F.coalesce(F.xxhash64("id") < least, F.lit(True))).select("id", "vec")
+    entries = chosen.select(F.explode(_buckets(hashing, spark)).alias("bucket"), F.col("id").alias("n"), F.col("vec").alias("nv"))
+    return Index(lists, hashing, entries, tuple(changed))
 
 
 def neighbour_pairs(graph: DataFrame, k: int = 5) -> DataFrame:
@@ -243,21 +242,17 @@ def neighbour_pairs(graph: DataFrame, k: int = 5) -> DataFrame:
     return e.select(F.least("id", "other").alias("vec_a"), F.greatest("id", "other").alias("vec_b")).distinct()
 
 
-def search(index: Index, vectors: DataFrame, queries: DataFrame, k: int = 5, beam: int = 48, steps: int = 12) -> DataFrame:
+def search(index: Index, vectors: DataFrame, queries: DataFrame, k: int = 5, beam: int = 48) -> DataFrame:
     """A row (query, rank, id, cosine) for the k nearest vectors of each query (id, vec), by greedy search of the graph.
 
-    Each query starts from the entries of its nearest cells, looks up the neighbours of the best half of the ``beam`` vectors it has seen best, and ends
-    when those are all opened; a query that is itself in the graph is not among its own results. An empty index gives no rows.
+    Each query starts from the entries of its buckets, looks up the neighbours of the best half of the ``beam`` vectors it has seen best, and ends
+    when those are all opened; a query that is itself in the graph is not among its own results. A query whose buckets have no entry starts from the entries
+    of a bucket by its hash. An empty index gives no rows.
     All queries take a step together: a join with the graph's lists, and one with the vectors.
     """
     spark = vectors.sparkSession
-    if index.cells is None:
+    if index.hashing is None:
         return spark.createDataFrame([], "query bigint, rank bigint, id bigint, cosine double")
-    shared = spark.sparkContext.broadcast(index.cells)
-
-    @F.pandas_udf("array<bigint>")
-    def near(s: pd.Series) -> pd.Series:
-        return pd.Series(list(shared.value.of(_matrix(s), PROBES).astype(np.int64)))
 
     @F.pandas_udf("double")
     def far(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -266,11 +261,17 @@ def search(index: Index, vectors: DataFrame, queries: DataFrame, k: int = 5, bea
     q = materialised(queries.select(F.col("id").alias("q"), F.col("vec").alias("qv")).dropDuplicates(["q"]))
     vectors = vectors.dropDuplicates(["id"])
     graph = index.graph
-    state = q.select("q", "qv", F.explode(near("qv")).alias("cell")).join(index.entries, "cell").select("q", far("qv", "nv").alias("far"), "n", F.lit(False).alias("open"))
+    entries = materialised(index.entries)
+    asked = q.withColumnRenamed("qv", "vec").select("q", F.col("vec").alias("qv"), F.explode(_buckets(index.hashing, spark)).alias("bucket"))
+    met = asked.join(entries, "bucket")
+    lost = q.join(met.select("q").distinct(), "q", "left_anti")
+    any_of = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).orderBy("bucket").limit(1).select("bucket")
+    met = met.select("q", "qv", "n", "nv").unionByName(lost.crossJoin(F.broadcast(any_of)).join(entries, "bucket").select("q", "qv", "n", "nv"))  # one bucket only
+    state = met.dropDuplicates(["q", "n"]).select("q", far("qv", "nv").alias("far"), "n", F.lit(False).alias("open"))
     top = W.partitionBy("q").orderBy("far", "n")
     state = materialised(state.withColumn("_r", F.row_number().over(top)).filter(F.col("_r") <= beam).drop("_r"))
     links = graph.select(F.col("id").alias("n"), F.transform("nbrs", lambda x: x["id"]).alias("to"))
-    for _ in range(steps):
+    while True:  # ends: each step opens vectors, and a query has no more than the graph
         now = state.withColumn("_r", F.row_number().over(top)).filter((F.col("_r") <= beam // 2) & ~F.col("open"))
         reached = now.join(links, "n").select("q", F.explode("to").alias("n")).distinct().join(state.select("q", "n"), ["q", "n"], "left_anti")
         new = reached.join(vectors.select(F.col("id").alias("n"), F.col("vec").alias("nv")), "n").join(q, "q").select("q", far("qv", "nv").alias("far"), "n", F.lit(False).alias("open"))
