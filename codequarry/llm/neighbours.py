@@ -20,8 +20,8 @@ from .lineage import forget, materialised
 
 #: Vectors of the sample that the thresholds of the projections are fitted on (bound), hashings, and vectors that a bucket should have.
 SAMPLE, HASHINGS, BUCKET = 20_000, 3, 256
-#: Neighbours kept in the graph; share of vectors whose k nearest still change at which the descent ends; vectors in one comparison.
-KEPT, CHANGES, GUESTS = 12, 0.01, 8000
+#: Neighbours kept in the graph, and those of them whose homes a vector is sent to; share of vectors whose k nearest still change at which the descent ends; vectors in one comparison.
+KEPT, VISITED, CHANGES, GUESTS = 12, 10, 0.01, 8000
 
 
 def usable(vectors: DataFrame, key: str, vector: str, dimensions: int = 64) -> DataFrame:
@@ -111,11 +111,11 @@ def _joined(k: int):
         x = _matrix(pdf["vec"])
         far = np.concatenate([-np.einsum("ij,ij->i", x[a[i : i + 50_000]], x[b[i : i + 50_000]]) for i in range(0, len(a), 50_000)])
         a, b, far = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([far, far])
-        told = member * (1 << 32) + np.searchsorted(who, key).clip(max=len(who) - 1)  # neighbours that live here
-        new = (far <= pdf["last"].to_numpy()[a]) & ~np.isin(a * (1 << 32) + b, told[who[told & 0xFFFFFFFF] == key])
+        told = np.repeat(np.arange(len(who)), pdf["known"].map(len)) * (1 << 32) + np.concatenate(pdf["known"].to_list()).astype(np.int64) % (1 << 32)
+        new = (far <= pdf["last"].to_numpy()[a]) & ~np.isin(a * (1 << 32) + pdf["hash"].to_numpy().astype(np.int64)[b] % (1 << 32), told)
         if not new.any():
             return pd.DataFrame(_NONE)
-        return _lists(who, a[new], b[new], far[new], pdf["home"].to_numpy(), k)
+        return _lists(who, a[new], b[new], far[new], pdf["home"].to_numpy(), k)  # of the lists' own entries, those are told by a hash
 
     return run
 
@@ -194,35 +194,34 @@ def build(vectors: DataFrame, k: int = 5, kept: int = KEPT, rounds: int | None =
         own = classes.filter(F.col("id") > last).select("id", F.transform(F.slice("_ids", 1, kept), lambda x: F.struct(F.lit(-1.0).alias("far"), x.alias("id"))).alias("nbrs"))
         classes = classes.filter(last.isNull() | (F.col("id") <= last))
     nodes = classes.select("id", "vec", _buckets(hashing, spark).alias("buckets"))
-    spread = nodes.select("id", "vec", F.posexplode("buckets").alias("hashing", "bucket"))
     if n > 2 * BUCKET:
-        sizes = materialised(nodes.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 2 * BUCKET))
+        sizes = nodes.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 2 * BUCKET)
         sizes = _small(sizes.select("bucket", F.ceil(F.col("_n") / BUCKET).alias("_parts")))
-        spread = spread.join(sizes, "bucket", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("_parts", F.lit(1))))
     else:
-        spread = spread.withColumn("part", F.lit(0))
-    spread = materialised(spread.select("id", F.when(F.col("hashing") == 0, F.col("vec")).alias("_own"), "vec", "hashing", F.hash("bucket", "part").alias("home")))
-    nodes = spread.filter("hashing = 0").select("id", "vec", "home")
-    placed = spread.select("id", "vec", "hashing", F.col("home").alias("bucket")).join(nodes.select("id", "home"), "id")
-    first = placed.groupBy("bucket").applyInPandas(_hashed(kept), _LISTS)
+        sizes = spark.createDataFrame([], "bucket bigint, _parts bigint")
+    part = F.pmod(F.xxhash64("id"), F.coalesce("_parts", F.lit(1)))
+    nodes = nodes.withColumn("bucket", F.col("buckets")[0]).join(sizes, "bucket", "left").select("id", "vec", "buckets", F.hash("bucket", part).alias("home"))
+    spread = nodes.select("id", "vec", "home", F.explode("buckets").alias("bucket")).join(sizes, "bucket", "left").withColumn("part", part)
+    first = spread.groupBy("bucket", "part").applyInPandas(_hashed(kept // 2), _LISTS)
     none = [F.array().cast("array<double>").alias("far"), F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<int>").alias("homes")]
     own_vec = [F.first("vec", ignorenulls=True).alias("vec"), F.first("home", ignorenulls=True).alias("home")]
-    graph = materialised(_merged(first.unionByName(nodes.select("*", *none), allowMissingColumns=True), kept, *own_vec))
-    forget(spread, single)
+    graph = materialised(_merged(first.unionByName(nodes.select("id", "vec", "home", *none), allowMissingColumns=True), kept, *own_vec))
+    forget(graph)
     changed: list[int] = []
     while rounds is None or len(changed) < rounds:
-        entries = F.concat(F.array(F.struct(F.col("home").alias("homes"), F.col("id").alias("ids"))), F.arrays_zip("homes", "ids"))
+        entries = F.concat(F.array(F.struct(F.col("home").alias("homes"), F.col("id").alias("ids"))), F.slice(F.arrays_zip("homes", "ids"), 1, VISITED))
         calls = F.transform(F.array_distinct(F.transform(entries, lambda x: x["homes"])), lambda h: F.struct(h.alias("to"), F.transform(F.filter(entries, lambda x: x["homes"] == h), lambda x: x["ids"]).alias("via")))
         last = F.when(F.size("far") >= kept, F.element_at("far", -1)).otherwise(9.0)
-        guests = graph.select("id", "vec", "home", last.alias("last"), F.explode(calls).alias("_c")).select("id", "vec", "home", "last", "_c.*")
+        known = F.transform("ids", lambda x: F.hash(x))
+        guests = graph.select("id", "vec", "home", last.alias("last"), known.alias("known"), F.explode(calls).alias("_c")).select("id", "vec", "home", "last", "known", F.hash("id").alias("hash"), "_c.*")
         crowds = _small(guests.groupBy("to").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > GUESTS).select("to", F.ceil(F.col("_n") / GUESTS).alias("_shares")))
         guests = guests.join(crowds, "to", "left").withColumn("share", F.pmod(F.xxhash64("id"), F.coalesce("_shares", F.lit(1)))).drop("_shares")
         found = guests.groupBy("to", "share").applyInPandas(_joined(kept), _LISTS)
         old = graph.select("id", "far", "ids", "homes", "vec", "home", F.slice("ids", 1, k).alias("_before"))
         both = _merged(old.unionByName(found, allowMissingColumns=True), kept, *own_vec, F.first("_before", ignorenulls=True).alias("_before"))
         after = materialised(both.select("*", (F.slice("ids", 1, k) != F.col("_before")).alias("changed")).drop("_before"))
-        forget(graph, crowds)
         graph = after
+        forget(graph)
         changed.append(graph.filter("changed").count())
         if changed[-1] < CHANGES * n:
             break
