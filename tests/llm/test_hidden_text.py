@@ -107,3 +107,14 @@ def test_lexers_keep_places():
         text = frame.format(SENTENCES["ru"])
         lexed = lexers.lex(text, language)
         assert lexed.error is None and all(text[a:b] for a, b in lexed.comments + lexed.strings)
+
+
+@pytest.mark.parametrize("literal,lang", [('"你好世界"', "zh"), ('"Hallo"', "de"), ('"Fehler"', "de"), ('"Привет"', "ru"), ('"x"', None), ('"%d"', None), ('"UTF-8"', None), ('"a_b"', None), ('"qxzvk"', None)])
+def test_short_literals(spark, literal, lang):
+    """Literals count by what their words look like, not by their length; the share is of the file's bytes."""
+    docs = spark.createDataFrame([(1, "Hallo und guten Tag, hier ist ein Fehler in der Welt. Hallo Fehler.", "de"), (2, "hello and good day, here is an error in the world of numbers", "en")], "doc_id long, text string, lang string")
+    text = f"x = {literal}\n"
+    files = spark.createDataFrame([(1, text, "Python")], "file_id long, content string, language string")
+    got = [(r.nl_lang, r.nl_bytes, r.share) for r in hidden_text.nl_spans(files, langid.fit(docs)).collect()]
+    size = len(literal.strip('"').encode())
+    assert got == ([(lang, size, size / len(text.encode()))] if lang else [])
