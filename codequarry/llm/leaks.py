@@ -25,7 +25,6 @@ Q, BAND = 16, 32
 _WORD = re.compile(r"[^\W_]+")
 _FORMAT = re.compile("[" + "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf") + "]")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_TABLE_BITS = 20
 
 
 def normal_words(text: str) -> list[str]:
@@ -103,8 +102,10 @@ class ItemIndex:
         self.owner = np.concatenate(owner)[order] if hashes else np.empty(0, np.int64)
         self.place = np.concatenate(place)[order] if hashes else np.empty(0, np.int64)
         self.keys, self.first, self.count = np.unique(all_hashes[order], return_index=True, return_counts=True)
-        self.table = np.zeros(1 << _TABLE_BITS, bool)
-        self.table[(self.keys >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
+        bits = max(20, int(16 * len(self.keys)).bit_length())  # a sixteenth of it is set at most
+        self.shift = np.uint64(64 - bits)
+        self.table = np.zeros(1 << bits, bool)
+        self.table[(self.keys >> self.shift).astype(np.int64)] = True
         self.floor = int(self.bound.min()) if len(self.bound) else 0
 
     def bands(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -114,7 +115,7 @@ class ItemIndex:
         """
         begins = np.array([0, *accumulate(len(x) + 1 for x in texts)], np.int64)
         h = qgrams(b"\n".join(texts))
-        at = np.flatnonzero(self.table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
+        at = np.flatnonzero(self.table[(h >> self.shift).astype(np.int64)])
         if len(at) < self.floor:
             return
         i = np.searchsorted(self.keys, h[at])
@@ -212,7 +213,7 @@ def _finder(shared: Broadcast) -> Callable:
 
 
 def leaks(
-    documents: DataFrame, items: DataFrame, least_words: int = 12, edits: int = 1, doc_key: str = "doc_id", item_key: str = "item_id", doc_text: str = "text", item_text: str = "text", block_bytes: int = 16_000_000
+    documents: DataFrame, items: DataFrame, least_words: int = 12, edits: int = 1, doc_key: str = "doc_id", item_key: str = "item_id", doc_text: str = "text", item_text: str = "text", block_bytes: int = 2_000_000
 ) -> DataFrame:
     """A row (doc_key, item_key, run_words, aligned_words, first_word, last_word) for each document and item of which a passage lies in it.
 

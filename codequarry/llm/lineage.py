@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def materialised(df: DataFrame) -> DataFrame:
@@ -17,7 +18,7 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def forget(*frames: DataFrame) -> None:
-    """Let Spark clear away what it keeps of materialised rows that are no longer needed: it does so when the driver's objects are collected."""
-    if frames:
-        frames[0].sparkSession.sparkContext._jvm.System.gc()
+def forget(spark: SparkSession) -> None:
+    """Let Spark clear away shuffles and checkpoints that nothing refers to any longer: it does so when the driver's objects are collected, here and in the JVM."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -206,7 +206,8 @@ def build(vectors: DataFrame, k: int = 5, kept: int = KEPT, rounds: int | None =
     none = [F.array().cast("array<double>").alias("far"), F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<int>").alias("homes")]
     own_vec = [F.first("vec", ignorenulls=True).alias("vec"), F.first("home", ignorenulls=True).alias("home")]
     graph = materialised(_merged(first.unionByName(nodes.select("id", "vec", "home", *none), allowMissingColumns=True), kept, *own_vec))
-    forget(graph)
+    del first, spread
+    forget(spark)
     changed: list[int] = []
     while rounds is None or len(changed) < rounds:
         entries = F.concat(F.array(F.struct(F.col("home").alias("homes"), F.col("id").alias("ids"))), F.slice(F.arrays_zip("homes", "ids"), 1, VISITED))
@@ -221,7 +222,8 @@ def build(vectors: DataFrame, k: int = 5, kept: int = KEPT, rounds: int | None =
         both = _merged(old.unionByName(found, allowMissingColumns=True), kept, *own_vec, F.first("_before", ignorenulls=True).alias("_before"))
         after = materialised(both.select("*", (F.slice("ids", 1, k) != F.col("_before")).alias("changed")).drop("_before"))
         graph = after
-        forget(graph)
+        del guests, found, old, both, after
+        forget(spark)
         changed.append(graph.filter("changed").count())
         if changed[-1] < CHANGES * n:
             break

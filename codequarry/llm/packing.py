@@ -2,10 +2,11 @@
 
 1. Items beyond the capacity give off full containers; what remains of them is an item like the others.
 2. The lengths of the items are counted, in bins by their length rounded up (at most ``BINS`` of them, so the counts are few).
-3. Combinations of two to four bins that fill a window below the capacity are enumerated; non-negative least squares gives how often each is
-   to be used so that the histogram is used up; the counts are rounded down.
-4. The items of a bin are numbered in parallel (a number within a salt, behind the counts of the salts before), and their number says which
-   combination's container they go to.
+3. Combinations of few bins that fill a window below the capacity are enumerated: pairs of bins, and as many items of one bin as go in, or some
+   fewer, with up to two others that fill the rest. Non-negative least squares gives how often each is to be used so that the histogram is used
+   up; the counts are rounded down, and what that leaves is taken by the same combinations as often as it goes.
+4. The items of a bin are numbered in parallel (a number within a salt, behind the counts of the salts before; the salts of a bin follow from its
+   count), and their number says which combination's container they go to.
 5. The items left over go into containers greedily, best fit with the longest first, in groups of bounded size.
 """
 
@@ -21,9 +22,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .lineage import materialised
 
-#: Most bins of length per capacity, combinations tried, salts of a bin, and items of a group that is packed greedily.
-BINS, COMBINATIONS, SALTS, GROUP = 256, 6000, 64, 20_000
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Most bins of length per capacity, items numbered by one task, items of a group that is packed greedily, and combinations of each bin with others.
+BINS, NUMBERED, GROUP, TAILS = 256, 500_000, 20_000, 6
+#: The setting that names a vocabulary of ranks, and where it is if that is unset.
+TOKENIZER = ("spark.codequarry.tokenizer", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: the split pattern of the byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -37,8 +39,10 @@ def _encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(documents: DataFrame, doc_key: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """A row (doc_key, n_tokens) for each document with a text; tokenizer: path of a vocabulary of ranks. Empty texts have 0 tokens, null ones no row."""
+def token_counts(documents: DataFrame, doc_key: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """A row (doc_key, n_tokens) for each document with a text; tokenizer: path of a vocabulary of ranks, by default that of the setting. Empty texts have 0 tokens, null ones no row."""
+
+    tokenizer = tokenizer or documents.sparkSession.conf.get(*TOKENIZER)
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
@@ -52,68 +56,73 @@ def token_counts(documents: DataFrame, doc_key: str = "doc_id", text: str = "tex
 # ---- combinations and their counts
 
 
-def combinations(capacity: int, width: int, counts: np.ndarray, slack: float = 0.02, most: int = COMBINATIONS) -> np.ndarray:
-    """Rows of up to four bins (numbers from 1 on, 0 for none) whose lengths fill the window [capacity * (1 - slack), capacity].
+def combinations(capacity: int, width: int, counts: np.ndarray, slack: float = 0.02) -> np.ndarray:
+    """Rows of bins (numbers from 1 on, 0 for none) whose lengths fill the window [capacity * (1 - slack), capacity].
 
-    Bins without items take no part. Pairs come first, then threes and fours, those made of the fullest bins before others.
+    Bins without items take no part. Every single bin and every pair that fill the window are there. Besides, for each bin: as many of its items as go in, and
+    up to three fewer, half as many, one and two, each with up to ``TAILS`` ways (one or two items: four times as many) to fill the rest by one or two items of other bins, the fullest bins before others.
     """
     bins = np.flatnonzero(counts[1:]) + 1
     total = capacity // width
+    bins = bins[bins <= total]
     low = max(1, int(np.ceil(total * (1 - slack))))
-    rows: list[tuple[int, int, int, int]] = [(int(b), 0, 0, 0) for b in bins if low <= b <= total]
     have = np.zeros(total + 1, bool)
-    have[bins[bins <= total]] = True
+    have[bins] = True
+    seen: dict[tuple[int, ...], None] = {(int(b),): None for b in bins if low <= b}
     for a in bins:
         for c in range(max(int(a), low - int(a)), total - int(a) + 1):
             if have[c]:
-                rows.append((int(a), c, 0, 0))
-    order = bins[np.argsort(-counts[bins], kind="stable")]
-    seen = set(rows)
-    for depth in (3, 4):
-        for i, a in enumerate(order):
-            if len(rows) >= most:
-                break
-            for b in order[: i + 1]:
-                if depth == 3:
-                    rest, heads = total - a - b, [(int(a), int(b))]
-                    tries = [(rest, h) for h in heads]
-                else:
-                    tries = [(total - a - b - c, (int(a), int(b), int(c))) for c in order[:12]]
-                for rest, h in tries:
-                    for d in range(rest, max(0, rest - (total - low)) - 1, -1):
-                        if 0 < d <= total and have[d]:
-                            row = tuple(sorted((*h, int(d))))
-                            row = (*row, 0) if depth == 3 else row
-                            if row not in seen:
-                                seen.add(row)
-                                rows.append(row)
+                seen[int(a), c] = None
+    order = [int(b) for b in bins[np.argsort(-counts[bins], kind="stable")]]
+    for b in map(int, bins):
+        most = total // b
+        for n in sorted({most, most - 1, most - 2, most - 3, (most + 1) // 2, 1, 2} & set(range(1, most + 1)), reverse=True):
+            head, rest = (b,) * n, total - n * b
+            if rest <= total - low:
+                seen[head] = None
+            ways = TAILS if n > 2 else 4 * TAILS
+            tails = 0
+            for d in range(min(rest, total), max(0, rest - (total - low)) - 1, -1):
+                if d > 0 and have[d] and n > 1:
+                    seen[tuple(sorted((*head, d)))] = None
+                    tails += 1
+                    if tails >= ways:
+                        break
+            tails = 0
+            for c in order:
+                if c < rest:
+                    d = next((d for d in range(rest - c, max(0, rest - c - (total - low)) - 1, -1) if d > 0 and have[d]), 0)
+                    if d:
+                        seen[tuple(sorted((*head, c, d)))] = None
+                        tails += 1
+                        if tails >= ways:
                             break
-                if len(rows) >= most:
-                    break
-    return np.array(rows, np.int64).reshape(-1, 4)
+    depth = max(map(len, seen), default=1)
+    out = np.zeros((len(seen), depth), np.int64)
+    for i, row in enumerate(seen):
+        out[i, : len(row)] = row
+    return out
 
 
 def nnls(rows: np.ndarray, counts: np.ndarray, rounds: int = 300) -> np.ndarray:
     """How often to use each combination: non-negative x with the least squared difference between what it uses and the counts.
 
-    Accelerated projected gradient; the matrix has at most four entries a column and is never written out.
+    Accelerated projected gradient; of the matrix only the entries that aren't 0 are kept, each bin of a combination once.
     """
     n, k = len(counts), len(rows)
     if not k:
         return np.zeros(0)
+    which, bins = np.nonzero(rows)[0], rows[rows > 0]
+    cells, times = np.unique(which * n + bins, return_counts=True)
+    which, bins = np.divmod(cells, n)
 
     def used(x: np.ndarray) -> np.ndarray:
-        out = np.zeros(n)
-        for c in range(4):
-            np.add.at(out, rows[:, c], x)
-        out[0] = 0
-        return out
+        return np.bincount(bins, times * x[which], n)
 
     def back(r: np.ndarray) -> np.ndarray:
-        return r[rows].sum(axis=1)
+        return np.bincount(which, times * r[bins], k)
 
     scale = np.maximum(counts, 1.0) ** 0.5  # rare lengths matter as much as frequent ones
-    scale[0] = np.inf
     v = np.ones(k)
     for _ in range(15):  # the largest eigenvalue, for the step
         v = back(used(v) / scale**2)
@@ -122,9 +131,7 @@ def nnls(rows: np.ndarray, counts: np.ndarray, rounds: int = 300) -> np.ndarray:
     x = y = np.zeros(k)
     t = 1.0
     for _ in range(rounds):
-        r = (used(y) - counts) / scale**2
-        r[0] = 0
-        new = np.maximum(0, y - back(r) / (1.02 * step))
+        new = np.maximum(0, y - back((used(y) - counts) / scale**2) / (1.02 * step))
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         y = new + (t - 1) / t2 * (new - x)
         x, t = new, t2
@@ -134,7 +141,11 @@ def nnls(rows: np.ndarray, counts: np.ndarray, rounds: int = 300) -> np.ndarray:
 def plan(capacity: int, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(combinations, whole repeats of each) such that no bin is asked for more items than it has."""
     rows = combinations(capacity, width, counts)
-    repeats = np.floor(nnls(rows, counts.astype(float)) + 1e-9).astype(np.int64)
+    times = nnls(rows, counts.astype(float))
+    most = np.sort(np.argsort(-times, kind="stable")[: 2 * len(counts)])  # as few as the bins allow: the fewer, the less is lost by rounding
+    rows = np.concatenate([rows[most], np.delete(rows, most, axis=0)])
+    repeats = np.zeros(len(rows), np.int64)
+    repeats[: len(most)] = np.floor(nnls(rows[: len(most)], counts.astype(float)) + 1e-9)
     left = counts.astype(np.int64).copy()
     left[0] = np.iinfo(np.int64).max
     for i in np.argsort(-repeats, kind="stable"):
@@ -228,29 +239,31 @@ def pack(items: DataFrame, targets: DataFrame, item_key: str = "doc_id", size: s
     whole = every.filter(full > 0).select("_t", "_k", "_u", F.posexplode(F.sequence(F.lit(1).cast("long"), full)).alias("_p", "_i"), "_c")
     whole = whole.select("_t", "_k", F.col("_p").cast("long").alias("piece"), (F.col("_p") * F.col("_c")).alias("start"), F.col("_c").alias("size"), F.format_string("f%d-%d", "_u", "_p").alias("container"))
 
-    salt = F.pmod(F.xxhash64("_k"), F.lit(SALTS)).cast("int")
-    rests = every.filter(rest > 0).select("_t", "_k", "_c", "_w", full.alias("piece"), (full * F.col("_c")).alias("start"), rest.alias("size"), salt.alias("_s"))
+    rests = every.filter(rest > 0).select("_t", "_k", "_u", "_c", "_w", full.alias("piece"), (full * F.col("_c")).alias("start"), rest.alias("size"))
     rests = rests.withColumn("_b", F.ceil(F.col("size") / F.col("_w")).cast("int"))
     # a bin's length is rounded up; one that would be longer than the capacity is left to the greedy part
-    counted = rests.groupBy("_t", "_b", "_s").agg(F.count(F.lit(1)).alias("n")).collect()  # at most kinds x BINS x SALTS rows
-    tables, offsets = {}, []
+    counted = rests.groupBy("_t", "_b").agg(F.count(F.lit(1)).alias("n")).collect()  # at most kinds x BINS rows
+    tables, total = {}, {}
     for t, c in kinds:
         width = max(1, -(-c // BINS))
         n_bins = -(-c // width) + 1
-        per = np.zeros((n_bins, SALTS), np.int64)
+        counts = np.zeros(n_bins, np.int64)
         for r in counted:
             if r["_t"] == t:
-                per[r["_b"], r["_s"]] += r["n"]
-        counts = per.sum(axis=1)
+                counts[r["_b"]] += r["n"]
+        total[t] = int(counts.sum())
         usable = counts.copy()
         usable[c // width + 1 :] = 0
         rows, repeats = plan(c, usable, width)
         tables[t] = slots(rows, repeats, n_bins)
-        before = np.cumsum(per, axis=1) - per
-        offsets += [(t, int(b), int(s), int(before[b, s])) for b, s in zip(*np.nonzero(per))]
     shared = spark.sparkContext.broadcast(tables)
-    offset = spark.createDataFrame(offsets, f"_t {kind_type}, _b int, _s int, _o bigint")
-    number = F.row_number().over(W.partitionBy("_t", "_b", "_s").orderBy("_k", "piece"))
+    # a bin of many items is numbered by several tasks; that and its share of the plan are a row a bin and salt: a row for NUMBERED items at most, and one a bin
+    salts = spark.createDataFrame([(r["_t"], r["_b"], -(-r["n"] // NUMBERED)) for r in counted], f"_t {kind_type}, _b int, _m bigint")
+    rests = rests.join(F.broadcast(salts), ["_t", "_b"]).withColumn("_s", F.pmod(F.xxhash64("_u"), F.col("_m"))).drop("_m")
+    per = rests.filter(F.col("_s") >= 0).groupBy("_t", "_b", "_s").agg(F.count(F.lit(1)).alias("_n"))
+    offset = per.withColumn("_o", F.coalesce(F.sum("_n").over(W.partitionBy("_t", "_b").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    offset = materialised(offset)
+    number = F.row_number().over(W.partitionBy("_t", "_b", "_s").orderBy("_k", "piece", "_u"))
     placed = rests.withColumn("_r", number).join(F.broadcast(offset), ["_t", "_b", "_s"]).withColumn("_x", _placer(shared)("_t", "_b", F.col("_o") + F.col("_r") - 1))
     keep = ["_t", "_k", "piece", "start", "size"]
     planned = placed.filter("_x >= 0").select(*keep, F.concat(F.lit("p"), F.col("_x").cast("string")).alias("container"))
@@ -258,14 +271,13 @@ def pack(items: DataFrame, targets: DataFrame, item_key: str = "doc_id", size: s
     left = placed.filter("_x < 0")
     sizes = {}
     for t, c in kinds:
-        total = sum(r["n"] for r in counted if r["_t"] == t)
         taken = sum(v[3] for v in tables[t].values())
-        sizes[t] = max(1, -(-(total - taken) // GROUP))
+        sizes[t] = max(1, -(-(total[t] - taken) // GROUP))
     group_table = spark.createDataFrame([(t, int(n)) for t, n in sizes.items()], f"_t {kind_type}, _g bigint")
-    left = left.join(F.broadcast(group_table), "_t").withColumn("_g", F.pmod(F.xxhash64("_k", "piece"), F.col("_g")))
+    left = left.join(F.broadcast(group_table), "_t").withColumn("_g", F.pmod(F.xxhash64("_u", "piece"), F.col("_g")))
 
     def greedy(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_k", "piece", "size"])
+        pdf = pdf.sort_values(["_k", "piece", "size", "_u"])
         got = best_fit(pdf["size"].to_numpy(), int(pdf["_c"].iloc[0]))
         return pdf[keep].assign(container=[f"g{key[1]}-{x}" for x in got])
 
