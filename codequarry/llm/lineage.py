@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,10 @@ def materialised(df: DataFrame) -> DataFrame:
 
 
 def forget(spark: SparkSession) -> None:
-    """Let Spark clear away shuffles and checkpoints that nothing refers to any longer: it does so when the driver's objects are collected, here and in the JVM."""
+    """Let Spark clear away shuffles and checkpoints that nothing refers to any longer: it does so when the driver's objects are collected, here and in the JVM.
+
+    The bridge between the two tells the JVM of what is collected here every second or so, hence the wait.
+    """
     gc.collect()
+    time.sleep(2)
     spark.sparkContext._jvm.System.gc()
