@@ -155,7 +155,12 @@ def is_function(kind: Column, lang: Column) -> Column:
 
 def byte_slice(c: Column, start: Column, end: Column) -> Column:
     """Bytes start to end (0-based, exclusive) of the UTF-8 text; null where they are no valid text."""
-    piece = F.substring(F.encode(c, "UTF-8"), start + 1, F.greatest(end - start, F.lit(0)))
+    return text_between(F.encode(c, "UTF-8"), start, end)
+
+
+def text_between(data: Column, start: Column, end: Column) -> Column:
+    """byte_slice() of the text's bytes."""
+    piece = F.substring(data, start + 1, F.greatest(end - start, F.lit(0)))
     return F.when(F.is_valid_utf8(piece.cast("string")), piece.cast("string"))
 
 

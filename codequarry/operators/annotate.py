@@ -52,10 +52,12 @@ def overlap_judge() -> Judge:
 def put_back(predictions: DataFrame, answers: DataFrame, k: int, keys: list[str], question: str = "question", candidates: str = "candidates") -> DataFrame:
     """(keys, question, rank, id, text, score, answer): the candidates of each prediction; the first k have the answer of their pair.
 
+    A pair of these without a row in ``answers`` is an error: the job ends. An answer that is null is kept as null.
+
     The join is by hash of question and text as well as by themselves, so that long texts aren't what is sorted and compared first.
     """
     flat = predictions.select(*keys, F.col(question).alias("question"), F.posexplode(candidates).alias("_p", "_c"))
     flat = flat.select(*keys, "question", (F.col("_p") + 1).cast("long").alias("rank"), F.col("_c.id").alias("id"), F.col("_c.text").alias("text"), F.col("_c.score").alias("score"))
-    a = answers.select(F.xxhash64("question", "text").alias("_h"), F.col("question").alias("_q"), F.col("text").alias("_t"), "answer")
+    a = answers.select(F.xxhash64("question", "text").alias("_h"), F.col("question").alias("_q"), F.col("text").alias("_t"), F.struct("answer").alias("_a"))
     flat = flat.withColumn("_h", F.when(F.col("rank") <= k, F.xxhash64("question", "text")))
-    return flat.join(a, (flat["_h"] == a["_h"]) & flat["question"].eqNullSafe(a["_q"]) & flat["text"].eqNullSafe(a["_t"]), "left").drop("_h", "_q", "_t")
+    return flat.join(a, (flat["_h"] == a["_h"]) & flat["question"].eqNullSafe(a["_q"]) & flat["text"].eqNullSafe(a["_t"]), "left").withColumn("answer", F.when((F.col("rank") <= k) & F.col("_a").isNull(), F.raise_error(F.lit("a pair has no answer")).cast(dict(answers.dtypes)["answer"])).otherwise(F.col("_a.answer"))).drop(a["_h"]).drop("_h", "_q", "_t", "_a")

@@ -18,9 +18,12 @@ BLOCK_BYTES = 64_000_000
 def _block_scores(ids: list, matrix: np.ndarray, scopes: list, k: int) -> Callable:
     """Partial top-k: each batch of documents gives at most k rows a query, so that what is shuffled doesn't grow with queries x documents."""
 
+    keys = np.empty(len(ids), object)
+    keys[:] = ids
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(pdf):
+            if not len(pdf) or not len(keys):
                 continue
             x = np.stack(pdf["_v"].to_numpy()).astype(np.float64)
             sims = matrix @ x.T
@@ -29,12 +32,11 @@ def _block_scores(ids: list, matrix: np.ndarray, scopes: list, k: int) -> Callab
                 own = pdf["_s"].to_numpy()
                 sims[np.array(scopes, object)[:, None] != own[None]] = -np.inf
             p = min(k, len(docs))
-            for i in range(len(ids)):
-                # those as good as the k-th stay too: ties are settled after rounding
-                edge = np.partition(sims[i], len(docs) - p)[len(docs) - p]
-                at = np.flatnonzero((sims[i] >= edge - 1e-6) & (sims[i] > -np.inf))
-                if len(at):
-                    yield pd.DataFrame({"query": ids[i], "doc": docs[at], "score": sims[i][at]})
+            # those as good as the k-th stay too: ties are settled after rounding
+            edge = np.partition(sims, len(docs) - p, axis=1)[:, len(docs) - p]
+            q, at = np.nonzero((sims >= edge[:, None] - 1e-6) & (sims > -np.inf))
+            if len(q):
+                yield pd.DataFrame({"query": keys[q], "doc": docs[at], "score": sims[q, at]})
 
     return run
 

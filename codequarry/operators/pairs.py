@@ -4,24 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import PAIR_LANGUAGES, byte_slice, clean_brief, clean_multi_line_comment, clean_single_line_group, comment_to_query, extension, is_function
-from .spans import at_line_start, group_lines, join_comments, strip_spans
+from ..functions.text import PAIR_LANGUAGES, clean_brief, clean_multi_line_comment, clean_single_line_group, comment_to_query, extension, is_function, text_between
+from .spans import blank_before, group_lines, join_comments, strip_spans
 
 
-def file_spans(files: DataFrame, what: str, file: str = "file_id") -> DataFrame:
-    """One row a snippet or comment of each file, with flat columns; its place in the list is pos."""
+def with_bytes(files: DataFrame, *columns: str) -> DataFrame:
+    """The columns and the content's bytes as _d, encoded once a file: what is cut out of them is cut in the file's row, so that no content is copied to each span."""
+    return files.select(*columns, F.explode(F.array(F.encode("content", "UTF-8"))).alias("_d"))
+
+
+def file_slices(files: DataFrame, file: str = "file_id") -> DataFrame:
+    """(file, pos, id, type, identifier, text) of each snippet; text is null where the bytes are no valid text."""
+    cut = F.transform("snippets", lambda x: F.struct(x["id"].alias("id"), x["type"].alias("type"), x["identifier"].alias("identifier"), text_between(F.col("_d"), x["start_byte"], x["end_byte"]).alias("text")))
+    return with_bytes(files, file, "snippets").select(file, F.posexplode(cut).alias("pos", "_x")).select(file, "pos", "_x.*")
+
+
+def file_spans(files: DataFrame, what: str, file: str = "file_id", *more: str) -> DataFrame:
+    """One row a snippet or comment of each file, with flat columns, and more fields if there are; its place in the list is pos."""
     flat = files.select(file, F.posexplode(what).alias("pos", "_x"))
     extra = ["scope", "type", "identifier"] if what == "snippets" else ["is_multi_line"]
     point = [F.col(f"_x.{p}_point")[i].alias(f"{p}_{n}") for p in ("start", "end") for i, n in enumerate(("row", "col"))]
-    return flat.select(file, "pos", "_x.id", "_x.start_byte", "_x.end_byte", *point, *(f"_x.{x}" for x in extra))
+    return flat.select(file, "pos", "_x.id", "_x.start_byte", "_x.end_byte", *point, *(f"_x.{x}" for x in (*extra, *more)))
 
 
 def comment_groups(files: DataFrame, file: str = "file_id", strict: bool = True) -> DataFrame:
     """Block comments as they are, and runs of comment lines as one: (file, id, start_byte, end_byte, start_row, end_row, many)."""
-    c = file_spans(files, "comments", file)
+    begins = F.transform("comments", lambda x: x.withField("line_start", blank_before(F.col("_d"), x["start_byte"], x["start_point"][1], strict)))
+    c = file_spans(with_bytes(files, file, "comments").select(file, begins.alias("comments")), "comments", file, "line_start")
     blocks = c.filter("is_multi_line").select(file, "id", "start_byte", "end_byte", "start_row", "end_row", F.lit(True).alias("many"))
-    lines = c.filter("NOT is_multi_line").join(files.select(file, "content"), file)
-    lines = lines.withColumn("line_start", at_line_start(F.col("content"), F.col("start_byte"), F.col("start_col"), strict)).drop("content")
+    lines = c.filter("NOT is_multi_line")
     return blocks.unionByName(group_lines(lines, file).select(file, "id", "start_byte", "end_byte", "start_row", "end_row", F.lit(False).alias("many")))
 
 
@@ -37,19 +48,24 @@ def mine_pairs(files: DataFrame, file: str = "file_id", strict: bool = True) ->
     hits = join_comments(comments, functions, file)
     f = functions.select(file, F.col("id").alias("function_id"), F.col("start_byte").alias("fa"), F.col("end_byte").alias("fb"), "scope", "identifier", "type")
     c = comments.select(file, F.col("id").alias("comment_id"), F.col("start_byte").alias("ca"), F.col("end_byte").alias("cb"), "many")
-    full = hits.join(f, [file, "function_id"]).join(c, [file, "comment_id"]).join(ready.select(file, "repo_name", "path", F.col("language").alias("lang"), "content", "comments"), file)
-    full = full.select("*", F.explode(F.array(byte_slice(F.col("content"), F.col("ca"), F.col("cb")))).alias("_raw"))
+    full = hits.join(f, [file, "function_id"]).join(c, [file, "comment_id"])
+    of_file = full.groupBy(file).agg(F.collect_list(F.struct(*(x for x in full.columns if x != file))).alias("_p"))
+    texts = with_bytes(ready.withColumnRenamed("language", "lang"), file, "repo_name", "path", "lang", "comments")
+
+    def cut(p):
+        inside = F.transform(F.filter("comments", lambda x: (x["start_byte"] >= p["fa"]) & (x["end_byte"] <= p["fb"])), lambda x: F.struct((x["start_byte"] - p["fa"]).alias("start_byte"), (x["end_byte"] - p["fa"]).alias("end_byte")))
+        body = text_between(F.col("_d"), p["fa"], p["fb"])
+        return F.struct(*(p[x].alias(x) for x in ("comment_id", "function_id", "many", "scope", "identifier", "type")), text_between(F.col("_d"), p["ca"], p["cb"]).alias("_raw"), strip_spans(body, inside).alias("snippet"))
+
+    full = of_file.join(texts, file).select(file, "repo_name", "path", "lang", F.explode(F.transform("_p", cut)).alias("_x")).select(file, "repo_name", "path", "lang", "_x.*")
     raw = F.col("_raw")
-    body = F.col("fb") - F.col("fa")
-    inside = F.transform(F.filter("comments", lambda x: (x["start_byte"] >= F.col("fa")) & (x["end_byte"] <= F.col("fb"))), lambda x: F.struct((x["start_byte"] - F.col("fa")).alias("start_byte"), (x["end_byte"] - F.col("fa")).alias("end_byte")))
-    snippet = strip_spans(byte_slice(F.col("content"), F.col("fa"), F.col("fa") + body), inside)
     lang = F.col("lang")
     cleaned = clean_brief(F.when(F.col("many"), clean_multi_line_comment(raw, lang)).otherwise(clean_single_line_group(raw, lang)))
     # exploded, not projected: what is filtered below would be pushed into the projections and evaluated again at each mention
     out = full.select("*", F.explode(F.array(cleaned)).alias("comment"))
     out = out.select("*", F.explode(F.array(comment_to_query(F.col("comment"), lang, F.col("identifier")))).alias("query"))
     return out.filter(F.col("query").isNull() & F.col("comment").isNotNull() | (F.col("query") != "")).select(
-        file, "repo_name", "lang", "path", "comment", "query", snippet.alias("snippet"), "scope", "identifier", "type", "comment_id", F.col("function_id").alias("snippet_id")
+        file, "repo_name", "lang", "path", "comment", "query", "snippet", "scope", "identifier", "type", "comment_id", F.col("function_id").alias("snippet_id")
     )
 
 

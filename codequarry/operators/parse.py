@@ -12,6 +12,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -39,8 +40,8 @@ _ARGS = r"\([^(){}]*(?:\([^()]*\)[^(){}]*)*\)"
 _NO = r"(?!(?:if|for|while|switch|catch|return|else|do|new|throw|sizeof|match)\b)"
 #: By language: (kind, pattern, how it ends). The pattern ends where the body begins: brace, indent or end.
 DECLARATIONS = {
-    "C": [("struct_specifier", rf"\bstruct[ \t]+{_N}\s*\{{", "brace"), ("function_definition", rf"^(?:[\w*]+[ \t*\n]+)+?{_NO}\**{_N}\s*{_ARGS}\s*\{{", "brace")],
-    "C++": [("class_specifier", rf"\bclass[ \t]+{_N}[^;{{}}()]*\{{", "brace"), ("function_definition", rf"^[ \t]*(?:[\w:<>,*&~]+[ \t*&\n]+)+?{_NO}(?:\w+::)?{_N}\s*{_ARGS}[^;{{}}()]*\{{", "brace"), ("namespace_definition", rf"\bnamespace[ \t]*{_N}?\s*\{{", "brace")],
+    "C": [("struct_specifier", rf"\bstruct[ \t]+{_N}\s*\{{", "brace"), ("function_definition", rf"^(?:\w++[ \t*\n]++)+?{_NO}{_N}\s*+{_ARGS}\s*+\{{", "brace")],
+    "C++": [("class_specifier", rf"\bclass[ \t]+{_N}[^;{{}}()]*\{{", "brace"), ("function_definition", rf"^[ \t]*+(?:[\w:<>,~]++[ \t*&\n]++)+?{_NO}(?:\w+::)?{_N}\s*+{_ARGS}[^;{{}}()]*+\{{", "brace"), ("namespace_definition", rf"\bnamespace[ \t]*{_N}?\s*\{{", "brace")],
     "C#": [("class_declaration", rf"\bclass[ \t]+{_N}[^;{{}}]*\{{", "brace"), ("namespace_declaration", rf"\bnamespace[ \t]+(?P<name>[\w.]+)\s*\{{", "brace"), ("method_declaration", rf"^[ \t]*(?:(?:public|private|protected|internal|static|virtual|override|async|sealed|abstract)\s+)*[\w<>\[\],.?]+\s+{_NO}{_N}\s*(?:<[^<>]*>)?\s*{_ARGS}\s*\{{", "brace")],
     "CSS": [("rule_set", r"(?P<name>[^{};@]+)\{", "brace")],
     "Go": [("function_declaration", rf"^func[ \t]+{_N}\s*(?:\[[^\]]*\])?{_ARGS}[^\n{{]*\{{", "brace"), ("type_declaration", rf"^type[ \t]+{_N}[^\n{{]*\{{", "brace")],
@@ -104,18 +105,25 @@ def parse(text: str, language: str) -> tuple[list[dict], list[dict]]:
     """(snippets, comments) of a file, by place. A block literal counts as a comment in Python where it is a statement of its own, and in Julia everywhere."""
     style = BY_NAME[language].comments
     breaks = [m.end() for m in re.finditer("\n", text)]
-    ascii_only = text.isascii()
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    bytes_before = None if text.isascii() else np.concatenate([[0], np.cumsum(1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000))])
+    whole = hashlib.sha256(text.encode("utf-8", "replace")).hexdigest()
 
     def byte(i: int) -> int:
-        return i if ascii_only else len(text[:i].encode())
+        return i if bytes_before is None else int(bytes_before[i])
 
     def point(i: int) -> list[int]:
         row = bisect_right(breaks, i)
-        line = breaks[row - 1] if row else 0
-        return [row, len(text[line:i].encode())]
+        return [row, byte(i) - byte(breaks[row - 1] if row else 0)]
+
+    def last_before(i: int) -> str:
+        """The last character before i that isn't blank."""
+        while i and text[i - 1].isspace():
+            i -= 1
+        return text[i - 1] if i else ""
 
     def span(kind: str, a: int, b: int) -> dict:
-        key = hashlib.sha256(f"{kind}\0{a}\0{b}\0{text}".encode("utf-8", "replace")).hexdigest()
+        key = hashlib.sha256(f"{kind}\0{a}\0{b}\0{whole}".encode()).hexdigest()
         return {"id": key[:32], "start_byte": byte(a), "end_byte": byte(b), "start_point": point(a), "end_point": point(b)}
 
     comments, blank, at = [], [], 0
@@ -124,8 +132,7 @@ def parse(text: str, language: str) -> tuple[list[dict], list[dict]]:
         if style == "py" and kind == "many":
             before = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
             after = text[m.end() : (text.find("\n", m.end()) + 1 or len(text) + 1) - 1]
-            above = text[: m.start()].rstrip()
-            kind = "many" if not before.strip() and not after.split("#")[0].strip() and above[-1:] not in ("(", ",", "[", "{", "=", "+", "\\") else None
+            kind = "many" if not before.strip() and not after.split("#")[0].strip() and last_before(m.start()) not in ("(", ",", "[", "{", "=", "+", "\\") else None
         if kind:
             many = kind == "many"
             comments.append(span("comment", m.start(), m.end()) | {"is_multi_line": many})
@@ -178,7 +185,7 @@ def parse_files(files: DataFrame, seconds: float = 20.0) -> DataFrame:
                 try:
                     if timed:
                         signal.setitimer(signal.ITIMER_REAL, seconds)
-                    rows.append((*parse(t or "", lang), None))
+                    rows.append((*parse(t, lang), None) if t is not None else ([], [], None))
                 except Exception as e:  # noqa: BLE001 - any failure becomes the file's status
                     rows.append(([], [], type(e).__name__))
                 finally:
@@ -186,11 +193,6 @@ def parse_files(files: DataFrame, seconds: float = 20.0) -> DataFrame:
                         signal.setitimer(signal.ITIMER_REAL, 0)
             yield pd.DataFrame(rows, columns=["snippets", "comments", "failed"])
 
-    ready, rest = gated.filter(F.col("status").isNull()), gated.filter(F.col("status").isNotNull())
-    parsed = ready.withColumn("_p", run("content", "language")).withColumn("status", F.coalesce("_p.failed", F.lit("success")))
-    kinds = parsed.select("_p.snippets", "_p.comments").dtypes
-    parsed = parsed.withColumn("snippets", F.col("_p.snippets")).withColumn("comments", F.col("_p.comments")).drop("_p")
-    empty = rest
-    for name, kind in kinds:
-        empty = empty.withColumn(name, F.array().cast(kind))
-    return parsed.unionByName(empty)
+    # one pass: files that the gate holds back go to the parser as null
+    read = gated.select("*", F.explode(F.array(run(F.when(F.col("status").isNull(), F.coalesce("content", F.lit(""))), "language"))).alias("_p"))
+    return read.withColumn("status", F.coalesce("status", "_p.failed", F.lit("success"))).withColumn("snippets", F.col("_p.snippets")).withColumn("comments", F.col("_p.comments")).drop("_p")

@@ -9,14 +9,15 @@ def order_key(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
 
 
-def batches(df: DataFrame, key: str, size: int, seed: int = 0, drop_last: bool = False, salts: int = 64) -> DataFrame:
+def batches(df: DataFrame, key: str, size: int, seed: int = 0, drop_last: bool = False, rows: int = 500_000) -> DataFrame:
     """The rows with batch_id and place: all rows in the order of their hash, cut into batches of ``size``.
 
-    The hash's first characters range-split the rows, so that rows are numbered in parallel: a row's number is its rank in its split behind the
+    The hash's first characters range-split the rows, ``rows`` to a split, so that they are numbered in parallel: a row's number is its rank in its split behind the
     sizes of the splits before (of which only the counts are gathered). drop_last: leave the last batch out if it isn't full.
     """
     keyed = df.withColumn("_h", order_key(seed, key))
-    keyed = keyed.withColumn("_s", (F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") * salts / 65536).cast("int"))
+    salts = max(1, -(-df.count() // rows))
+    keyed = keyed.withColumn("_s", (F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * salts / (1 << 32)).cast("int"))
     sizes = keyed.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(W.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_n").over(W.orderBy(F.lit(0)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))  # one row a split
     numbered = keyed.withColumn("_r", F.row_number().over(W.partitionBy("_s").orderBy("_h", key))).join(F.broadcast(before.drop("_n")), "_s")
@@ -52,8 +53,29 @@ def sample_with_replacement(queries: DataFrame, n_docs: int, query: str, m: int,
     return draws.withColumn("place", F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % n_docs)
 
 
+def numbered(df: DataFrame, key: str, by: list[str] | None = None, rows: int = 500_000) -> DataFrame:
+    """The rows with _r, their number from 1 on in the order of the numeric key, within each group of ``by`` if it's given; null keys come first.
+
+    The keys' range is cut into equal splits, so many that ``rows`` of a group would be in each if keys are spread evenly; each split is numbered by itself, behind the
+    counts of the splits before. Of these only the counts are gathered, a row a group and split.
+    """
+    by = by or []
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("a"), F.max(key).alias("b")).first()
+    splits = max(1, -(-size.n // rows))
+    a, b = (size.a or 0), (size.b or 0)
+    width = (b - a + 1) / splits
+    cut = df.withColumn("_split", F.coalesce(F.floor((F.col(key) - F.lit(a)) / F.lit(width)), F.lit(-1)).cast("long"))
+    before = W.partitionBy(*by).orderBy("_split").rowsBetween(W.unboundedPreceding, -1)
+    counts = cut.groupBy(*by, "_split").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    first = counts.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_split").alias("_same"), "_before")
+    same = F.col("_split") == F.col("_same")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    out = cut.withColumn("_i", F.row_number().over(W.partitionBy(*by, "_split").orderBy(key))).join(first, same)
+    return out.withColumn("_r", F.col("_before") + F.col("_i")).drop("_split", "_same", "_before", "_i", *(f"_by_{c}" for c in by))
+
+
 def equalise(df: DataFrame, shard: str, key: str) -> DataFrame:
-    """The rows of each shard up to the size of the smallest, in the order of the key."""
+    """The rows of each shard up to the size of the smallest, in the order of the numeric key. A shard of any size is numbered in splits."""
     least = df.groupBy(shard).agg(F.count(F.lit(1)).alias("_n")).agg(F.min("_n").alias("_m"))
-    numbered = df.withColumn("_r", F.row_number().over(W.partitionBy(shard).orderBy(key)))
-    return numbered.crossJoin(F.broadcast(least)).filter(F.col("_r") <= F.col("_m")).drop("_r", "_m")
+    return numbered(df, key, [shard]).crossJoin(F.broadcast(least)).filter(F.col("_r") <= F.col("_m")).drop("_r", "_m")

@@ -27,7 +27,12 @@ def removed_before(position: Column, spans: Column) -> Column:
 
 def at_line_start(content: Column, start_byte: Column, column: Column, strict: bool = True) -> Column:
     """Does only white space stand before a span on its line? strict: not at column 0, where there is nothing before it."""
-    before = F.substring(F.encode(content, "UTF-8"), start_byte - column + 1, column).cast("string")
+    return blank_before(F.encode(content, "UTF-8"), start_byte, column, strict)
+
+
+def blank_before(data: Column, start_byte: Column, column: Column, strict: bool = True) -> Column:
+    """at_line_start() on the text's bytes."""
+    before = F.substring(data, start_byte - column + 1, column).cast("string")
     blank = F.regexp_like(before, F.lit(r"^\s+$")) if strict else F.regexp_like(before, F.lit(r"^\s*$"))
     return F.coalesce(blank, F.lit(False))
 

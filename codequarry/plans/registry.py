@@ -26,19 +26,24 @@ class Run:
 
 
 INSTRUCTION = "Instruct: Given a query, retrieve a relevant code snippet.\nQuery: "
-_LAST_TOKEN = {"kind": "dense", "options": {"pool": "last-token", "eos": 151643}}
-_INSTRUCTED = {**_LAST_TOKEN, "query_prefix": INSTRUCTION}
-# The retrievers of the benchmark runs and what sets each apart. Models of one family and several sizes are named by a rule.
+# The public retrievers of the benchmark runs, by label: model, back end, end-of-text token, prefixes.
+_PUBLIC = {
+    "qwen--qwen3-emb-06b": ("Qwen/Qwen3-Embedding-0.6B", "last-token", 151643, INSTRUCTION, ""),
+    "qwen--qwen3-emb-4b": ("Qwen/Qwen3-Embedding-4B", "last-token", 151643, INSTRUCTION, ""),
+    "qwen--qwen3-emb-8b": ("Qwen/Qwen3-Embedding-8B", "last-token", 151643, INSTRUCTION, ""),
+    "codesage--codesage-large-v2": ("codesage/codesage-large-v2", "codesage", None, "", ""),
+    "jinaai--jina-embeddings-v2-base-code": ("jinaai/jina-embeddings-v2-base-code", "jina-v2", None, "", ""),
+    "infly--inf-retriever-v1-1.5b": ("infly/inf-retriever-v1-1.5b", "last-token", 151643, INSTRUCTION, ""),
+    "infly--inf-retriever-v1": ("infly/inf-retriever-v1", "last-token", 151643, INSTRUCTION, ""),
+    "jinaai--jina-embeddings-v4-vllm-code": ("jinaai/jina-embeddings-v4-vllm-code", "jina-v4", None, "Query: ", "Passage: "),
+    "nomic-ai--CodeRankEmbed": ("nomic-ai/CodeRankEmbed", "coderank", None, "Represent this query for searching relevant code: ", ""),
+}
+# The project's own models, of four sizes, before and after tuning, go by neutral names.
+_OWN = {f"last-token-{size}{stage}": (f"last-token-{size}{stage}", "last-token", 151643, "", "") for size in ("0.5b", "1.5b", "3b", "7b") for stage in ("", "-pt")}
 RETRIEVERS = {
     "tf-idf--default-analyzer": {"options": {"analyzer": "v1"}},
     "tf-idf--custom-analyzer": {"options": {"analyzer": "v2"}},
-    **{f"instructed-{size}": _INSTRUCTED for size in ("0.6b", "4b", "8b")},
-    **{f"instructed-search-{size}": _INSTRUCTED for size in ("1.5b", "base")},
-    **{f"last-token-{size}{tuned}": _LAST_TOKEN for size in ("0.5b", "1.5b", "3b", "7b") for tuned in ("", "-pt")},
-    "encoder-large": {"kind": "dense"},
-    "encoder-base": {"kind": "dense"},
-    "mean-pool-code": {"kind": "dense", "query_prefix": "Query: ", "passage_prefix": "Passage: "},
-    "rank-embed": {"kind": "dense", "query_prefix": "Represent this query for searching relevant code: "},
+    **{k: {"kind": "dense", "query_prefix": q, "passage_prefix": p, "options": {"embedder": model, "backend": backend, "eos": eos}} for k, (model, backend, eos, q, p) in (_PUBLIC | _OWN).items()},
     "hashed-words": {"kind": "dense", "options": {"embedder": "hashed"}},
 }
 BENCHES = ("cosqa", "cosqa-plus", "repoqa", "csn-adv", "csn-orig", "csn-query")

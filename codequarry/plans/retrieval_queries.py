@@ -225,7 +225,7 @@ ORACLES = {
     "tfidf_topk_v1": _sql_top("v1", False),
     "tfidf_topk_v2": _sql_top("v2", False),
     "tfidf_topk_by_lang": _sql_top("v1", True),
-    "tfidf_topk_padded": f"SELECT query_id AS query, r AS rank, coalesce(t.doc, (SELECT max(url) FROM {_CORPUS})) AS doc, coalesce(t.score, -100.0) AS score FROM (SELECT query_id, unnest(range(100, 1001, 100)) AS r FROM {_ASKED}) q LEFT JOIN ({_sql_top('v2', False, 1000)}) t ON t.query = q.query_id AND t.rank = q.r",
+    "tfidf_topk_padded": f"SELECT query_id AS query, r AS rank, coalesce(t.doc, (SELECT max(url) FROM {_CORPUS})) AS doc, coalesce(t.score, -100.0) AS score FROM (SELECT query_id, unnest(range(1, 1001)) AS r FROM {_ASKED}) q LEFT JOIN ({_sql_top('v2', False, 1000)}) t ON t.query = q.query_id AND t.rank = q.r",
     "analyzer_v1_counts": f"SELECT k AS doc, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_grams FROM ({_sql_counts('v1', _CORPUS, 'url', 'function')}) GROUP BY k",
     "analyzer_v2_counts": f"SELECT k AS doc, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_grams FROM ({_sql_counts('v2', _CORPUS, 'url', 'function')}) GROUP BY k",
     "idf_table": f"WITH c AS (SELECT * FROM {_CORPUS} WHERE lang IS NOT NULL), d AS ({_sql_counts('v1', 'c', 'url', 'function')}) SELECT d.lang, term, count(*) AS df, round(ln((1.0 + any_value(n.n)) / (1.0 + count(*))) + 1.0, 6) AS idf FROM d JOIN (SELECT lang, count(*) AS n FROM c GROUP BY lang) n ON d.lang = n.lang GROUP BY d.lang, term",
@@ -241,8 +241,8 @@ ORACLES = {
     "judge_label": f"SELECT prediction_id, rank, CAST(j AS BIGINT) AS label FROM ({_LABELLED})",
     "distinct_pairs": "SELECT md5(question) AS question, md5(text) AS text FROM (SELECT DISTINCT question, c.text AS text FROM (SELECT question, unnest(list_slice(candidates, 1, 10)) AS c FROM predictions))",
     "annotate_back": """WITH f AS (SELECT prediction_id, question, i AS rank, candidates[i].id AS id, candidates[i].text AS text FROM (SELECT *, unnest(range(1, len(candidates) + 1)) AS i FROM predictions))
-SELECT prediction_id, rank, id, CASE WHEN rank <= 5 THEN CASE WHEN 3 * len(list_filter(list_distinct(w), lambda x: contains(lower(coalesce(text, '')), x))) >= len(list_distinct(w)) THEN 'yes' ELSE 'no' END END AS answer FROM (SELECT *, list_filter(string_split_regex(lower(coalesce(question, '')), '\\s+'), lambda x: x <> '') AS w FROM f)""",
-    "prompt_assembly": """SELECT md5('Query: ' || array_to_string(list_slice(list_filter(string_split_regex(question, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> ''), 1, 4), ' ') || chr(10) || 'Code: ' || array_to_string(list_slice(list_filter(string_split_regex(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> ''), 1, 12), ' ') || chr(10) || 'Answer yes or no.') AS prompt FROM (SELECT DISTINCT question, c.text AS text FROM (SELECT question, unnest(list_slice(candidates, 1, 3)) AS c FROM predictions))""",
+SELECT prediction_id, rank, id, CASE WHEN rank <= 10 THEN CASE WHEN 3 * len(list_filter(list_distinct(w), lambda x: contains(lower(coalesce(text, '')), x))) >= len(list_distinct(w)) THEN 'yes' ELSE 'no' END END AS answer FROM (SELECT *, list_filter(string_split_regex(lower(coalesce(question, '')), '\\s+'), lambda x: x <> '') AS w FROM f)""",
+    "prompt_assembly": """SELECT md5('Query: ' || array_to_string(list_slice(list_filter(string_split_regex(question, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> ''), 1, 64), ' ') || chr(10) || 'Code: ' || array_to_string(list_slice(list_filter(string_split_regex(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> ''), 1, 2048), ' ') || chr(10) || 'Answer yes or no.') AS prompt FROM (SELECT DISTINCT question, c.text AS text FROM (SELECT question, unnest(list_slice(candidates, 1, 10)) AS c FROM predictions))""",
     "audit_missing": "SELECT v.version, b.bench FROM (SELECT DISTINCT version FROM predictions) v CROSS JOIN (SELECT DISTINCT bench FROM predictions) b WHERE NOT EXISTS (SELECT 1 FROM predictions p WHERE p.version = v.version AND p.bench = b.bench)",
     "bijection_check": "SELECT count(*) = count(DISTINCT url) AND count(*) = count(DISTINCT vec_id) AS is_bijection FROM (SELECT DISTINCT url, vec_id FROM corpus)",
     "subset_check": "WITH a AS (SELECT DISTINCT unnest(urls) AS url FROM annotation) SELECT (SELECT count(*) FROM a WHERE url NOT IN (SELECT url FROM corpus)) = 0 AS is_subset, (SELECT count(*) FROM a WHERE url NOT IN (SELECT url FROM corpus)) = 0 AND (SELECT count(*) FROM a) < (SELECT count(DISTINCT url) FROM corpus) AS is_proper",

@@ -85,8 +85,7 @@ def strip_spans(spark: SparkSession, d: str) -> DataFrame:
 
 def byte_slice(spark: SparkSession, d: str) -> DataFrame:
     t = _table(spark, d, "parse_source_code").filter("content IS NOT NULL")
-    s = pairs.file_spans(t, "snippets").join(t.select("file_id", "content"), "file_id")
-    return s.select("file_id", F.col("pos").cast("long").alias("pos"), T.byte_slice(F.col("content"), F.col("start_byte"), F.col("end_byte")).alias("snippet"))
+    return pairs.file_slices(t).select("file_id", F.col("pos").cast("long").alias("pos"), F.col("text").alias("snippet"))
 
 
 def span_theta_join(spark: SparkSession, d: str) -> DataFrame:
@@ -107,8 +106,9 @@ def mined_snippets(spark: SparkSession, d: str) -> DataFrame:
 def unique_name_resolution(spark: SparkSession, d: str) -> DataFrame:
     t = _table(spark, d, "parse_source_code")
     p = pairs.accepted(pairs.mine_pairs(t, strict=False))
-    f = pairs.file_spans(t, "snippets").filter("type = 'function_definition'").join(t.select("file_id", "repo_name", "path", "content"), "file_id").filter(T.extension(F.col("path")).isin(".c", ".cpp"))
-    bodies = f.select("repo_name", F.col("identifier").alias("name"), F.struct("file_id", "pos").alias("place"), T.byte_slice(F.col("content"), F.col("start_byte"), F.col("end_byte")).alias("snippet"), F.col("id").alias("snippet_id"))
+    sources = t.filter(T.extension(F.col("path")).isin(".c", ".cpp"))
+    f = pairs.file_slices(sources).filter("type = 'function_definition'").join(t.select("file_id", "repo_name"), "file_id")
+    bodies = f.select("repo_name", F.col("identifier").alias("name"), F.struct("file_id", "pos").alias("place"), F.col("text").alias("snippet"), F.col("id").alias("snippet_id"))
     return pairs.resolve_headers(p, bodies).select("file_id", "comment_id", "snippet_id", "identifier")
 
 

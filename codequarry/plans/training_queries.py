@@ -71,7 +71,8 @@ def csn_candidates_wr(spark: SparkSession, d: str) -> DataFrame:
     asked = e.filter("vec_id % 100 = 0")
     drawn = sampling.sample_with_replacement(asked, n, "vec_id", 999)
     gold = asked.select(F.col("vec_id").alias("query"), F.lit(0).cast("long").alias("draw"), F.col("vec_id").alias("place"))
-    ids = e.select(F.col("vec_id").alias("place"), F.col("vec_id").alias("doc"), F.col("embedding").alias("dv"))
+    ids = sampling.numbered(e, "vec_id").select((F.col("_r") - 1).alias("place"), F.col("vec_id").alias("doc"), F.col("embedding").alias("dv"))
+    gold = gold.join(ids.select(F.col("place").alias("_p"), F.col("doc").alias("place")), "place").select("query", "draw", F.col("_p").alias("place"))  # a draw is a place, whatever the ids are
     scored = gold.unionByName(drawn).join(ids, "place").join(e.select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv")), "query")
     s = F.when((F.col("query") == F.col("doc")) & (F.col("draw") > 0), -100.0).otherwise(A.dot(F.col("qv"), F.col("dv")))
     return scored.select("query", "draw", "doc", F.round(s, 6).alias("score"))
@@ -178,8 +179,8 @@ ORACLES = {
     "choose_positive": f"SELECT query_id, {_CHOOSE.format('urls', 'query_id', 1)}[1] AS url FROM (SELECT DISTINCT query_id, urls FROM annotation WHERE len(urls) > 0)",
     "sample_candidates": f"SELECT prediction_id, array_to_string({_CHOOSE.format('ids', 'prediction_id', 4)}, ' ') AS chosen FROM (SELECT prediction_id, list_transform(candidates, lambda x: x.id) AS ids FROM predictions WHERE len(candidates) > 0)",
     "equalise_shards": "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= (SELECT min(n) FROM (SELECT count(*) AS n FROM documents GROUP BY source))",
-    "csn_candidates_wor": "SELECT query, doc FROM (SELECT q.vec_id AS query, e.vec_id AS doc, row_number() OVER (PARTITION BY q.vec_id ORDER BY md5('228:' || q.vec_id || ':' || e.vec_id), e.vec_id) AS r FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 100 = 0) WHERE r <= 99 UNION SELECT vec_id, vec_id FROM embeddings WHERE vec_id % 100 = 0",
-    "csn_candidates_wr": "WITH n AS (SELECT count(*) AS n FROM embeddings), t AS (SELECT vec_id AS query, d AS draw, CAST('0x' || substr(md5('228:' || vec_id || ':' || d), 1, 8) AS BIGINT) % n.n AS place FROM (SELECT vec_id, unnest(range(1, 100)) AS d FROM embeddings WHERE vec_id % 100 = 0), n) SELECT query, draw, e.vec_id AS doc, CASE WHEN query = e.vec_id THEN -100.0 ELSE round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) END AS score FROM t JOIN embeddings e ON e.vec_id = t.place JOIN embeddings q ON q.vec_id = t.query",
+    "csn_candidates_wor": "SELECT query, doc FROM (SELECT q.vec_id AS query, e.vec_id AS doc, row_number() OVER (PARTITION BY q.vec_id ORDER BY md5('228:' || q.vec_id || ':' || e.vec_id), e.vec_id) AS r FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 100 = 0) WHERE r <= 999 UNION SELECT vec_id, vec_id FROM embeddings WHERE vec_id % 100 = 0",
+    "csn_candidates_wr": "WITH n AS (SELECT count(*) AS n FROM embeddings), t AS (SELECT vec_id AS query, d AS draw, CAST('0x' || substr(md5('228:' || vec_id || ':' || d), 1, 8) AS BIGINT) % n.n AS place FROM (SELECT vec_id, unnest(range(1, 1000)) AS d FROM embeddings WHERE vec_id % 100 = 0), n UNION ALL SELECT vec_id, 0, vec_id FROM embeddings WHERE vec_id % 100 = 0) SELECT query, draw, e.vec_id AS doc, CASE WHEN query = e.vec_id AND draw > 0 THEN -100.0 ELSE round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) END AS score FROM t JOIN embeddings e ON e.vec_id = t.place JOIN embeddings q ON q.vec_id = t.query",
     "loss_infonce": f"WITH {_PAIRS} SELECT batch, round(loss, 6) AS loss FROM ({_mean([_QP])})",
     "loss_clip": _both([_QP], [_PQ], 2),
     "loss_clip_hn": _both([_QP, _QN], [_PQ], 1),

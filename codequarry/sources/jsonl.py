@@ -27,15 +27,25 @@ def expand(spark: SparkSession, masks: str) -> list[str]:
 
 
 def read_jsonl(spark: SparkSession, masks: str, schema: str, keep_corrupt: bool = False) -> DataFrame:
-    """The rows of all files that the masks match. Lines that are no JSON are dropped, or with keep_corrupt, kept in _corrupt_record."""
+    """The rows of all files that the masks match. A line that is no JSON of the schema ends the job with an error; with keep_corrupt, it's kept in _corrupt_record."""
     if not keep_corrupt:
-        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(expand(spark, masks))
-    return spark.read.schema(schema + ", _corrupt_record STRING").option("columnNameOfCorruptRecord", "_corrupt_record").json(expand(spark, masks))
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(expand(spark, masks))
+    return spark.read.schema(schema + ", _corrupt_record STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(expand(spark, masks))
+
+
+def corrupt_lines(spark: SparkSession, masks: str, schema: str) -> DataFrame:
+    """(path, line) of each line that is no JSON of the schema."""
+    lines = spark.read.text(expand(spark, masks)).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+    read = F.from_json("line", schema + ", _corrupt_record STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.filter((F.trim("line") != "") & read["_corrupt_record"].isNotNull())
 
 
 def read_repos(spark: SparkSession, masks: str, parsed: bool = False) -> DataFrame:
-    """One row a file: (repo_name, file_pos, the file's fields, file_id), the id a hash of repository, path and place."""
-    repos = read_jsonl(spark, masks, PARSED_REPO if parsed else REPO)
+    """One row a file: (repo_name, file_pos, the file's fields, file_id), the id a hash of repository, path and place.
+
+    A line that is no JSON gives no file; how many there are is told to listeners as the observed metric ``corrupt_lines``, and corrupt_lines() gives them.
+    """
+    repos = read_jsonl(spark, masks, PARSED_REPO if parsed else REPO, keep_corrupt=True).observe("read_repos", F.count("_corrupt_record").alias("corrupt_lines"))
     flat = repos.select("repo_name", F.posexplode("files").alias("file_pos", "_f")).select("repo_name", "file_pos", "_f.*")
     return flat.withColumn("file_id", F.sha2(F.concat_ws("\0", "repo_name", "path", F.col("file_pos").cast("string")), 256))
 
@@ -53,14 +63,23 @@ def write_jsonl(df: DataFrame, path: str, limit: int | None = None) -> None:
 
 
 def replace_jsonl(spark: SparkSession, path: str, change, schema: str) -> None:
-    """Read a folder of JSON lines, change its rows, and put the result in its place: written beside it first, then swapped."""
-    beside = path.rstrip("/") + ".new"
+    """Read a folder of JSON lines, change its rows, and put the result in its place: written beside it first, then swapped.
+
+    The old folder is moved aside and deleted only once the new one stands in its place; what goes wrong before leaves it, or puts it back.
+    """
+    beside, aside = path.rstrip("/") + ".new", path.rstrip("/") + ".old"
     change(read_jsonl(spark, path, schema)).write.mode("overwrite").json(beside)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(beside)
+    old, new, away = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, beside, aside))
     fs = old.getFileSystem(conf)
-    fs.delete(old, True)
-    fs.rename(new, old)
+    if fs.exists(away):
+        raise FileExistsError(aside)
+    if not fs.rename(old, away):
+        raise OSError(f"{path} can't be moved to {aside}")
+    if not fs.rename(new, old):
+        fs.rename(away, old)
+        raise OSError(f"{beside} can't be moved to {path}")
+    fs.delete(away, True)
 
 
 def write_predictions(top, queries, path: str) -> None:

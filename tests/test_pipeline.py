@@ -119,3 +119,29 @@ def test_stream(spark, tmp_path):
     stream_batches(rows, "k", 4, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "o"))
     assert sorted(r.k for r in got.collect()) == list(range(30)) and got.filter(F.col("place") >= 4).count() == 0
+
+
+def test_corrupt_lines(spark, tmp_path):
+    """Lines that are no JSON are never lost in silence."""
+    src = _repos(tmp_path, _file("a.py", "Python", PY))
+    assert [r.line for r in jsonl.corrupt_lines(spark, src, jsonl.REPO).collect()] == ["not json"]
+    with pytest.raises(Exception):
+        jsonl.read_jsonl(spark, src, jsonl.REPO).collect()
+
+
+def test_replace(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.json").write_text('{"x": 1}\n{"x": 2}\n')
+    with pytest.raises(Exception):
+        jsonl.replace_jsonl(spark, str(tmp_path / "d"), lambda df: df.withColumn("x", F.raise_error(F.lit("no"))), "x INT")
+    assert spark.read.json(str(tmp_path / "d")).count() == 2
+    jsonl.replace_jsonl(spark, str(tmp_path / "d"), lambda df: df.filter("x > 1"), "x INT")
+    assert [r.x for r in spark.read.json(str(tmp_path / "d")).collect()] == [2] and not (tmp_path / "d.old").exists()
+
+
+def test_answers_missing(spark):
+    p = spark.createDataFrame([(1, "q", [("a", "t", 1.0), ("b", "u", 0.5)])], "k int, question string, candidates array<struct<id:string,text:string,score:double>>")
+    answers = spark.createDataFrame([("q", "t", "yes")], "question string, text string, answer string")
+    assert [(r["rank"], r.answer) for r in put_back(p, answers, 1, ["k"]).orderBy("rank").collect()] == [(1, "yes"), (2, None)]
+    with pytest.raises(Exception, match="no answer"):
+        put_back(p, answers, 2, ["k"]).collect()
