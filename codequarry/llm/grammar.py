@@ -453,7 +453,7 @@ def _ruby() -> Callable[[str], bool]:
     inner = {"I": _full(rf"L{call}|E"), "K": _full(rf"w{items}(?:v{call})?|E")} | dict.fromkeys("fBDc", _full(rf"r(?:{items})?(?:l{expr})?|E|g"))
     is_args = _full(rf"(?:{call},?|(?:[m&]*+(?:i|k)(?:=?{expr})?,?)*+)?")
     table = _full(rf"(?>(?:k(?:{expr}(?:l{expr})?)?|{expr}[l:]{expr}|h(?:{expr})?)(?:,|$))*+")
-    joined = re.compile(r"(?<=[,oum&=Q:dl!({\[])~++|~++(?=[d)\]}])")
+    joined = re.compile(r"(?<=[,oum&=Q:dl!({\[])~++|(?<!~)~++(?=[d)\]}])")
 
     def lines(x: str) -> bool:
         return all(is_stm(y) for y in re.split("[~;]+", x) if y)

@@ -6,7 +6,7 @@ import pytest
 
 from codequarry.llm import docpairs, grammar, hidden_text, langid, lexers
 
-UNITS = [" ", "\t", "\f", "\n", "a ", "1", '"', "'", "`", "\\", "/*", "*/", "# a\n", "// a b\n", "--[[", "[=[", "=begin\n", '"""', "${", "#{", "`${", "%w(", "<<A\n", "<<<A\n", "=/[", "?>", "(", "()", "[", "{", "}", "a<", "* ", "a * ", "struct a ", "const ", "if ", "else ", "do ", "end ", "def f(\n", "function f(", "int f(a) ", "@A(\n", "@a\n", "elseif ", "#define a\n", "x = ", "a.", "a: ", " ", "漢", "The cat sat on the mat. "]
+UNITS = [" ", "\n", "a ", '"', "'", "`", "/*", "# a\n", "// a b\n", "--[[", "=begin\n", '"""', "`${", "%w(", "<<A\n", "<<<A\n", "(", "()", "[", "{", "}", "* ", "a * ", "struct a ", "if ", "end ", "def f(\n", "function f(", "int f(a) ", "@A(\n", "elseif ", "#define a\n", "x = ", " ", "漢", "The cat sat on the mat. "]
 BEGINS = {"PHP": "<?php ", "Go": "package a\n"}
 MODEL = langid.LanguageModel({})
 
@@ -30,14 +30,13 @@ def test_runs(language):
     _read(begin + "a = 1\n", language)  # compiles the grammars
     slow = []
     for unit in UNITS:
-        for before, after in (("", ""), ("x = 1;\n", " y"), ("(", ")")):
+        for before, after in (("", ""), ("(", ")")):
             def text(n):
                 return begin + before + unit * (n // len(unit)) + after
 
-            _read(text(1_000), language)
-            small = _seconds(text(4_000), language)
-            large = _seconds(text(40_000), language)
-            if large > 0.3 + 25 * small:
+            small = _seconds(text(2_000), language)
+            large = _seconds(text(20_000), language)
+            if large > 0.2 + 25 * small:
                 slow.append((unit, before, small, large))
     assert not slow
 
@@ -48,8 +47,8 @@ def test_token_runs(language, n):
     """The grammars themselves, over runs of each token and each two of the commonest."""
     ok = grammar._grammar(language)
     letters = sorted(set(lexers.KEYWORDS[language].values()) | set(lexers._OPS[language]) | set("ins()[]{},;:~"))
-    units = letters + [a + b for a in "ins([{;" for b in letters]
-    for unit in units if n < 100_000 else letters:
+    units = letters + [a + b for a in "i([" for b in letters]
+    for unit in units if n < 10_000 else letters:
         began = time.process_time()
         ok(unit * (n // len(unit)))
         assert time.process_time() - began < 0.2 + 2e-5 * n, unit
@@ -70,5 +69,5 @@ def test_long_files(language):
 
     begin = BEGINS.get(language, "")
     code = CASES[language][0][0].format("Counts how often the mark shows up in the list.").removeprefix("<?php\n").removeprefix("package a\n")
-    small, large = (min(_seconds(begin + code * n, language) for _ in range(2)) for n in (40, 800))
+    small, large = (min(_seconds(begin + code * n, language) for _ in range(2)) for n in (20, 400))
     assert large < 0.3 + 45 * small
