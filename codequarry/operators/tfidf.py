@@ -8,7 +8,7 @@ from ..functions.text import ANALYZERS, grams
 
 
 def term_counts(docs: DataFrame, key: str, text: str, analyzer: str = "v1", scope: list[str] | None = None) -> DataFrame:
-    """(scope, doc, term, tf); a document without terms has no rows. Counted inside the row: no shuffle, and a document's terms come out once."""
+    """(scope, doc, term, tf); a document without terms has no rows. One shuffle, of each document's terms and their partial counts; rows of the same key count as one document."""
     scope = scope or []
     words = docs.select(*scope, F.col(key).alias("doc"), ANALYZERS[analyzer](F.col(text)).alias("_w"))
     flat = words.select(*scope, "doc", F.explode(grams(F.col("_w"))).alias("term"))
