@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import arrays as A
-from ..operators import evaluate, losses, sampling, training
+from ..operators import dense, evaluate, losses, sampling, training
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -64,6 +64,13 @@ def csn_candidates_wor(spark: SparkSession, d: str) -> DataFrame:
     return sampling.sample_without_replacement(e.filter("vec_id % 100 = 0"), e, "vec_id", "vec_id", 999).union(e.filter("vec_id % 100 = 0").select("vec_id", F.col("vec_id").alias("doc"))).distinct()
 
 
+def csn_restricted_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best of each query's pool of csn_candidates_wor, by dot product."""
+    e = _table(spark, d, "embeddings").select("vec_id", "embedding")
+    pool = csn_candidates_wor(spark, d).toDF("query", "doc")
+    return dense.pool_top_k(e.filter("vec_id % 100 = 0"), e, pool, 10, "vec_id", "embedding", "vec_id", "embedding").select("query", "doc", "score", "rank")
+
+
 def csn_candidates_wr(spark: SparkSession, d: str) -> DataFrame:
     """The gold as draw 0, then 999 draws a query; where a draw hits the gold, its score is -100."""
     e = _table(spark, d, "embeddings").select("vec_id", "embedding")
@@ -192,4 +199,5 @@ ORACLES = {
     "loss_describe": f"WITH {_PAIRS}, l AS ({_mean([_QP])}) SELECT round(min(loss), 6) AS stat_min, round(max(loss), 6) AS stat_max, round(avg(loss), 6) AS stat_mean, " + ", ".join(f"round(quantile_cont(loss, {q}), 6) AS p{str(q)[2:].ljust(2, '0')}" for q in evaluate.QUANTILES) + " FROM l",
     "lr_schedule": "SELECT event_id, round(CASE WHEN event_id < 100 THEN event_id / 100.0 ELSE greatest(0.0, (5000 - event_id) / 4900.0) END, 6) AS factor FROM events",
 }
-QUERIES = {f.__name__: f for f in (token_truncate_eos, pad_batch, sample_batches, stream_batches, choose_positive, sample_candidates, equalise_shards, csn_candidates_wor, csn_candidates_wr, loss_infonce, loss_clip, loss_clip_hn, loss_gte, loss_gte_hn, loss_falseneg, loss_kl, loss_mix, loss_describe, lr_schedule)}
+ORACLES["csn_restricted_topk"] = f"""SELECT query, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM (SELECT c.query, c.doc, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM ({ORACLES["csn_candidates_wor"]}) c JOIN embeddings q ON q.vec_id = c.query JOIN embeddings e ON e.vec_id = c.doc)) WHERE rank <= 10"""
+QUERIES = {f.__name__: f for f in (token_truncate_eos, pad_batch, sample_batches, stream_batches, choose_positive, sample_candidates, equalise_shards, csn_candidates_wor, csn_restricted_topk, csn_candidates_wr, loss_infonce, loss_clip, loss_clip_hn, loss_gte, loss_gte_hn, loss_falseneg, loss_kl, loss_mix, loss_describe, lr_schedule)}
