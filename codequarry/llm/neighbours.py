@@ -206,7 +206,7 @@ def build(vectors: DataFrame, k: int = 5, kept: int = KEPT, rounds: int | None =
     none = [F.array().cast("array<double>").alias("far"), F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<int>").alias("homes")]
     own_vec = [F.first("vec", ignorenulls=True).alias("vec"), F.first("home", ignorenulls=True).alias("home")]
     graph = materialised(_merged(first.unionByName(nodes.select("id", "vec", "home", *none), allowMissingColumns=True), kept, *own_vec))
-    del first, spread
+    del first, spread, nodes, classes, single
     forget(spark)
     changed: list[int] = []
     while rounds is None or len(changed) < rounds:
