@@ -2,7 +2,8 @@
 
 Every vector begins with a list of cheap neighbours: the best of those that hash to the same small buckets (signs of random projections). Then
 the lists are joined with each other, round by round: vectors that have a neighbour in common are compared, and each keeps the best it has met, until
-hardly a list changes. A round sends each vector to the homes of its neighbours; vectors whose neighbours live together are sent there once.
+hardly a list changes. A round sends each vector to the homes of its neighbours; vectors whose neighbours live together are sent there once. A home is
+a cell of centres fitted on a sample, so that most neighbours share theirs: it tells where vectors meet, not which are compared.
 ``search`` walks the graph greedily.
 
 Similarity is cosine in double precision; ties go to the smaller id.
@@ -10,18 +11,23 @@ Similarity is cosine in double precision; ties go to the smaller id.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .lineage import forget, materialised
 
-#: Vectors of the sample that the thresholds of the projections are fitted on (bound), hashings, and vectors that a bucket should have.
+#: Vectors of the sample that the thresholds of the projections and the centres of homes are fitted on (more only where there are many centres), hashings, and vectors that a bucket should have.
 SAMPLE, HASHINGS, BUCKET = 20_000, 3, 256
-#: Neighbours kept in the graph, and those of them whose homes a vector is sent to; share of vectors whose k nearest still change at which the descent ends; vectors in one comparison.
+#: Neighbours kept in the graph, and those of them whose homes a vector is sent to; share of vectors whose k nearest still change at which the descent ends; vectors with one neighbour in common that are compared with each other.
 KEPT, VISITED, CHANGES, GUESTS = 12, 10, 0.01, 8000
+#: Centres of homes (bound), and vectors of the sample that each is fitted on; vectors of a cell that stay together, and of the homes that a larger one is split into; vectors in one task; pairs compared at a time.
+CENTRES, FITTED, CELL, SPLIT, TOGETHER, PAIRS = 16_384, 8, 4096, 700, 50_000, 2_000_000
 
 
 def usable(vectors: DataFrame, key: str, vector: str, dimensions: int = 64) -> DataFrame:
@@ -37,7 +43,7 @@ def usable(vectors: DataFrame, key: str, vector: str, dimensions: int = 64) -> D
     return rows.filter(finite).select("id", pack("_v").alias("vec"))
 
 
-def _matrix(vecs: pd.Series) -> np.ndarray:
+def _matrix(vecs: Iterable[bytes]) -> np.ndarray:
     """Unit vectors in double precision."""
     x = np.frombuffer(b"".join(vecs), "<f4").reshape(len(vecs), -1).astype(np.float64)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
@@ -56,27 +62,70 @@ class Hashing:
         return (signs << np.arange(self.bits, dtype=np.int64)).sum(2)
 
 
-def _lists(who: np.ndarray, a: np.ndarray, b: np.ndarray, far: np.ndarray, homes: np.ndarray, k: int) -> pd.DataFrame:
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *((x[i : i + 4096] @ centres.T).argmax(1) for i in range(0, len(x), 4096))])
+
+
+def _centres(x: np.ndarray, n: int, steps: int = 4) -> np.ndarray:
+    """Centres of n cells at the most, by a few steps of k-means from the first n vectors."""
+    centres = x[:n].copy()
+    for _ in range(steps):
+        at = _nearest(x, centres)
+        total = np.zeros_like(centres)
+        np.add.at(total, at, x)
+        length = np.sqrt(np.einsum("ij,ij->i", total, total))
+        centres[length > 0] = total[length > 0] / length[length > 0, None]
+    return centres
+
+
+class Cells:
+    """The cell of a vector: that of the nearest centre, looked for among those of the nearest of a few wide cells."""
+
+    def __init__(self, sample: np.ndarray, n: int):
+        self.wide = _centres(sample, max(1, int(np.ceil(np.sqrt(n)))))
+        at = _nearest(sample, self.wide)
+        own = [sample[at == i] for i in range(len(self.wide))]
+        self.centres = [_centres(x, max(1, round(n * len(x) / len(sample)))) if len(x) else self.wide[i : i + 1] for i, x in enumerate(own)]
+        self.first = np.cumsum([0, *map(len, self.centres)])
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        wide = _nearest(x, self.wide)
+        order = np.argsort(wide, kind="stable")
+        out = np.empty(len(x), np.int64)
+        for own in np.split(order, np.flatnonzero(np.diff(wide[order])) + 1) if len(x) else []:
+            i = wide[own[0]]
+            out[own] = self.first[i] + _nearest(x[own], self.centres[i])
+        return out
+
+
+_LISTS = "id bigint, far array<double>, ids array<bigint>, homes array<int>"
+_SCHEMA = pa.schema([("id", pa.int64()), ("far", pa.list_(pa.float64())), ("ids", pa.list_(pa.int64())), ("homes", pa.list_(pa.int32()))])
+
+
+def _lists(who: np.ndarray, a: np.ndarray, b: np.ndarray, far: np.ndarray, homes: np.ndarray, k: int) -> pa.Table:
     """(id, far, ids, homes): the k best of each a's partners b; a and b are places in ``who``."""
     order = np.lexsort((who[b], far, a))
+    firsts = np.flatnonzero(np.diff(a[order], prepend=-1))
+    sizes = np.diff(np.append(firsts, len(order)))
+    order = order[np.arange(len(order)) - np.repeat(firsts, sizes) < k]
     a, b, far = a[order], b[order], far[order]
     firsts = np.flatnonzero(np.diff(a, prepend=-1))
-    ends = np.minimum(np.append(firsts[1:], len(a)), firsts + k)
-    return pd.DataFrame({"id": who[a[firsts]], "far": [far[i:j] for i, j in zip(firsts, ends)], "ids": [who[b[i:j]] for i, j in zip(firsts, ends)], "homes": [homes[b[i:j]] for i, j in zip(firsts, ends)]})
+    ends = pa.array(np.append(firsts, len(a)), pa.int32())
+    return pa.table([pa.array(who[a[firsts]]), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (far, who[b], homes[b].astype(np.int32)))], schema=_SCHEMA)
 
 
-_NONE = {"id": np.empty(0, np.int64)} | dict.fromkeys(("far", "ids", "homes"), np.empty(0, object))
-_LISTS = "id bigint, far array<double>, ids array<bigint>, homes array<int>"
+def _column(t: pa.Table, name: str) -> pa.Array:
+    return pa.concat_arrays(t.column(name).chunks)
 
 
 def _hashed(k: int):
     """Compares all vectors of a bucket."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf)
+    def run(t: pa.Table) -> pa.Table:
+        n = t.num_rows
         if n < 2:
-            return pd.DataFrame(_NONE)
-        x = _matrix(pdf["vec"])
+            return _SCHEMA.empty_table()
+        x = _matrix(t.column("vec").to_pylist())
         far = -(x @ x.T)
         np.fill_diagonal(far, 9)
         p = min(k, n - 1)
@@ -84,38 +133,52 @@ def _hashed(k: int):
         rows = np.repeat(np.arange(n), p)
         near = near.ravel()
         exact = -np.einsum("ij,ij->i", x[rows], x[near])
-        return _lists(pdf["id"].to_numpy(), rows, near, exact, pdf["home"].to_numpy(), k)
+        return _lists(t.column("id").to_numpy(), rows, near, exact, t.column("home").to_numpy(), k)
 
     return run
 
 
+def _met(member: np.ndarray, key: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b), a < b: the members that have a key in common, about PAIRS at a time; those of a key with more than GUESTS are split by their hashes."""
+    order = np.argsort(key, kind="stable")
+    _, group, size = np.unique(key[order], return_inverse=True, return_counts=True)
+    if size.max() > GUESTS:
+        share = hashes[member[order]].astype(np.int64) % -(-size[group] // GUESTS)
+        again = np.lexsort((share, group))
+        order = order[again]
+        _, size = np.unique(group[again] * (1 + share.max()) + share[again], return_counts=True)
+    member = member[order]
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(member)) - 1  # members of the group behind each
+    ends = np.cumsum(left)
+    for n in np.split(np.arange(len(member)), np.searchsorted(ends, np.arange(PAIRS, ends[-1] + 1, PAIRS), side="right")):
+        many = left[n]
+        first = np.repeat(n, many)
+        yield member[first], member[first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(many) - many, many)]
+
+
 def _joined(k: int):
     """Compares the vectors that have a neighbour in common, of those whose home this is; what is no better than a list's last entry, or stands in it, isn't told again."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        who, via = pdf["id"].to_numpy(), pdf["via"]
-        sizes = via.map(len).to_numpy()
-        member, key = np.repeat(np.arange(len(who)), sizes), np.concatenate(via.to_list())
-        order = np.argsort(key, kind="stable")
-        key, member = key[order], member[order]
-        bounds = np.flatnonzero(np.diff(key)) + 1
-        codes = []
-        for g in np.split(member, bounds):
-            if len(g) > 1:
-                i, j = np.triu_indices(len(g), 1)
-                codes.append(g[i].astype(np.int64) * len(who) + g[j])
-        if not codes:
-            return pd.DataFrame(_NONE)
-        a, b = np.divmod(np.unique(np.concatenate(codes)), len(who))
-        x = _matrix(pdf["vec"])
-        far = np.concatenate([-np.einsum("ij,ij->i", x[a[i : i + 50_000]], x[b[i : i + 50_000]]) for i in range(0, len(a), 50_000)])
-        a, b, far = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([far, far])
-        told = np.repeat(np.arange(len(who)), pdf["known"].map(len)) * (1 << 32) + np.concatenate(pdf["known"].to_list()).astype(np.int64) % (1 << 32)
-        new = (far <= pdf["last"].to_numpy()[a]) & ~np.isin(a * (1 << 32) + pdf["hash"].to_numpy().astype(np.int64)[b] % (1 << 32), told)
-        if not new.any():
-            return pd.DataFrame(_NONE)
-        return _lists(who, a[new], b[new], far[new], pdf["home"].to_numpy(), k)  # of the lists' own entries, those are told by a hash
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        who, hashes, last, via, known = t.column("id").to_numpy(), t.column("hash").to_numpy(), t.column("last").to_numpy(), _column(t, "via"), _column(t, "known")
+        n, x = len(who), _matrix(t.column("vec").to_pylist())
+        told = np.unique(np.repeat(np.arange(n), known.value_lengths().to_numpy()) * (1 << 32) + known.flatten().to_numpy().astype(np.int64) % (1 << 32))
+        codes, fars = [], []
+        for a, b in _met(np.repeat(np.arange(n), via.value_lengths().to_numpy()), via.flatten().to_numpy(), hashes):
+            a, b = np.divmod(np.unique(a * n + b), n)
+            far = np.concatenate([np.empty(0), *(-np.einsum("ij,ij->i", x[a[i : i + 50_000]], x[b[i : i + 50_000]]) for i in range(0, len(a), 50_000))])
+            for one, other in ((a, b), (b, a)):
+                better = np.flatnonzero(far <= last[one])
+                one, other = one[better], other[better]
+                new = ~np.isin(one * (1 << 32) + hashes[other].astype(np.int64) % (1 << 32), told)
+                codes.append(one[new] * n + other[new])
+                fars.append(far[better[new]])
+        code, at = np.unique(np.concatenate([np.empty(0, np.int64), *codes]), return_index=True)
+        if not len(code):
+            return _SCHEMA.empty_table()
+        a, b = np.divmod(code, n)
+        return _lists(who, a, b, np.concatenate(fars)[at], t.column("home").to_numpy(), k)  # of the lists' own entries, those are told by a hash
 
     return run
 
@@ -126,12 +189,13 @@ def _small(df: DataFrame, rows: int = 300_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def _merged(found: DataFrame, kept: int, *more: Column) -> DataFrame:
-    """(id, far, ids, homes, more): the best ``kept`` of all lists of a vector, each neighbour once."""
-    every = F.flatten(F.collect_list(F.arrays_zip("far", "ids", "homes")))
-    best = found.groupBy("id").agg(F.slice(F.array_distinct(F.sort_array(every)), 1, kept).alias("_b"), *more)
-    names = [c for c in best.columns if c not in ("id", "_b")]
-    return best.select("id", F.transform("_b", lambda x: x["far"]).alias("far"), F.transform("_b", lambda x: x["ids"]).alias("ids"), F.transform("_b", lambda x: x["homes"]).alias("homes"), *names)
+def _merged(lists: DataFrame, found: DataFrame, kept: int) -> DataFrame:
+    """The rows of ``lists``, by id, with the best ``kept`` of their own entries and all of those found, each neighbour once. Only ``found`` is shuffled where the rows lie by id."""
+    more = found.groupBy("id").agg(F.flatten(F.collect_list(F.arrays_zip("far", "ids", "homes"))).alias("_more"))
+    old = F.arrays_zip("far", "ids", "homes")
+    best = F.when(F.col("_more").isNull(), old).otherwise(F.slice(F.array_distinct(F.sort_array(F.concat(old, F.col("_more")))), 1, kept))
+    rest = [c for c in lists.columns if c not in ("id", "far", "ids", "homes")]
+    return lists.join(more, "id", "left").withColumn("_b", best).select("id", *(F.col(f"_b.{c}").alias(c) for c in ("far", "ids", "homes")), *rest)
 
 
 @dataclass
@@ -149,6 +213,16 @@ def neighbour_graph(vectors: DataFrame, k: int = 5, kept: int = KEPT, rounds: in
     return build(vectors, k, kept, rounds).graph
 
 
+def _cell(cells: Cells, spark) -> Column:
+    shared = spark.sparkContext.broadcast(cells)
+
+    @F.pandas_udf("bigint")
+    def of(s: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.of(_matrix(s)) if len(s) else np.empty(0, np.int64))
+
+    return of("vec")
+
+
 def _buckets(hashing: Hashing, spark) -> Column:
     """The buckets of a vector: a hash of the hashing's number and the signs."""
     shared = spark.sparkContext.broadcast(hashing)
@@ -164,7 +238,8 @@ def build(vectors: DataFrame, k: int = 5, kept: int = KEPT, rounds: int | None =
     """An index whose graph has a row (id, nbrs) for each vector of (id, vec), as usable() gives them: nbrs has the nearest others (-cosine as far, id), the nearest first.
 
     The descent goes on until under CHANGES of the vectors get another k nearest, or for so many rounds as are given. Buckets of more than twice BUCKET
-    vectors are split by a hash; so are the guests of a home beyond GUESTS: vectors there meet by way of others of their neighbours.
+    vectors are split by a hash; so are those with one neighbour in common beyond GUESTS, and the guests of a home beyond TOGETHER: vectors there meet by
+    way of others of their neighbours.
     A vector counts once by its id; of rows with the same id one is taken. Vectors of exactly the same bytes count as one another's neighbours like any
     others, but only the least kept + 1 ids of such a class stand in the graph: no other of it can be among anybody's k nearest, and they all have the
     least ids as their own. An empty table gives no rows; with fewer than k + 1 vectors, lists are shorter.
@@ -174,10 +249,14 @@ def build(vectors: DataFrame, k: int = 5, kept: int = KEPT, rounds: int | None =
     n = single.count()
     if not n:
         return Index(spark.createDataFrame([], "id bigint, nbrs array<struct<far:double,id:bigint>>"))
-    share = min(1.0, SAMPLE / n)
-    rows = single.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share) + 1).select("vec").limit(2 * SAMPLE).collect()
+    n_cells = min(CENTRES, max(1, n // BUCKET))
+    most = max(SAMPLE, FITTED * n_cells)
+    share = min(1.0, most / n)
+    rows = single.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share) + 1).select("vec").limit(2 * most).collect()
     rows = rows or single.select("vec").limit(1).collect()
-    hashing = Hashing(_matrix(pd.Series([bytes(r.vec) for r in rows])), max(1, int(np.ceil(np.log2(max(2, n / BUCKET))))))
+    sample = _matrix(sorted(bytes(r.vec) for r in rows))
+    hashing = Hashing(sample, max(1, int(np.ceil(np.log2(max(2, n / BUCKET))))))
+    cells = Cells(np.random.default_rng(11).permutation(sample), n_cells)
 
     w = W.partitionBy("_h").orderBy("id")
     classes = single.withColumn("_h", F.md5("vec"))
@@ -193,20 +272,25 @@ def build(vectors: DataFrame, k: int = 5, kept: int = KEPT, rounds: int | None =
         last = F.col("_ids")[kept]
         own = classes.filter(F.col("id") > last).select("id", F.transform(F.slice("_ids", 1, kept), lambda x: F.struct(F.lit(-1.0).alias("far"), x.alias("id"))).alias("nbrs"))
         classes = classes.filter(last.isNull() | (F.col("id") <= last))
-    nodes = classes.select("id", "vec", _buckets(hashing, spark).alias("buckets"))
-    if n > 2 * BUCKET:
-        sizes = nodes.select(F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 2 * BUCKET)
-        sizes = _small(sizes.select("bucket", F.ceil(F.col("_n") / BUCKET).alias("_parts")))
-    else:
-        sizes = spark.createDataFrame([], "bucket bigint, _parts bigint")
-    part = F.pmod(F.xxhash64("id"), F.coalesce("_parts", F.lit(1)))
-    nodes = nodes.withColumn("bucket", F.col("buckets")[0]).join(sizes, "bucket", "left").select("id", "vec", "buckets", F.hash("bucket", part).alias("home"))
-    spread = nodes.select("id", "vec", "home", F.explode("buckets").alias("bucket")).join(sizes, "bucket", "left").withColumn("part", part)
-    first = spread.groupBy("bucket", "part").applyInPandas(_hashed(kept // 2), _LISTS)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    lie = functools.partial(materialised, adaptive=False)  # without it, Spark remembers that the rows lie by id
+    nodes = lie(classes.select("id", "vec", _buckets(hashing, spark).alias("buckets"), F.xxhash64(F.lit(-1), _cell(cells, spark)).alias("cell")).repartition(int(parts), "id"))
+    if n_copies:
+        own = materialised(own)
+    del classes, single
+    forget(spark)
+    sizes = nodes.select(F.explode(F.concat("buckets", F.array("cell"))).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 2 * BUCKET)
+    sizes = _small(sizes.select("bucket", F.ceil(F.col("_n") / BUCKET).alias("_parts"), F.when(F.col("_n") > CELL, F.ceil(F.col("_n") / SPLIT)).otherwise(1).alias("_homes")))
+
+    def part(of: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.coalesce(of, F.lit(1)))
+
+    nodes = nodes.withColumn("bucket", F.col("cell")).join(sizes, "bucket", "left").select("id", "vec", "buckets", F.hash("cell", part("_homes")).alias("home"))
+    spread = nodes.select("id", "vec", "home", F.explode("buckets").alias("bucket")).join(sizes, "bucket", "left").withColumn("part", part("_parts"))
+    first = spread.groupBy("bucket", "part").applyInArrow(_hashed(kept // 2), _LISTS)
     none = [F.array().cast("array<double>").alias("far"), F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<int>").alias("homes")]
-    own_vec = [F.first("vec", ignorenulls=True).alias("vec"), F.first("home", ignorenulls=True).alias("home")]
-    graph = materialised(_merged(first.unionByName(nodes.select("id", "vec", "home", *none), allowMissingColumns=True), kept, *own_vec))
-    del first, spread, nodes, classes, single
+    graph = lie(_merged(nodes.select("id", *none), first, kept))
+    del first, spread
     forget(spark)
     changed: list[int] = []
     while rounds is None or len(changed) < rounds:
@@ -214,15 +298,14 @@ def build(vectors: DataFrame, k: int = 5, kept: int = KEPT, rounds: int | None =
         calls = F.transform(F.array_distinct(F.transform(entries, lambda x: x["homes"])), lambda h: F.struct(h.alias("to"), F.transform(F.filter(entries, lambda x: x["homes"] == h), lambda x: x["ids"]).alias("via")))
         last = F.when(F.size("far") >= kept, F.element_at("far", -1)).otherwise(9.0)
         known = F.transform("ids", lambda x: F.hash(x))
-        guests = graph.select("id", "vec", "home", last.alias("last"), known.alias("known"), F.explode(calls).alias("_c")).select("id", "vec", "home", "last", "known", F.hash("id").alias("hash"), "_c.*")
-        crowds = _small(guests.groupBy("to").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > GUESTS).select("to", F.ceil(F.col("_n") / GUESTS).alias("_shares")))
+        guests = graph.join(nodes.select("id", "vec", "home"), "id").select("id", "vec", "home", last.alias("last"), known.alias("known"), F.explode(calls).alias("_c")).select("id", "vec", "home", "last", "known", F.hash("id").alias("hash"), "_c.*")
+        crowds = _small(guests.groupBy("to").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > TOGETHER).select("to", F.ceil(F.col("_n") / TOGETHER).alias("_shares")))
         guests = guests.join(crowds, "to", "left").withColumn("share", F.pmod(F.xxhash64("id"), F.coalesce("_shares", F.lit(1)))).drop("_shares")
-        found = guests.groupBy("to", "share").applyInPandas(_joined(kept), _LISTS)
-        old = graph.select("id", "far", "ids", "homes", "vec", "home", F.slice("ids", 1, k).alias("_before"))
-        both = _merged(old.unionByName(found, allowMissingColumns=True), kept, *own_vec, F.first("_before", ignorenulls=True).alias("_before"))
-        after = materialised(both.select("*", (F.slice("ids", 1, k) != F.col("_before")).alias("changed")).drop("_before"))
+        found = guests.groupBy("to", "share").applyInArrow(_joined(kept), _LISTS)
+        both = _merged(graph.select("id", "far", "ids", "homes", F.slice("ids", 1, k).alias("_before")), found, kept)
+        after = lie(both.select("*", (F.slice("ids", 1, k) != F.col("_before")).alias("changed")).drop("_before"))
         graph = after
-        del guests, found, old, both, after
+        del guests, found, both, after
         forget(spark)
         changed.append(graph.filter("changed").count())
         if changed[-1] < CHANGES * n:
@@ -232,7 +315,7 @@ def build(vectors: DataFrame, k: int = 5, kept: int = KEPT, rounds: int | None =
         lists = lists.unionByName(own)
     # those whose hash is less than all their neighbours': each part of the graph that hangs together has one at least
     least = F.array_min(F.transform("ids", lambda x: F.xxhash64(x)))
-    chosen = graph.filter(F.coalesce(F.xxhash64("id") < least, F.lit(True))).select("id", "vec")
+    chosen = graph.filter(F.coalesce(F.xxhash64("id") < least, F.lit(True))).select("id").join(nodes.select("id", "vec"), "id")
     entries = chosen.select(F.explode(_buckets(hashing, spark)).alias("bucket"), F.col("id").alias("n"), F.col("vec").alias("nv"))
     return Index(lists, hashing, entries, tuple(changed))
 
