@@ -1,6 +1,7 @@
 """TF-IDF in chunks of documents: equal to the joins by term, and without a shuffle of pairs of query and document."""
 
 import random
+import time
 
 import pytest
 
@@ -48,3 +49,23 @@ def test_same_as_joins(spark, monkeypatch, scope, least, k):
 def test_nothing_asked(spark):
     docs, asked = _docs(spark)
     assert tfidf.retrieve(asked.limit(0), docs, 3).count() == 0 and tfidf.retrieve(asked, docs.limit(0), 3).count() == 0
+
+
+def _kept(spark):
+    """Bytes of the shuffle files that are there, by name."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName(): f.length() for i in range(files.size()) if (f := files.apply(i)).getName().startswith("shuffle_")}
+
+
+def test_texts_are_removed(spark):
+    """The texts shuffled for the frequencies of the queries' terms don't stay until the driver's garbage is collected."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(f"d{i}", " ".join(f"w{rng.randrange(10**9)}" for _ in range(50))) for i in range(2000)], "url string, text string")
+    asked = spark.createDataFrame([(i, f"w{i} list") for i in range(20)], "query_id long, query string")
+    before = _kept(spark)
+    tfidf.retrieve(asked, docs, 3, "v2", doc_key="url")
+    for _ in range(20):
+        if (left := sum(n for x, n in _kept(spark).items() if x not in before)) < 100_000:
+            break
+        time.sleep(0.2)
+    assert left < 100_000  # the texts are a million bytes
